@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checks import as_list, key_and_values, require
-from ..plans.keys import cols, match, prefixed
+from ..plans.keys import any_of, cols, match, prefixed
 from ..plans.skew import (
     PART,
     ROWS_PER_TASK,
@@ -44,8 +44,8 @@ def join(
     hot_right = hot_groups(right, names, rows_per_task) if how in ("left", "full") else None
     salted = hot_left is not None or hot_right is not None
     if salted:
-        left = _salted(left, names, hot_left, hot_right, own="left")
-        right = _salted(right, names, hot_left, hot_right, own="right")
+        left = _salted(left, names, hot_left, hot_right, "left", null_safe)
+        right = _salted(right, names, hot_left, hot_right, "right", null_safe)
     else:
         left, right = left.withColumn("__l", F.lit(1)), right.withColumn("__r", F.lit(1))
     right_names = ["__r_" + n for n in names]
@@ -59,11 +59,6 @@ def join(
         # no partner in one of the parts is a copy that has its partners in other parts.
         lost_left = F.col("__l").isNull() & (F.col("__r_lp") > 1)
         lost_right = F.col("__r").isNull() & (F.col("__l_rp") > 1)
-        if not null_safe:
-            has_null = F.lit(False)
-            for n in names:
-                has_null |= F.coalesce(F.col(n), F.col("__r_" + n)).isNull()
-            lost_left, lost_right = lost_left & ~has_null, lost_right & ~has_null
         joined = joined.filter(~F.coalesce(lost_left, F.lit(False)))
         joined = joined.filter(~F.coalesce(lost_right, F.lit(False)))
     if how == "right":
@@ -81,6 +76,7 @@ def _salted(
     hot_left: DataFrame | None,
     hot_right: DataFrame | None,
     own: str,
+    null_safe: bool,
 ) -> DataFrame:
     """Split this side's hot keys by source partition; repeat rows for the other side's parts.
 
@@ -91,6 +87,10 @@ def _salted(
     marked = with_parts(marked, names, hot_left, f"{p}_lp")
     marked = with_parts(marked, names, hot_right, f"{p}_rp")
     mine, theirs = ("l", "r") if own == "left" else ("r", "l")
+    if not null_safe:  # a row with a null key has no partners to be repeated for
+        has_null = any_of([c.isNull() for c in cols(names)])
+        other = F.col(f"{p}_{theirs}p")
+        marked = marked.withColumn(f"{p}_{theirs}p", F.when(has_null, 1).otherwise(other))
     return (
         marked.withColumn(f"{p}_{mine}s", F.pmod("__source", F.col(f"{p}_{mine}p")))
         .withColumn(f"{p}_{theirs}s", F.explode(F.sequence(F.lit(0), F.col(f"{p}_{theirs}p") - 1)))

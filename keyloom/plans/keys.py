@@ -13,6 +13,10 @@ def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def any_of(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
