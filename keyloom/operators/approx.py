@@ -40,7 +40,8 @@ def approx_distinct_column(
     if p is None:
         p = precision_for(relative_sd)
         if relative_sd >= 0.01:
-            return F.approx_count_distinct(value, relative_sd)
+            # coarser wishes get a sketch that is small already and more exact
+            return F.approx_count_distinct(value, min(relative_sd, 0.1))
     require(p >= 4, "p must be at least 4")
     require(sp <= 32, "sp must be at most 32")
     require(sp == 0 or p <= sp, "p must not exceed sp")

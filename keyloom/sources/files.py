@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,19 +30,36 @@ def text_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return reader.text(path)
 
 
+def _empty_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Paths of files without content, which Spark's readers leave out.
+
+    Compares the listing with the files that gave a row; no content is read.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    listed = [(re.sub("^file:/+", "file:/", unquote(uri)),) for uri in files.inputFiles()]
+    return spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+
+
 def whole_text_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, content) with the full text of each file."""
-    return spark.read.text(_paths(paths), wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
+    """(path, content) with the full text of each file; an empty file has the empty text."""
+    listed = _paths(paths)
+    # file_path is URL-encoded, but a plus sign in it is a plus sign
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    texts = spark.read.text(listed, wholetext=True).select(
+        path.alias("path"), F.col("value").alias("content")
     )
+    empty = _empty_files(spark, listed).select("path", F.lit("").alias("content"))
+    return texts.unionByName(empty)
 
 
 def binary_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, modificationTime, length, content) per file.
-
-    The content is read only when the column is used.
-    """
-    return spark.read.format("binaryFile").load(_paths(paths))
+    """(path, length, content) per file; the content is read only when the column is used."""
+    listed = _paths(paths)
+    files = spark.read.format("binaryFile").load(listed).select("path", "length", "content")
+    empty = _empty_files(spark, listed).select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")
+    )
+    return files.unionByName(empty)
 
 
 def object_file(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
