@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.persistence import checkpoint
 from ..plans.checks import require
-from ..plans.skew import PART, ROWS_PER_TASK, hot_groups, split_hot, with_parts
+from ..plans.shared import materialise
+from ..plans.skew import PART, PARTS, ROWS_PER_TASK, hot_from_counts, split_hot, with_parts
 
 CHECKPOINT_EVERY = 5
 
@@ -31,15 +33,22 @@ def pagerank(
     edges of a node of very many links split into parts.
     """
     require(iterations >= 0, "iterations must not be negative")
-    distinct = edges.select("source", "target").filter("source is not null").distinct()
-    degrees = distinct.groupBy("source").agg(F.count(F.lit(1)).alias("degree"))
-    hot = hot_groups(distinct, ["source"], rows_per_task)
-    links = split_hot(distinct, ["source"], hot)
-    links = links.join(degrees, "source").persist()
+    distinct = materialise(
+        edges.select("source", "target").filter("source is not null").distinct(), "edges"
+    )
+    degrees = materialise(distinct.groupBy("source").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    hot = hot_from_counts(degrees, ["source"], "degree", rows_per_task)
+    # placed by join key once, so a round moves only the ranks
+    links = (
+        split_hot(distinct, ["source"], hot)
+        .join(degrees, "source")
+        .repartition("source", PART)
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     ranks = degrees.select(F.col("source").alias("node"), F.lit(1.0).alias("rank"))
     for round_number in range(1, iterations + 1):
         copies = with_parts(ranks.withColumnRenamed("node", "source"), ["source"], hot)
-        salted = copies.withColumn(PART, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+        salted = copies.withColumn(PART, F.explode(F.sequence(F.lit(0), F.col(PARTS) - 1)))
         passed = links.join(salted, ["source", PART]).select(
             F.col("target").alias("node"), (F.col("rank") / F.col("degree")).alias("given")
         )

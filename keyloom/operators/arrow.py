@@ -17,9 +17,20 @@ def as_struct(schema: T.StructType | str) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
+def _values(column: pa.Array) -> list[Any]:
+    """The column as Python values; plain numbers and texts take the fast way through numpy."""
+    kind = column.type
+    plain = pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)
+    if pa.types.is_string(kind) or (plain and column.null_count == 0):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
     for batch in batches:
-        yield from batch.to_pylist()
+        names = batch.schema.names
+        for values in zip(*[_values(c) for c in batch.columns], strict=True):
+            yield dict(zip(names, values, strict=True))
 
 
 def batches_of(

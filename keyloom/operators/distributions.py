@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checks import EmptyInputError, as_list, require
 from ..plans.keys import cols, match, prefixed, quoted
-from ..plans.prefix import running
+from ..plans.prefix import FILE, file_spans, running_in, sorted_table
 from .aggregates import stats
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -95,24 +95,28 @@ def closest_quantiles(
         .groupBy(*cols(groups), value.alias("__value"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    placed = running(counts, groups, ["__value"], {"__before": ("__n", "sum")})
-    sizes = placed.groupBy(*cols(groups)).agg(F.sum("__n").alias("__total"))
-    if groups:
-        sized = placed.join(
-            prefixed(sizes, groups, "__s_"), match(groups, ["__s_" + g for g in groups])
-        )
-    else:
-        one = F.lit(0).alias("__all")
-        sized = placed.select("*", one).join(F.broadcast(sizes.select("*", one)), "__all")
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
 
-    def hit(p: Column) -> Column:
-        index = F.least(F.floor(p * F.col("__total")), F.col("__total") - 1)
-        return (index >= F.col("__before")) & (index < F.col("__before") + F.col("__n"))
+    def hits(total: Column, start: Column, size: Column) -> Column:
+        """The probabilities whose index lies in the span that begins at ``start``."""
+
+        def inside(p: Column) -> Column:
+            index = F.least(F.floor(p * total), total - 1)
+            return (index >= start) & (index < start + size)
+
+        return F.filter(wanted, inside)
 
-    return sized.select(
+    measures = {"__c": ("__n", "sum")}
+    table = sorted_table(counts, [*cols(groups), F.col("__value")])
+    spans = file_spans(table, groups, measures)
+    start = F.coalesce(F.col("__c__before"), F.lit(0))
+    in_span = hits(F.col("__c__total"), start, F.col("__c"))
+    # at most one number per written file; files without a wanted position are not read again
+    files = [r[0] for r in spans.filter(F.size(in_span) > 0).select(FILE).distinct().toLocalIterator()]
+    placed = running_in(table.filter(F.col(FILE).isin(files)), spans, groups, measures)
+    return placed.select(
         *cols(groups),
-        F.explode(F.filter(wanted, hit)).alias("probability"),
+        F.explode(hits(F.col("__c__total"), F.col("__c"), F.col("__n"))).alias("probability"),
         F.col("__value").alias("value"),
     )
 

@@ -19,12 +19,16 @@ from .arrow import as_struct
 
 
 def zip_with_index(
-    df: DataFrame, order_by: str | Sequence[str], name: str = "index", on_tie: str = "error"
+    df: DataFrame,
+    order_by: str | Sequence[str] | None = None,
+    name: str = "index",
+    on_tie: str = "error",
 ) -> DataFrame:
     """Add a 0-based consecutive index in the order of ``order_by``.
 
     A tie makes positions undefined and is an error; ``on_tie="any"`` accepts any order
-    among equal rows and saves the check.
+    among equal rows and saves the check. Without ``order_by`` the index follows the order
+    the rows have: partition by partition, as after ``sort_by_key``.
     """
     require(on_tie in ("error", "any"), "on_tie is 'error' or 'any'")
     order = as_list(order_by)
@@ -34,8 +38,8 @@ def zip_with_index(
 
 
 def _indexed(df: DataFrame, order: list[str], name: str, on_tie: str) -> tuple[DataFrame, int]:
-    indexed, count = with_position(df, cols(order), name)
-    if on_tie == "error":
+    indexed, count = with_position(df, cols(order) or None, name)
+    if order and on_tie == "error":
         ties = indexed.groupBy(*cols(order)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         require(ties.isEmpty(), f"rows tie on {order}; the order must be unique")
     return indexed, count

@@ -14,23 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .checks import require
-from .keys import all_of, cols, match, prefixed
+from .keys import all_of, cols, match, quoted
 from .shared import discard_on_exit, scratch_path
 
 FILE = "__file"
 ROW = "__row"
 
 
-def sorted_table(
-    df: DataFrame, order: Sequence[Column | str], num_ranges: int | None = None
-) -> DataFrame:
-    """Write ``df`` range-partitioned and sorted; add the file number and row number."""
+def numbered_files(df: DataFrame) -> DataFrame:
+    """Write ``df`` in its partition and row order; add the file number and row number."""
     spark = df.sparkSession
     path = scratch_path(spark, "sorted")
-    ranges = (
-        df.repartitionByRange(num_ranges, *order) if num_ranges else df.repartitionByRange(*order)
-    )
-    ranges.sortWithinPartitions(*order).write.parquet(path)
+    df.write.parquet(path)
     discard_on_exit(spark, path)
     # part-<task>-…-c<piece>: both numbers together give the order of the files
     number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-", 1).cast("long")
@@ -46,15 +41,29 @@ def sorted_table(
     )
 
 
+def sorted_table(
+    df: DataFrame, order: Sequence[Column | str], num_ranges: int | None = None
+) -> DataFrame:
+    """Write ``df`` range-partitioned and sorted; add the file number and row number."""
+    ranges = (
+        df.repartitionByRange(num_ranges, *order) if num_ranges else df.repartitionByRange(*order)
+    )
+    return numbered_files(ranges.sortWithinPartitions(*order))
+
+
 def with_position(
     df: DataFrame,
-    order: Sequence[Column | str],
+    order: Sequence[Column | str] | None,
     name: str = "index",
     num_ranges: int | None = None,
 ) -> tuple[DataFrame, int]:
-    """Add a 0-based consecutive position in the given order; also return the row count."""
+    """Add a 0-based consecutive position; also return the row count.
+
+    The position follows ``order``, or without one the order the rows have now: partition by
+    partition.
+    """
     require(name not in df.columns, f"column {name!r} exists already")
-    table = sorted_table(df, order, num_ranges)
+    table = numbered_files(df) if order is None else sorted_table(df, order, num_ranges)
     counts = table.groupBy(FILE).agg(F.count(F.lit(1)).alias("n")).collect()
     start, starts = 0, []
     for row in sorted(counts, key=lambda r: r[FILE]):
@@ -68,67 +77,84 @@ def with_position(
     return numbered, start
 
 
+Measures = Mapping[str, tuple[str, str]]
+_FUNCTIONS = {"sum": F.sum, "min": F.min}
+
+
+def file_spans(table: DataFrame, groups: Sequence[str], measures: Measures) -> DataFrame:
+    """Per (file, group) of a sorted table: each measure here, before and in total.
+
+    Columns ``<name>``, ``<name>__before``, ``<name>__total`` and ``__files``, the number of
+    files the group lies in. One small row per file and group.
+    """
+    group_cols = cols(groups)
+    here = table.groupBy(FILE, *group_cols).agg(
+        *[_FUNCTIONS[how](F.col(column)).alias(name) for name, (column, how) in measures.items()]
+    )
+    whole = Window.partitionBy(*(group_cols or [F.lit(0)]))
+    earlier = whole.orderBy(FILE).rowsBetween(Window.unboundedPreceding, -1)
+    columns = {"__files": F.count(F.lit(1)).over(whole)}
+    for name, (_, how) in measures.items():
+        columns[f"{name}__before"] = _FUNCTIONS[how](F.col(name)).over(earlier)
+        columns[f"{name}__total"] = _FUNCTIONS[how](F.col(name)).over(whole)
+    return here.withColumns(columns)
+
+
 def running(
     df: DataFrame,
     groups: Sequence[str],
     order: Sequence[str],
-    totals: Mapping[str, tuple[str, str]],
+    measures: Measures,
     num_ranges: int | None = None,
 ) -> DataFrame:
     """Running aggregates per group, **excluding** the current row.
 
-    ``totals`` maps a new column to ``(column, "sum" | "min")``. A sum starts at 0, a min at
-    null. Groups are spread over files like any other rows, so one group may be far larger
-    than a task; at most one group per file continues from an earlier file, which bounds
-    the table of carried values by the number of files.
+    ``measures`` maps a new column to ``(column, "sum" | "min")``. A sum starts at 0, a min
+    at null. Groups are spread over files like any other rows, so one group may be far
+    larger than a task.
     """
     table = sorted_table(df, [*cols(groups), *cols(order)], num_ranges)
-    functions = {"sum": F.sum, "min": F.min}
+    spans = file_spans(table, groups, measures)
+    return running_in(table, spans, groups, measures).select(*cols(df.columns), *measures)
+
+
+def running_in(
+    table: DataFrame, spans: DataFrame, groups: Sequence[str], measures: Measures
+) -> DataFrame:
+    """Running aggregates of a sorted table, or of some whole files of it, from its spans.
+
+    Adds ``<name>`` and ``<name>__total``. Only groups that lie in several files need their
+    spans, and at most two such groups touch a file, so the broadcast table has at most two
+    rows per file.
+    """
     group_cols = cols(groups)
-    before = (
-        Window.partitionBy(FILE, *group_cols)
-        .orderBy(ROW)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = table.withColumns(
-        {name: functions[how](F.col(column)).over(before) for name, (column, how) in totals.items()}
-    )
-    per_file = table.groupBy(FILE, *group_cols).agg(
-        *[functions[how](F.col(column)).alias(name) for name, (column, how) in totals.items()]
-    )
-    earlier = (
-        Window.partitionBy(*(group_cols or [F.lit(0)]))
-        .orderBy(FILE)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = per_file.select(
+    here = Window.partitionBy(FILE, *group_cols)
+    before = here.orderBy(ROW).rowsBetween(Window.unboundedPreceding, -1)
+    local = {}
+    for name, (column, how) in measures.items():
+        local[name] = _FUNCTIONS[how](F.col(column)).over(before)
+        local[f"{name}__total"] = _FUNCTIONS[how](F.col(column)).over(here)
+    carried = spans.filter(F.col("__files") > 1).select(
         F.col(FILE).alias("__carry_file"),
-        *[F.col(g).alias("__carry_" + g) for g in groups],
-        F.count(F.lit(1)).over(earlier).alias("__earlier_files"),
-        *[
-            functions[how](F.col(name)).over(earlier).alias("__carry_" + name)
-            for name, (_, how) in totals.items()
-        ],
-    ).filter(F.col("__earlier_files") > 0)
-    carry_groups = ["__carry_" + g for g in groups]
+        *[F.col(quoted(g)).alias("__carry_" + g) for g in groups],
+        *[F.col(f"{n}__{part}").alias(f"__carry_{n}_{part}") for n in measures for part in ("before", "total")],
+    )
     condition = [F.col(FILE) == F.col("__carry_file")]
     if groups:
-        condition.append(match(groups, carry_groups))
-    joined = local.join(F.broadcast(carried), all_of(condition), "left")
-    result = list(cols(df.columns))
-    for name, (_, how) in totals.items():
-        here, carry = F.col(name), F.col("__carry_" + name)
+        condition.append(match(groups, ["__carry_" + g for g in groups]))
+    joined = table.withColumns(local).join(F.broadcast(carried), all_of(condition), "left")
+    result = list(cols(table.columns))
+    for name, (column, how) in measures.items():
+        carry, own = F.col(f"__carry_{name}_before"), F.col(name)
         if how == "sum":
-            zero = F.lit(0).cast("double" if _is_float(df, totals[name][0]) else "long")
-            value = F.coalesce(here, zero) + F.coalesce(carry, zero)
+            zero = F.lit(0).cast("double" if _is_float(table, column) else "long")
+            value = F.coalesce(own, zero) + F.coalesce(carry, zero)
         else:
-            value = F.least(here, carry)
-        result.append(value.alias(name))
+            value = F.least(own, carry)
+        total = F.coalesce(F.col(f"__carry_{name}_total"), F.col(f"{name}__total"))
+        result += [value.alias(name), total.alias(f"{name}__total")]
     return joined.select(*result)
 
 
 def _is_float(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.FractionalType)
-
-
-__all__ = ["running", "sorted_table", "with_position", "prefixed"]

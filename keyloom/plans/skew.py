@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keys import cols, match, prefixed
+from .keys import cols, match, prefixed, quoted
 from .shared import materialise
 
 # Rows one task may hold for one key before the key is split.
@@ -41,8 +41,16 @@ def hot_groups(
     so every later use sees the same answer. ``None`` when no key is hot.
     """
     counts = df.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.filter(F.col("__n") > rows_per_task).select(
-        *cols(keys), F.ceil(F.col("__n") / rows_per_task).cast("int").alias(PARTS)
+    return hot_from_counts(counts, keys, "__n", rows_per_task)
+
+
+def hot_from_counts(
+    counts: DataFrame, keys: Sequence[str], count: str, rows_per_task: int
+) -> DataFrame | None:
+    """``hot_groups`` from a table that already has the number of rows of every key."""
+    n = F.col(quoted(count))
+    hot = counts.filter(n > rows_per_task).select(
+        *cols(keys), F.ceil(n / rows_per_task).cast("int").alias(PARTS)
     )
     table = materialise(hot, "hot")
     if table.isEmpty():

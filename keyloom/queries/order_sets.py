@@ -13,8 +13,7 @@ from .registry import Tables, one_row, query
 
 def _ranked(ordered, columns: list[str]):
     """Make the order of a sorted dataset visible as a column."""
-    placed = ordered.withColumn("__at", F.monotonically_increasing_id())
-    return positions.zip_with_index(placed, "__at", "rank", on_tie="any").select(*columns, "rank")
+    return positions.zip_with_index(ordered, name="rank").select(*columns, "rank")
 
 
 @query(

@@ -72,10 +72,11 @@ _NODES = """WITH j AS (SELECT o_orderkey AS job_id, o_orderpriority, o_orderstat
   FROM pairs p LEFT JOIN (SELECT * FROM best WHERE i = 1) b ON b.job_a = p.job_a AND b.job_b = p.job_b) """
 
 
-def _neighbours(nodes: DataFrame) -> DataFrame:
-    jobs = nodes.select("job_id").distinct()
-    following = jobs.select(F.col("job_id").alias("job_b"), (F.col("job_id") - 1).alias("job_a"))
-    return following.join(jobs.select(F.col("job_id").alias("job_a")), "job_a").select("job_a", "job_b")
+def _neighbours(t: Tables) -> DataFrame:
+    """Pairs of orders with following numbers."""
+    jobs = t.lineitem.select(F.col("l_orderkey").alias("job_a")).distinct()
+    following = jobs.select((F.col("job_a") - 1).alias("job_a"), F.col("job_a").alias("job_b"))
+    return following.join(jobs, "job_a")
 
 
 @query(
@@ -132,14 +133,12 @@ def _(t: Tables):
 
 @query("match_plans", _NODES + "SELECT * FROM m")
 def _(t: Tables):
-    nodes = _nodes(t)
-    return plans.match_plans(nodes, _neighbours(nodes))
+    return plans.match_plans(_nodes(t), _neighbours(t))
 
 
 @query("reuse_matrix", _NODES + "SELECT job_a, job_b, matched / 5.0::DOUBLE AS share FROM m")
 def _(t: Tables):
-    nodes = _nodes(t)
-    return plans.reuse_matrix(nodes, _neighbours(nodes))
+    return plans.reuse_matrix(_nodes(t), _neighbours(t))
 
 
 @query(
@@ -160,9 +159,8 @@ def _(t: Tables):
  SELECT job_id, source_job, len / 5.0::DOUBLE AS share FROM c WHERE i = 1""",
 )
 def _(t: Tables):
-    nodes = _nodes(t)
-    order = nodes.select("job_id", F.col("job_id").alias("seq")).distinct()
-    return plans.plan_reuse(nodes, order)
+    order = t.orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderkey").alias("seq"))
+    return plans.plan_reuse(_nodes(t), order)
 
 
 NOW = datetime(2001, 1, 1)

@@ -8,7 +8,7 @@ case and the inputs agree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checks import require_columns
@@ -17,21 +17,26 @@ SCAN = "scan"
 SCHEMA = "job_id string, pos int, op string, fn string, inputs array<string>, mtimes array<bigint>"
 
 
-def _signature() -> Column:
-    return F.to_json(
-        F.struct(
-            F.lower(F.coalesce("op", F.lit(""))).alias("op"),
-            F.lower(F.coalesce("fn", F.lit(""))).alias("fn"),
-            F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"),
-        )
+def _plans(nodes: DataFrame) -> DataFrame:
+    """(job_id, plan, scans): the steps of each job in order, and where its scans are."""
+    require_columns(nodes, ["job_id", "pos", "op", "fn", "inputs"])
+    step = F.struct(
+        F.lower(F.coalesce("op", F.lit(""))).alias("op"),
+        F.lower(F.coalesce("fn", F.lit(""))).alias("fn"),
+        F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"),
     )
+    ordered = F.array_sort(F.collect_list(F.struct("pos", step.alias("step"))))
+    plans = nodes.groupBy("job_id").agg(F.transform(ordered, lambda e: e["step"]).alias("plan"))
+    places = F.sequence(F.lit(0), F.size("plan") - 1)
+    scans = F.filter(places, lambda i: F.col("plan")[i]["op"] == SCAN)
+    return plans.select("job_id", "plan", scans.alias("scans"))
 
 
-def _signed(nodes: DataFrame) -> DataFrame:
-    require_columns(nodes, ["job_id", "pos", "op", "fn", "inputs"])
-    return nodes.select(
-        "job_id", "pos", (F.lower("op") == SCAN).alias("is_scan"), _signature().alias("sig")
-    )
+def _common_run(a: Column, i: Column, b: Column, j: Column) -> Column:
+    """Number of equal steps of plan a from i on and plan b from j on."""
+    same = F.zip_with(F.slice(a, i + 1, F.size(a)), F.slice(b, j + 1, F.size(b)), lambda x, y: x.eqNullSafe(y))
+    first_difference = F.array_position(same, False)
+    return F.when(first_difference > 0, first_difference - 1).otherwise(F.size(same)).cast("int")
 
 
 def match_plans(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -39,41 +44,32 @@ def match_plans(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``pairs`` has (job_a, job_b). Result: (job_a, job_b, matched, begin_a, end_a, begin_b,
     end_b); without a match all numbers are 0. Of equal runs the earliest in a, then in b,
-    is taken. Work per pair is bounded by the product of two plan lengths.
+    is taken. One row per pair is joined, and the work on it is bounded by the two plans.
     """
-    signed = _signed(nodes)
+    plans = _plans(nodes)
     asked = pairs.select("job_a", "job_b").distinct()
-    a = signed.select(F.col("job_id").alias("job_a"), F.col("pos").alias("pos_a"), "is_scan", "sig")
-    b = signed.select(F.col("job_id").alias("job_b"), F.col("pos").alias("pos_b"), F.col("sig").alias("sig_b"))
-    common = (
-        asked.join(a, "job_a")
-        .join(b, ["job_b"])
-        .filter(F.col("sig") == F.col("sig_b"))
-        .withColumn("diff", F.col("pos_a") - F.col("pos_b"))
-    )
-    line = Window.partitionBy("job_a", "job_b", "diff").orderBy("pos_a")
-    runs = (
-        common.withColumn("run", F.col("pos_a") - F.row_number().over(line))
-        .groupBy("job_a", "job_b", "diff", "run")
-        .agg(
-            F.min(F.when(F.col("is_scan"), F.col("pos_a"))).alias("begin_a"),
-            F.max("pos_a").alias("end_a"),
+    a = plans.select(F.col("job_id").alias("job_a"), F.col("plan").alias("a"), F.col("scans").alias("scans_a"))
+    b = plans.select(F.col("job_id").alias("job_b"), F.col("plan").alias("b"), F.col("scans").alias("scans_b"))
+
+    def run(i: Column, j: Column) -> Column:
+        return F.struct(
+            _common_run(F.col("a"), i, F.col("b"), j).alias("matched"), (-i).alias("i"), (-j).alias("j")
         )
-        .filter(F.col("begin_a").isNotNull())
-        .withColumn("matched", F.col("end_a") - F.col("begin_a") + 1)
-        .withColumn("begin_b", F.col("begin_a") - F.col("diff"))
-        .withColumn("end_b", F.col("end_a") - F.col("diff"))
-    )
-    fields = ["matched", "begin_a", "end_a", "begin_b", "end_b"]
-    best = runs.groupBy("job_a", "job_b").agg(
-        F.max_by(
-            F.struct(*fields),
-            F.struct("matched", (-F.col("begin_a")).alias("a"), (-F.col("begin_b")).alias("b")),
-        ).alias("best")
-    )
-    return asked.join(best, ["job_a", "job_b"], "left").select(
-        "job_a", "job_b", *[F.coalesce(F.col("best")[f], F.lit(0)).alias(f) for f in fields]
+
+    runs = F.flatten(F.transform("scans_a", lambda i: F.transform("scans_b", lambda j: run(i, j))))
+    found = F.filter(runs, lambda r: r["matched"] > 0)
+    best = asked.join(a, "job_a", "left").join(b, "job_b", "left").select(
+        "job_a", "job_b", F.array_max(found).alias("r")
     )
+    matched, i, j = F.col("r.matched"), -F.col("r.i"), -F.col("r.j")
+    fields = {
+        "matched": matched,
+        "begin_a": i,
+        "end_a": i + matched - 1,
+        "begin_b": j,
+        "end_b": j + matched - 1,
+    }
+    return best.select("job_a", "job_b", *[F.coalesce(c, F.lit(0)).alias(n) for n, c in fields.items()])
 
 
 def reuse_matrix(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -95,20 +91,21 @@ def plan_prefixes(nodes: DataFrame) -> DataFrame:
     Two jobs have a common run of length n exactly when they share a prefix of length n, so
     pairs need not be formed to find the best partner.
     """
-    signed = _signed(nodes)
-    plans = signed.groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "is_scan", "sig"))).alias("plan")
-    )
-    begin = F.explode(
-        F.filter(F.sequence(F.lit(0), F.size("plan") - 1), lambda i: F.col("plan")[i]["is_scan"])
+    starts = _plans(nodes).select(
+        "job_id", F.size("plan").alias("steps"), "plan", F.explode("scans").alias("begin")
     )
-    starts = plans.select("job_id", F.size("plan").alias("steps"), "plan", begin.alias("begin"))
-    lengths = starts.select(
-        "*", F.explode(F.sequence(F.lit(1), F.col("steps") - F.col("begin"))).alias("matched")
+    rest = F.slice("plan", F.col("begin") + 1, F.size("plan"))
+    # each digest covers its step and the digest before it
+    digests = F.aggregate(
+        rest,
+        F.array().cast("array<string>"),
+        lambda done, step: F.array_append(
+            done, F.sha2(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), F.to_json(step)), 256)
+        ),
     )
-    run = F.slice("plan", F.col("begin") + 1, F.col("matched"))
-    text = F.concat_ws("\n", F.transform(run, lambda s: s["sig"]))
-    return lengths.select("job_id", "steps", "begin", "matched", F.sha2(text, 256).alias("prefix"))
+    return starts.select(
+        "job_id", "steps", "begin", F.posexplode(digests).alias("at", "prefix")
+    ).select("job_id", "steps", "begin", (F.col("at") + 1).alias("matched"), "prefix")
 
 
 def plan_reuse(nodes: DataFrame, order: DataFrame) -> DataFrame:

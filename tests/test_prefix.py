@@ -182,3 +182,9 @@ def test_distribution_summary(spark):
     row = distributions.distribution_summary(df, "v").first()
     assert (row["count"], row["mean"], row["q0"], row["q50"], row["q100"]) == (100, 50.5, 1, 51, 100)
     assert Counter([row["max"], row["min"]]) == Counter([100.0, 1.0])
+
+
+def test_index_in_present_order(spark):
+    df = spark.range(0, 50, 1, 4).orderBy(F.col("id").desc())
+    got = {r["id"]: r["i"] for r in positions.zip_with_index(df, name="i").collect()}
+    assert got == {v: 49 - v for v in range(50)}
