@@ -19,13 +19,18 @@ from .registry import Tables, query
 
 
 def _jobs(t: Tables) -> DataFrame:
+    # letters are compared as numbers, which hash aggregation can keep in place
     lines = t.lineitem.groupBy("l_orderkey").agg(
-        F.min("l_returnflag").alias("flag"),
-        F.max("l_linestatus").alias("line_status"),
+        F.min(F.ascii("l_returnflag")).alias("flag_code"),
+        F.max(F.ascii("l_linestatus")).alias("status_code"),
         F.min("l_suppkey").alias("supp"),
         F.count(F.lit(1)).alias("n"),
     )
-    return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return (
+        t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        .withColumn("flag", F.char("flag_code"))
+        .withColumn("line_status", F.char("status_code"))
+    )
 
 
 def _nodes(t: Tables) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checks import require_columns
+from ..plans.shared import materialise
 
 SCAN = "scan"
 SCHEMA = "job_id string, pos int, op string, fn string, inputs array<string>, mtimes array<bigint>"
@@ -45,8 +46,9 @@ def match_plans(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     ``pairs`` has (job_a, job_b). Result: (job_a, job_b, matched, begin_a, end_a, begin_b,
     end_b); without a match all numbers are 0. Of equal runs the earliest in a, then in b,
     is taken. One row per pair is joined, and the work on it is bounded by the two plans.
+    The plans are put together once and read for both sides.
     """
-    plans = _plans(nodes)
+    plans = materialise(_plans(nodes), "plans")
     asked = pairs.select("job_a", "job_b").distinct()
     a = plans.select(F.col("job_id").alias("job_a"), F.col("plan").alias("a"), F.col("scans").alias("scans_a"))
     b = plans.select(F.col("job_id").alias("job_b"), F.col("plan").alias("b"), F.col("scans").alias("scans_b"))
@@ -115,7 +117,9 @@ def plan_reuse(nodes: DataFrame, order: DataFrame) -> DataFrame:
     with an earlier one are left out, ties go to the earliest. Linear in the number of steps:
     each prefix keeps only the earliest job that has it.
     """
-    prefixes = plan_prefixes(nodes).join(order.select("job_id", "seq"), "job_id")
+    prefixes = materialise(
+        plan_prefixes(nodes).join(order.select("job_id", "seq"), "job_id"), "prefixes"
+    )
     earliest = prefixes.groupBy("prefix").agg(
         F.min_by("job_id", "seq").alias("source_job"), F.min("seq").alias("source_seq")
     )
