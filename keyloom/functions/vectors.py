@@ -54,8 +54,11 @@ def multiply(a, factor: Column | float) -> Column:
 
 
 def divide(a, divisor: Column | float) -> Column:
+    """Division by zero gives infinities, and NaN for a zero element."""
     by = divisor if isinstance(divisor, Column) else F.lit(float(divisor))
-    return F.transform(vector(a), lambda x: x / by)
+    quotient = F.transform(vector(a), lambda x: x / F.nullif(by, F.lit(0.0)))
+    endless = F.transform(vector(a), lambda x: x * F.lit(float("inf")))
+    return F.when(by == 0, endless).otherwise(quotient)
 
 
 def negate(a) -> Column:

@@ -408,3 +408,17 @@ def count_by_key_approx(
 
 
 count_by_value_approx = count_by_key_approx
+
+
+def grouped_sum_approx(
+    df: DataFrame, keys: str | Sequence[str], column: str, part: Column, total_parts: int,
+    confidence: float = 0.95,
+) -> DataFrame:
+    return estimate_progress(df, part, total_parts, column, keys, "sum", confidence)
+
+
+def grouped_mean_approx(
+    df: DataFrame, keys: str | Sequence[str], column: str, part: Column, total_parts: int,
+    confidence: float = 0.95,
+) -> DataFrame:
+    return estimate_progress(df, part, total_parts, column, keys, "mean", confidence)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.checks import EmptyInputError, as_list, require
 from ..plans.keys import cols, match, prefixed, quoted
 from ..plans.prefix import FILE, file_spans, running_in, sorted_table
+from ..plans.shared import materialise
 from .aggregates import stats
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -108,7 +109,7 @@ def closest_quantiles(
 
     measures = {"__c": ("__n", "sum")}
     table = sorted_table(counts, [*cols(groups), F.col("__value")])
-    spans = file_spans(table, groups, measures)
+    spans = materialise(file_spans(table, groups, measures), "spans")
     start = F.coalesce(F.col("__c__before"), F.lit(0))
     in_span = hits(F.col("__c__total"), start, F.col("__c"))
     # at most one number per written file; files without a wanted position are not read again

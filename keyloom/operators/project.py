@@ -108,10 +108,17 @@ flat_map_with = map_with
 
 
 def filter_with(
-    df: DataFrame, build: Callable[[int], Any], f: Callable[[Any, pd.DataFrame], pd.Series]
+    df: DataFrame, build: Callable[[int], Any], f: Callable[[Any, pd.DataFrame], Any]
 ) -> DataFrame:
-    """Keep the rows for which the batch predicate is true."""
-    return df.mapInPandas(_with_resource(build, lambda r, b: b[f(r, b)]), df.schema)
+    """Keep the rows for which the batch predicate is true; the rows themselves stay in Arrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resource = build(TaskContext.get().partitionId())
+        for batch in batches:
+            keep = np.asarray(f(resource, batch.to_pandas()), dtype=bool)
+            yield batch.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def foreach_with(

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from ..plans.shared import materialise
 from ..plans.skew import broadcast_if_small
 
 DRAW = "__draw"
+COPIES_PER_BATCH = 10_000
 
 
 def sample(df: DataFrame, fraction: float, seed: int, with_replacement: bool = False) -> DataFrame:
@@ -130,19 +131,17 @@ def sample_by_key(
 
 
 def _poisson_copies(rated: DataFrame, seed: int) -> DataFrame:
-    """Repeat each row a Poisson number of times with mean ``__rate``."""
+    """Repeat each row a Poisson number of times with mean ``__rate``; rows stay in Arrow."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         generator = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        for rates in batches:
-            yield rates.assign(
-                __copies=[list(range(c)) for c in generator.poisson(rates["__rate"].to_numpy())]
-            )
+        for batch in batches:
+            rates = batch.column("__rate").to_numpy(zero_copy_only=False)
+            copies = np.repeat(np.arange(len(rates)), generator.poisson(rates))
+            for start in range(0, len(copies), COPIES_PER_BATCH):
+                yield batch.take(pa.array(copies[start : start + COPIES_PER_BATCH]))
 
-    counted = T.StructType([*rated.schema, T.StructField("__copies", T.ArrayType(T.LongType()))])
-    return rated.mapInPandas(run, counted).select(
-        *cols(rated.columns), F.explode("__copies").alias("__copy")
-    ).drop("__copy")
+    return rated.mapInArrow(run, rated.schema)
 
 
 def sample_by_key_exact(
@@ -218,7 +217,10 @@ def _smallest_draws(drawn: DataFrame, key: str, needed: DataFrame) -> DataFrame:
 
 
 def reservoir_per_partition(df: DataFrame, k: int, seed: int) -> DataFrame:
-    """Up to ``k`` random rows of each partition with the partition's id and exact size."""
+    """Up to ``k`` random rows of each partition with the partition's id and exact size.
+
+    One pass; a task holds at most ``k`` rows and one batch.
+    """
     require(k >= 1, "k must be positive")
     schema = T.StructType(
         [
@@ -228,21 +230,22 @@ def reservoir_per_partition(df: DataFrame, k: int, seed: int) -> DataFrame:
         ]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         generator = np.random.default_rng([seed, part])
-        kept, seen = None, 0
+        kept, draws, seen = None, np.empty(0), 0
         for batch in batches:
-            seen += len(batch)
-            batch = batch.assign(__draw=generator.random(len(batch)))
-            both = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            kept = both.nsmallest(k, "__draw")
-        if kept is not None:
-            rows = kept.drop(columns="__draw")
-            rows.insert(0, "partition_rows", seen)
-            rows.insert(0, "partition", part)
-            yield rows
-
-    return df.mapInPandas(run, schema)
-
-
+            seen += batch.num_rows
+            here = pa.Table.from_batches([batch])
+            both = here if kept is None else pa.concat_tables([kept, here])
+            draws = np.concatenate([draws, generator.random(batch.num_rows)])
+            best = np.argsort(draws, kind="stable")[:k]
+            kept, draws = both.take(pa.array(best)), draws[best]
+        if kept is not None and seen:
+            n = kept.num_rows
+            ids = pa.array([part] * n, pa.int32()), pa.array([seen] * n, pa.int64())
+            columns = [*ids, *[c.combine_chunks() for c in kept.columns]]
+            names = ["partition", "partition_rows", *kept.column_names]
+            yield from pa.Table.from_arrays(columns, names=names).to_batches()
+
+    return df.mapInArrow(run, schema)

@@ -6,10 +6,11 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Accumulator, AccumulatorParam, SparkFiles
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def observe(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
@@ -71,11 +72,13 @@ def file_lookup(
     Each task reads the file once; keys are compared as text.
     """
     schema = T.StructType([*df.schema, *T.StructType.fromDDL(f"`{name}` {value_type}")])
+    kind = to_arrow_schema(schema).field(name).type
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(SparkFiles.get(file_name), encoding="utf-8") as lines:
             table = {str(item["k"]): item["v"] for item in map(json.loads, lines)}
         for batch in batches:
-            yield batch.assign(**{name: batch[key].astype(str).map(table)})
+            keys = batch.column(key).cast(pa.string()).to_pylist()
+            yield batch.append_column(name, pa.array([table.get(k) for k in keys], kind))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import scratch_path
+from ..plans.shared import discard_on_exit, scratch_path
 from ..reuse import catalog as cat
 from ..reuse import plans
 from ..reuse.store import Pipeline, ResultStore
@@ -122,6 +122,7 @@ def _(t: Tables):
     store = ResultStore(t.spark, scratch_path(t.spark, "store"))
     pipeline = _pipeline(t)
     store.store(pipeline, steps=1)
+    discard_on_exit(t.spark, store.root)
     return store.run(pipeline)
 
 
@@ -130,6 +131,7 @@ def _(t: Tables):
     store = ResultStore(t.spark, scratch_path(t.spark, "store"))
     pipeline = _pipeline(t)
     store.store(pipeline, steps=1)
+    discard_on_exit(t.spark, store.root)
     store.run(pipeline)
     return store.catalog().select(
         "steps", "n_scans", "n_nodes", "reuse", (F.col("size_gib") > 0).alias("has_size")

@@ -259,6 +259,8 @@ def test_vectors(spark):
     assert value(v.plus_dot("a", [1, 1, 1], "b")) == 47
     assert value(v.dist("a", "b")) == math.sqrt(27)
     assert value(v.divide(v.negate(v.multiply("a", 2)), 4)) == [-0.5, -1, -1.5]
+    assert value(v.divide(v.negate("a"), 0)) == [-math.inf] * 3
+    assert math.isnan(value(v.divide(v.zeros(1), 0))[0])
     assert value(v.fill(3, lambda i: i + 1)) == [1, 2, 3]
     assert value(v.fill(0, lambda i: i)) == []
     assert value(v.zeros(2)) == [0, 0] and value(v.ones(2)) == [1, 1]

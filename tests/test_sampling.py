@@ -121,3 +121,14 @@ def test_reservoir(numbers):
     assert sorted(r["id"] for r in rows) == sorted(r["id"] for r in again)
     small = sampling.reservoir_per_partition(numbers.filter(F.col("id") < 3), 10, 1)
     assert sorted(r["id"] for r in small.collect()) == [0, 1, 2]
+
+
+def test_rows_survive_unchanged(spark):
+    """Large integers beside nulls, dates and lists come back exactly as they were."""
+    rows = [(2**60 + i if i % 2 else None, [i, None], "x" if i % 3 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "big long, xs array<int>, s string").coalesce(2)
+    whole = {repr(r) for r in rows}
+    sample = sampling.sample_by_key(df, "s", {"x": 3.0, None: 2.0}, 1, with_replacement=True)
+    assert {repr((r["big"], r["xs"], r["s"])) for r in sample.collect()} <= whole
+    kept = sampling.reservoir_per_partition(df, 20, 1).collect()
+    assert {repr((r["big"], r["xs"], r["s"])) for r in kept} <= whole and len(kept) == 40
