@@ -38,18 +38,21 @@ def pagerank(
     )
     degrees = materialise(distinct.groupBy("source").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     hot = hot_from_counts(degrees, ["source"], "degree", rows_per_task)
-    # placed by join key once, so a round moves only the ranks
-    links = (
-        split_hot(distinct, ["source"], hot)
-        .join(degrees, "source")
-        .repartition("source", PART)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    keys = ["source"] if hot is None else ["source", PART]
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Placed by join key once and kept, so a round shuffles only what the nodes pass on. The
+    # fixed number of partitions is what the aggregation of each round uses as well.
+    links = split_hot(distinct, ["source"], hot).join(degrees, "source")
+    links = links.select(*keys, "target", "degree").repartition(width, *keys)
+    links = links.persist(StorageLevel.MEMORY_AND_DISK)
+    links.count()
     ranks = degrees.select(F.col("source").alias("node"), F.lit(1.0).alias("rank"))
     for round_number in range(1, iterations + 1):
-        copies = with_parts(ranks.withColumnRenamed("node", "source"), ["source"], hot)
-        salted = copies.withColumn(PART, F.explode(F.sequence(F.lit(0), F.col(PARTS) - 1)))
-        passed = links.join(salted, ["source", PART]).select(
+        givers = ranks.withColumnRenamed("node", "source")
+        if hot is not None:
+            parts = F.explode(F.sequence(F.lit(0), F.col(PARTS) - 1))
+            givers = with_parts(givers, ["source"], hot).select("source", "rank", parts.alias(PART))
+        passed = links.join(givers, keys).select(
             F.col("target").alias("node"), (F.col("rank") / F.col("degree")).alias("given")
         )
         ranks = passed.groupBy("node").agg((0.15 + 0.85 * F.sum("given")).alias("rank"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checks import EmptyInputError, as_list, key_and_values, require, require_columns
 from ..plans.keys import cols, quoted
-from ..plans.skew import PART, ROWS_PER_TASK, hot_groups, split_hot
+from ..plans.skew import ROWS_PER_TASK, group_in_parts
 
 NAN = float("nan")
 
@@ -112,12 +112,8 @@ def group_by_key(
     an unbounded group; other keys have the single chunk 0.
     """
     key_names, values = key_and_values(df, keys)
-    hot = hot_groups(df, key_names, rows_per_group)
-    return (
-        split_hot(df, key_names, hot)
-        .groupBy(*cols(key_names), F.col(PART).alias("chunk"))
-        .agg(F.collect_list(F.struct(*cols(values))).alias(name))
-    )
+    packed = df.select(*cols(key_names), F.struct(*cols(values)).alias(name))
+    return group_in_parts(packed, key_names, [F.collect_list(name).alias(name)], rows_per_group)
 
 
 def group_by(

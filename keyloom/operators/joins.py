@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from ..plans.checks import as_list, key_and_values, require
 from ..plans.keys import any_of, cols, match, prefixed
 from ..plans.skew import (
-    PART,
     ROWS_PER_TASK,
     broadcast_if_small,
+    group_in_parts,
     hot_groups,
-    split_hot,
     with_parts,
 )
 
@@ -150,13 +149,9 @@ def cogroup(
             ],
         )
         tagged = packed if tagged is None else tagged.unionByName(packed)
-    hot = hot_groups(tagged.select(*cols(key_names)), key_names, rows_per_group)
-    parts = split_hot(tagged, key_names, hot)
-    return (
-        parts.groupBy(*cols(key_names), F.col(PART).alias("chunk"))
-        # a struct keeps null values; collect_list skips only the rows of the other sides
-        .agg(*[F.collect_list(s).alias(s) for s in sides])
-    )
+    # a struct keeps null values; collect_list skips only the rows of the other sides
+    lists = [F.collect_list(s).alias(s) for s in sides]
+    return group_in_parts(tagged, key_names, lists, rows_per_group, tagged.select(*cols(key_names)))
 
 
 def _value_type(df: DataFrame, keys: Sequence[str]):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import cols, match, prefixed, quoted
@@ -82,3 +82,23 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> Data
         .withColumn(PART, F.pmod(F.col("__source"), F.col(PARTS)))
         .drop("__source", PARTS)
     )
+
+
+def group_in_parts(
+    df: DataFrame,
+    keys: Sequence[str],
+    aggregates: Sequence[Column],
+    rows_per_group: int,
+    count_of: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, chunk, aggregates…): group by key, hot keys in numbered parts.
+
+    Without a hot key the result is partitioned by the keys alone, so a later step by the
+    same keys needs no shuffle.
+    """
+    hot = hot_groups(df if count_of is None else count_of, keys, rows_per_group)
+    if hot is None:
+        grouped = df.groupBy(*cols(keys)).agg(*aggregates)
+        rest = [c for c in grouped.columns if c not in keys]
+        return grouped.select(*cols(keys), F.lit(0).alias("chunk"), *cols(rest))
+    return split_hot(df, keys, hot).groupBy(*cols(keys), F.col(PART).alias("chunk")).agg(*aggregates)
