@@ -163,7 +163,7 @@ def _(t: Tables):
 
 @query(
     "group_by_expr",
-    """SELECT year(o_orderdate) AS key, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total
+    """SELECT CAST(year(o_orderdate) AS INTEGER) AS key, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total
        FROM orders GROUP BY 1""",
 )
 def _(t: Tables):

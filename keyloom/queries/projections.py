@@ -97,7 +97,7 @@ def _(t: Tables):
 
 @query(
     "key_by",
-    "SELECT year(o_orderdate) AS key, o_orderkey, o_orderpriority FROM orders",
+    "SELECT CAST(year(o_orderdate) AS INTEGER) AS key, o_orderkey, o_orderpriority FROM orders",
 )
 def _(t: Tables):
     return project.key_by(t.orders.select("o_orderkey", "o_orderpriority", "o_orderdate"), F.year("o_orderdate")).drop(

@@ -69,18 +69,24 @@ class Pipeline:
         step = Step(op, fn if fn is not None else function_identity(f), f)
         return Pipeline(self.spark, self.job_id, self.inputs, [*self.steps, step])
 
-    def input_files(self) -> list[tuple[str, int]]:
-        """(path, modification time in ms) of every input file; no content is read."""
+    def input_files(self) -> DataFrame:
+        """(path, mtime): every input file and its modification time in ms; no content is read."""
         files = self.spark.read.format("binaryFile").load(self.inputs)
-        rows = files.select("path", F.unix_millis("modificationTime").alias("mtime"))
-        return sorted((r["path"], r["mtime"]) for r in rows.toLocalIterator())
+        return files.select("path", F.unix_millis("modificationTime").alias("mtime"))
 
     def nodes(self) -> DataFrame:
         """The plan as rows of ``plan_nodes``."""
-        files = self.input_files()
-        scan = (self.job_id, 0, SCAN, "", [p for p, _ in files], [m for _, m in files])
+        listed = F.array_sort(F.collect_list(F.struct("path", "mtime")))
+        scan = self.input_files().agg(listed.alias("files")).select(
+            F.lit(self.job_id).alias("job_id"),
+            F.lit(0).alias("pos"),
+            F.lit(SCAN).alias("op"),
+            F.lit("").alias("fn"),
+            F.transform("files", lambda f: f["path"]).alias("inputs"),
+            F.transform("files", lambda f: f["mtime"]).alias("mtimes"),
+        )
         rest = [(self.job_id, i + 1, s.op, s.fn, [], []) for i, s in enumerate(self.steps)]
-        return self.spark.createDataFrame([scan, *rest], SCHEMA)
+        return scan.unionByName(self.spark.createDataFrame(rest, SCHEMA))
 
     def prefix(self, steps: int) -> str:
         """Digest of the scan and the first ``steps`` steps."""
@@ -100,9 +106,10 @@ class ResultStore:
 
     # --- tables ---------------------------------------------------------------------
     def _append(self, name: str, rows: list[tuple], schema: str) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(
-            f"{self.root}/{name}"
-        )
+        self._append_table(name, self.spark.createDataFrame(rows, schema).coalesce(1))
+
+    def _append_table(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.root}/{name}")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -123,7 +130,8 @@ class ResultStore:
         steps = len(pipeline.steps) if steps is None else steps
         entry = uuid.uuid4().hex
         path = f"{self.root}/results/{entry}"
-        files = pipeline.input_files()
+        # noted before the run: a file that changes meanwhile makes the entry stale, not wrong
+        self._append_table("inputs", pipeline.input_files().select(F.lit(entry).alias("id"), "path", "mtime"))
         started = time.monotonic()
         pipeline.run(steps).write.parquet(path)
         elapsed = int((time.monotonic() - started) * 1000)
@@ -142,7 +150,6 @@ class ResultStore:
             entry, pipeline.prefix(steps), steps, path, mtime, size_gib, elapsed,
             steps + 1, 1, now,
         )
-        self._append("inputs", [(entry, p, m) for p, m in files], _INPUTS)
         self._append("entries", [row], _ENTRIES)
         return self.spark.read.parquet(path)
 
@@ -168,7 +175,7 @@ class ResultStore:
         """(id, path, steps) of the longest stored prefix whose inputs are unchanged."""
         wanted = {pipeline.prefix(n): n for n in range(len(pipeline.steps) + 1)}
         candidates = self.catalog().filter(F.col("prefix").isin(list(wanted)))
-        files = self.spark.createDataFrame(pipeline.input_files(), "path string, mtime bigint")
+        files = pipeline.input_files()
         stored = self._table("inputs", _INPUTS).join(candidates.select("id"), "id", "left_semi")
         stale = stale_entries(stored, files)
         grown = (
