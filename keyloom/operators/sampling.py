@@ -25,6 +25,7 @@ from ..plans.skew import broadcast_if_small
 
 DRAW = "__draw"
 COPIES_PER_BATCH = 10_000
+SURE = 4.5  # standard deviations of safety in sample sizes
 
 
 def sample(df: DataFrame, fraction: float, seed: int, with_replacement: bool = False) -> DataFrame:
@@ -71,15 +72,15 @@ def cell_sample(
 
 
 def oversampling_fraction(n: int, total: int, with_replacement: bool) -> float:
-    """Rate that yields at least ``n`` of ``total`` rows except once in 10,000 tries."""
-    share = n / total
-    if with_replacement:
-        # Poisson counts: mean m is enough when m - z*sqrt(m) >= n
-        z = 9.0 if n < 12 else 5.0
-        return (math.sqrt(n + z * z / 4) + z / 2) ** 2 / total
-    # Chernoff bound for the lower tail of a binomial count
-    slack = -math.log(1e-4) / total
-    return min(1.0, share + slack + math.sqrt(slack * slack + 2 * slack * share))
+    """Rate that yields at least ``n`` of ``total`` rows except once in 10,000 tries.
+
+    The expected size m is the one that lies SURE standard deviations of a Poisson count
+    above n. A Bernoulli sample varies less, so the same rate is enough for it.
+    """
+    half = SURE / 2
+    expected = (half + math.sqrt(n + half * half)) ** 2
+    rate = expected / total
+    return rate if with_replacement else min(1.0, rate)
 
 
 def take_sample(df: DataFrame, n: int, seed: int, with_replacement: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ lines, and a second scan of its main supplier's file followed by one more step.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -206,8 +206,8 @@ def _catalog(t: Tables) -> DataFrame:
 def _(t: Tables):
     """The store may keep half of its recent results and needs room for an eighth."""
     catalog = _catalog(t)
-    cut = F.lit(NOW).cast("timestamp").cast("double") - F.col("inserted").cast("timestamp").cast("double")
-    fresh = catalog.filter(cut < cat.MAX_AGE_DAYS * 86400).agg(F.sum("size_gib")).first()[0]
+    limit = F.lit((NOW - timedelta(days=cat.MAX_AGE_DAYS)).isoformat(sep=" ")).cast("timestamp_ntz")
+    fresh = catalog.filter(F.col("inserted") > limit).agg(F.sum("size_gib")).first()[0]
     return cat.evict_candidates(catalog, fresh / 2, fresh / 8, NOW)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,9 @@ def evict_candidates(
     store is refused.
     """
     require(needed_gib <= capacity_gib, "the new entry is larger than the store")
-    age = F.lit(now).cast("timestamp").cast("double") - F.col("inserted").cast("timestamp").cast("double")
-    aged = catalog.withColumn("__old", age >= MAX_AGE_DAYS * 86400)
+    limit = (now - timedelta(days=MAX_AGE_DAYS)).isoformat(sep=" ")
+    limit_column = F.lit(limit).cast(catalog.schema["inserted"].dataType)
+    aged = catalog.withColumn("__old", F.col("inserted") <= limit_column)
     used, fresh_used = aged.agg(
         F.coalesce(F.sum("size_gib"), F.lit(0.0)),
         F.coalesce(F.sum(F.when(~F.col("__old"), F.col("size_gib"))), F.lit(0.0)),
