@@ -18,26 +18,39 @@ SCAN = "scan"
 SCHEMA = "job_id string, pos int, op string, fn string, inputs array<string>, mtimes array<bigint>"
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def _plans(nodes: DataFrame) -> DataFrame:
-    """(job_id, plan, scans): the steps of each job in order, and where its scans are."""
+    """(job_id, plan, scans): a digest per step in order, and where the scans are.
+
+    Steps are digested before they move, so plans stay short whatever the steps say.
+    """
     require_columns(nodes, ["job_id", "pos", "op", "fn", "inputs"])
     step = F.struct(
         F.lower(F.coalesce("op", F.lit(""))).alias("op"),
         F.lower(F.coalesce("fn", F.lit(""))).alias("fn"),
         F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", step.alias("step"))))
-    plans = nodes.groupBy("job_id").agg(F.transform(ordered, lambda e: e["step"]).alias("plan"))
-    places = F.sequence(F.lit(0), F.size("plan") - 1)
-    scans = F.filter(places, lambda i: F.col("plan")[i]["op"] == SCAN)
-    return plans.select("job_id", "plan", scans.alias("scans"))
+    is_scan = F.lower(F.coalesce("op", F.lit(""))) == SCAN
+    steps = nodes.select(
+        "job_id", "pos", _digest(F.to_json(step)).alias("digest"), is_scan.alias("is_scan")
+    )
+    gathered = steps.groupBy("job_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "digest", "is_scan"))).alias("steps")
+    )
+    scans = F.filter(F.transform("steps", lambda e, i: F.when(e["is_scan"], i)), lambda i: i.isNotNull())
+    return gathered.select(
+        "job_id", F.transform("steps", lambda e: e["digest"]).alias("plan"), scans.alias("scans")
+    )
 
 
 def _common_run(a: Column, i: Column, b: Column, j: Column) -> Column:
     """Number of equal steps of plan a from i on and plan b from j on."""
     same = F.zip_with(F.slice(a, i + 1, F.size(a)), F.slice(b, j + 1, F.size(b)), lambda x, y: x.eqNullSafe(y))
-    first_difference = F.array_position(same, False)
-    return F.when(first_difference > 0, first_difference - 1).otherwise(F.size(same)).cast("int")
+    # a difference is added behind the last step, so one is always found
+    return (F.array_position(F.array_append(same, F.lit(False)), False) - 1).cast("int")
 
 
 def match_plans(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -60,7 +73,9 @@ def match_plans(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     runs = F.flatten(F.transform("scans_a", lambda i: F.transform("scans_b", lambda j: run(i, j))))
     found = F.filter(runs, lambda r: r["matched"] > 0)
-    best = asked.join(a, "job_a", "left").join(b, "job_b", "left").select(
+    # plans compress well, so their file size would pass as small enough to broadcast
+    both = asked.join(a.hint("merge"), "job_a", "left").join(b.hint("merge"), "job_b", "left")
+    best = both.select(
         "job_a", "job_b", F.array_max(found).alias("r")
     )
     matched, i, j = F.col("r.matched"), -F.col("r.i"), -F.col("r.j")
@@ -100,9 +115,10 @@ def plan_prefixes(nodes: DataFrame) -> DataFrame:
     # each digest covers its step and the digest before it
     digests = F.aggregate(
         rest,
-        F.array().cast("array<string>"),
+        F.array().cast("array<binary>"),
         lambda done, step: F.array_append(
-            done, F.sha2(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), F.to_json(step)), 256)
+            done,
+            _digest(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(b"")), step)),
         ),
     )
     return starts.select(
