@@ -170,7 +170,7 @@ def _(t: Tables):
     return plans.plan_reuse(_nodes(t), order)
 
 
-NOW = datetime(2001, 1, 1)
+NOW = datetime(1998, 1, 1)
 
 _CATALOG = """WITH c AS (SELECT o_orderkey AS id, '/store/' || o_orderkey AS path, n AS reuse,
    CAST(o_custkey AS BIGINT) AS ms, round(o_totalprice * 100) AS size_gib, CAST(supp AS INTEGER) AS n_nodes,
@@ -196,7 +196,7 @@ def _catalog(t: Tables) -> DataFrame:
 @query(
     "evict_candidates",
     _CATALOG
-    + """, a AS (SELECT *, epoch(TIMESTAMP '2001-01-01') - epoch(inserted) >= 604800 AS old FROM c),
+    + """, a AS (SELECT *, epoch(TIMESTAMP '1998-01-01') - epoch(inserted) >= 604800 AS old FROM c),
   f AS (SELECT *, sum(size_gib) OVER (ORDER BY reuse, ms, size_gib, n_nodes, n_scans, path) - size_gib AS freed
         FROM a WHERE NOT old),
   l AS (SELECT (SELECT sum(size_gib) FROM a WHERE NOT old) AS fresh, (SELECT sum(size_gib) FROM a WHERE NOT old) / 2 AS cap)

@@ -34,7 +34,7 @@ def nodes(spark):
     return spark.createDataFrame([r for p in PLANS for r in p], SCHEMA)
 
 
-def reference_match(a, b):
+def walked_match(a, b):
     """Walk forward from every pair of scans and keep the longest run."""
 
     def same(x, y):
@@ -57,7 +57,7 @@ def test_match_plans(spark, nodes):
     pairs = [(x, y) for x in jobs for y in jobs]
     got = plans.match_plans(nodes, spark.createDataFrame(pairs, "job_a string, job_b string"))
     assert {(r[0], r[1]): tuple(r[2:]) for r in got.collect()} == {
-        (x, y): reference_match(jobs[x], jobs[y]) for x, y in pairs
+        (x, y): walked_match(jobs[x], jobs[y]) for x, y in pairs
     }
 
 

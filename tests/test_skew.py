@@ -104,7 +104,7 @@ def test_hot_copies_in_set_operations(spark):
     assert [r[0] for r in sets.subtract(right, left).collect()] == [4]
 
 
-def reference_ranks(edges, rounds):
+def plain_ranks(edges, rounds):
     links = {}
     for s, t in set(edges):
         links.setdefault(s, set()).add(t)
@@ -124,6 +124,6 @@ def test_pagerank(spark, limit):
     edges = [(1, i) for i in range(2, 30)] + [(2, 1), (3, 1), (2, 3), (2, 3), (5, 2), (30, 5)]
     df = spark.createDataFrame(edges, "source long, target long").repartition(6)
     got = {r["node"]: r["rank"] for r in pagerank(df, 7, rows_per_task=limit).collect()}
-    want = reference_ranks(edges, 7)
+    want = plain_ranks(edges, 7)
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
