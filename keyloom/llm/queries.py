@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, sharding
+from . import chat, licenses, line_rules, sharding
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -47,3 +47,16 @@ def _(t):
     )
     turns = t.conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digests(chat.expand(turns))
+
+
+@query("op2_license_scan")
+def _(t):
+    return licenses.scan(t.documents)
+
+
+@query("op1_quality_rules")
+def _(t):
+    return line_rules.judge(t.documents).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "removed_words", "removed_lines", "depleted",
+    )
