@@ -32,7 +32,8 @@ class Rule(NamedTuple):
 # Base phrases of the contract: phrase and label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 # Words of which a text needs one before any rule is tried.
-GATES = ("licen", "copyright", "copyleft", "spdx", "public domain", "warrant", "rights reserved", "commons")
+GATES = ("licen", "copyright", "copyleft", "spdx", "public domain", "warrant", "rights reserved", "commons",
+         "permission", "redistribut", "confidential", "free software", "as is")
 
 # Label, keyword, names as patterns, SPDX words as a pattern (the part after the name is optional).
 FAMILIES = (
