@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, licenses, line_rules, sharding
+from . import chat, licenses, line_rules, sharding, simhash
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -60,3 +60,10 @@ def _(t):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "removed_words", "removed_lines", "depleted",
     )
+
+
+@query("op6_simhash")
+def _(t):
+    return simhash.near_duplicates(t.documents).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
