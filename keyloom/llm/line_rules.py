@@ -104,29 +104,23 @@ def line_hashes(text: Column) -> Column:
     )
 
 
-def keyed_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+def keyed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """(doc_id, host, text_hash, lines): the hashed lines of each row, written once."""
     text = text_of(text_col)
-    return docs.select(
+    lines = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(host_col).cast("string").alias("host"),
         F.xxhash64(text).alias("text_hash"),
         line_hashes(text).alias("lines"),
     )
+    return materialise(lines, "lines")
 
 
-def frequent_lines(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    min_docs: int = MIN_DOCS,
-    min_share: float = MIN_SHARE,
-) -> DataFrame:
-    """(host, h, n_docs): lines above both limits, written once.
+def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, h, n_docs): lines above both limits, written once, from ``keyed_lines``.
 
     Counts cover all documents. A null host is a host of its own.
     """
-    lines = keyed_lines(docs, id_col, text_col, host_col)
     hashes = F.transform("lines", lambda x: x["h"])
     per_doc = lines.select("host", F.array_distinct(hashes).alias("hs")).select(
         "host", F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kind"), "hs"
@@ -139,7 +133,14 @@ def frequent_lines(
     above = counts.join(sizes, F.col("host").eqNullSafe(F.col("of_host"))).filter(
         F.col("n_docs") > F.col("n") * min_share
     )
-    return materialise(above.select("host", "h", "n_docs"), "lines")
+    return materialise(above.select("host", "h", "n_docs"), "frequent")
+
+
+def line_tables(
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE
+) -> tuple[DataFrame, DataFrame]:
+    keyed = keyed_lines(docs, id_col, text_col, host_col)
+    return keyed, frequent_lines(keyed, min_docs, min_share)
 
 
 def judge(
@@ -150,21 +151,18 @@ def judge(
     min_docs: int = MIN_DOCS,
     min_share: float = MIN_SHARE,
     min_kept: float = MIN_KEPT,
-    lines: DataFrame | None = None,
+    tables: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per row of ``docs`` with its measures and verdict.
 
     (doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words,
     removed_lines, base_failed, depleted, kept). A null text has no words and fails the base.
     Repeated rows get equal rows, null ids are kept as they are, other columns are not read.
-    ``lines``: the table of ``frequent_lines`` where the caller has it already.
+    ``tables``: ``keyed_lines`` and ``frequent_lines`` where the caller has them already.
     """
-    if lines is None:
-        lines = frequent_lines(docs, id_col, text_col, host_col, min_docs, min_share)
+    keyed, lines = tables or line_tables(docs, id_col, text_col, host_col, min_docs, min_share)
     key = ["doc_id", "host", "text_hash"]
-    each = keyed_lines(docs, id_col, text_col, host_col).select(
-        *key, F.posexplode("lines").alias("at", "line")
-    )
+    each = keyed.select(*key, F.posexplode("lines").alias("at", "line"))
     hit = each.select(*key, "at", F.col("line.h").alias("h"), F.col("line.w").alias("w")).join(
         lines.select(F.col("host").alias("of_host"), F.col("h").alias("of_h")),
         (F.col("h") == F.col("of_h")) & F.col("host").eqNullSafe(F.col("of_host")),
@@ -210,41 +208,34 @@ def judge(
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """Rows of ``docs`` that stay, without their boilerplate lines; all columns, in order.
 
-    A row that loses no line keeps its text to the byte.
+    A row that loses no line keeps its text to the byte. Texts move once, to meet their verdict.
     """
-    lines = frequent_lines(docs, id_col, text_col, host_col, **limits)
-    # written, so that the verdicts' columns and the texts are not worked out side by side
-    verdict = materialise(
-        judge(docs, id_col, text_col, host_col, lines=lines)
-        .filter("kept")
-        .select(F.col("doc_id").alias("v_id"), F.col("host").alias("v_host"), F.col("text_hash").alias("v_hash"), (F.col("removed_lines") > 0).alias("v_cut"))
-        .distinct(),
-        "kept",
-    )
+    keyed, lines = line_tables(docs, id_col, text_col, host_col, **limits)
+    key = ["doc_id", "host", "text_hash"]
+    kept = judge(docs, id_col, text_col, host_col, tables=(keyed, lines)).filter("kept").select(*key).distinct()
+    frequent = lines.select(F.col("host").alias("of_host"), F.col("h").alias("of_h"))
+    each = keyed.select(*key, F.explode("lines.h").alias("h"))
+    same_line = (F.col("h") == F.col("of_h")) & F.col("host").eqNullSafe(F.col("of_host"))
+    hits = each.join(frequent, same_line, "left_semi").groupBy(*[F.col(k).alias(f"g_{k}") for k in key])
+    gone = hits.agg(F.collect_set("h").alias("gone"))  # at most the lines of one document
+    verdict = kept.join(
+        gone,
+        (F.col("text_hash") == F.col("g_text_hash"))
+        & F.col("doc_id").eqNullSafe(F.col("g_doc_id"))
+        & F.col("host").eqNullSafe(F.col("g_host")),
+        "left",
+    ).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("gone").alias("__gone"))
     text = text_of(text_col)
     same = (
-        (F.xxhash64(text) == F.col("v_hash"))
-        & F.col(id_col).eqNullSafe(F.col("v_id"))
-        & F.col(host_col).cast("string").eqNullSafe(F.col("v_host"))
-    )
-    kept = docs.join(verdict, same)
-    # the boilerplate of a host as one array would grow with it: gather each row's own hits instead
-    key = ["v_id", "v_host", "v_hash"]
-    each = kept.filter("v_cut").select(*key, F.explode(line_hashes(text)).alias("line")).select(*key, F.col("line.h").alias("h"))
-    hits = (
-        each.join(lines.select(F.col("host").alias("of_host"), F.col("h").alias("of_h")), (F.col("h") == F.col("of_h")) & F.col("v_host").eqNullSafe(F.col("of_host")), "left_semi")
-        .groupBy(*[F.col(k).alias(f"g_{k}") for k in key])
-        .agg(F.collect_set("h").alias("gone"))
-    )
-    all_rows = kept.join(
-        hits,
-        (F.col("v_hash") == F.col("g_v_hash")) & F.col("v_id").eqNullSafe(F.col("g_v_id")) & F.col("v_host").eqNullSafe(F.col("g_v_host")),
-        "left",
+        (F.xxhash64(text) == F.col("__text_hash"))
+        & F.col(id_col).eqNullSafe(F.col("__doc_id"))
+        & F.col(host_col).cast("string").eqNullSafe(F.col("__host"))
     )
+    rows = docs.join(materialise(verdict, "verdict"), same)
     hashed = F.transform(
         F.split(text, "\n"),
         lambda x: F.struct(x.alias("x"), F.xxhash64(F.lower(F.regexp_replace(F.btrim(x, F.lit(WHITE)), WHITES, " "))).alias("h")),
     )
-    rest = F.transform(F.filter(hashed, lambda e: ~F.array_contains("gone", e["h"])), lambda e: e["x"])
-    cut = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
-    return all_rows.withColumn(text_col, cut).select(*docs.columns)
+    rest = F.transform(F.filter(hashed, lambda e: ~F.array_contains("__gone", e["h"])), lambda e: e["x"])
+    cut = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
+    return rows.withColumn(text_col, cut).select(*docs.columns)
