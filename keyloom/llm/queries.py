@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, licenses, line_rules, sharding, simhash
+from . import chat, licenses, line_rules, merge_dropout, packing, sharding, simhash
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -67,3 +67,25 @@ def _(t):
     return simhash.near_duplicates(t.documents).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query("op8_merge_dropout")
+def _(t):
+    hashed = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    encoded = merge_dropout.encode(t.documents.withColumn("text_sha256", hashed), ["doc_id", "text_sha256"])
+    decoded = merge_dropout.decode(encoded, ["doc_id", "text_sha256", "ids"])
+    back = F.sha2(F.col("text").cast("binary"), 256)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        back.alias("decoded_sha256"),
+        (back == F.col("text_sha256")).alias("lossless"),
+    )
+
+
+@query("op9_packing")
+def _(t):
+    return packing.pack(t.documents).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
