@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, licenses, line_rules, merge_dropout, packing, sharding, simhash
+from . import chat, licenses, line_rules, merge_dropout, neighbour_vote, packing, pivots, sharding, simhash
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -89,3 +89,34 @@ def _(t):
     return packing.pack(t.documents).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query(
+    "op10_pivot_permutation",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+      WHERE list_count(embedding) = len(embedding) AND NOT list_contains(list_transform(embedding, lambda x: isfinite(x)), false)
+        AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT r.a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links, min(r.b) AS component_id,
+      r.a = min(r.b) AS kept
+    FROM reach r GROUP BY r.a
+    """,
+)
+def _(t):
+    return pivots.near_duplicates(t.embeddings)
+
+
+@query("op5_neighbour_vote")
+def _(t):
+    model = neighbour_vote.fit(t.documents, t.labels)
+    return neighbour_vote.score(t.documents, model, ["doc_id"]).select(
+        "doc_id",
+        neighbour_vote.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= neighbour_vote.THRESHOLD).cast("int").alias("predicted"),
+    )
