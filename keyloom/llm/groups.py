@@ -58,7 +58,8 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, lo
 
 
 def compare(
-    rows: DataFrame, key: str, within: Within, across: Across, links: str, block: int = 2048, tag: str = "links"
+    rows: DataFrame, key: str, within: Within, across: Across, links: str, block: int = 2048, tag: str = "links",
+    chunk: int = 50_000,
 ) -> DataFrame:
     """Links found inside the groups of ``rows`` by the long column ``key``.
 
@@ -66,7 +67,7 @@ def compare(
     several groups.
     """
     spark = rows.sparkSession
-    names = list(rows.columns)
+    names, size = list(rows.columns), chunk
     found = spark.createDataFrame([], links).schema
     both = found.fieldNames()
     rest = rows.schema
@@ -76,7 +77,7 @@ def compare(
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = first_schema
         key_now, block_now = None, 0
-        for chunk in whole_runs(batches, [key], 50_000, block):
+        for chunk in whole_runs(batches, [key], size, block):
             starts = starts_of(chunk, [key])
             sizes = np.diff(np.append(starts, len(chunk)))
             keys = chunk.column(key).to_numpy()
@@ -146,8 +147,9 @@ def schema_of(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def as_batches(columns: dict, n: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def as_batches(columns: dict, n: int | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Batches of ``schema``; columns that are not given are null."""
+    n = len(next(iter(columns.values()))) if n is None else n
     arrays = []
     for field in schema:
         given = columns.get(field.name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, licenses, line_rules, merge_dropout, neighbour_vote, packing, pivots, sharding, simhash
+from . import chat, licenses, line_rules, merge_dropout, neighbour_vote, packing, pivots, sharding, simhash, suffixes
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -120,3 +120,8 @@ def _(t):
         "score",
         (F.col("score") >= neighbour_vote.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op3_suffix_dedup")
+def _(t):
+    return suffixes.remove(t.documents, ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -199,11 +199,11 @@ def _smallest(prints: DataFrame) -> DataFrame:
     return placed.join(whole, F.col("cluster") == F.col("of_cluster")).select(F.col("fp").alias("of_fp"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of their component; all columns, in order.
 
     Rows that share an id are one document. Rows without an id cannot be named and stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, words)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("g_id")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("g_id"), "left_anti")
