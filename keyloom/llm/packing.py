@@ -94,12 +94,12 @@ class Words:
             ids = self.encode.encode(text, add_special_tokens=False).ids
             return array("I", ids).tobytes(), np.zeros(0, np.int64)
         words = text.encode().lower().split()
-        missing = set(words) - self.code.keys()
+        missing = set(words).difference(self.code)
         if missing:
             before = len(self.code)
             self.add(missing)
             if len(self.code) < before + len(missing):  # started anew: this text's other words again
-                self.add(set(words) - self.code.keys())
+                self.add(set(words).difference(self.code))
         codes = list(map(self.code.__getitem__, words))
         ids = b"".join(map(self.ids.__getitem__, codes))
         at = np.array(codes, np.int64)
