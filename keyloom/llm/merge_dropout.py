@@ -114,7 +114,7 @@ class Pieces:
             return b""
         units = self.cut.findall(" " + text) if self.spaces_join else [" " + text]
         known = self.units.setdefault((dropout, seed, variant), {})
-        missing = set(units) - known.keys()
+        missing = set(units).difference(known)
         if missing:
             if sum(map(len, self.units.values())) + len(missing) > UNITS:
                 self.units.clear()
