@@ -18,6 +18,7 @@ partitions, and a task holds one block of tokens besides its input batch.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections import deque
 from collections.abc import Iterator
@@ -38,6 +39,10 @@ END_ID = 2
 ENDS = (ord("."), ord("!"), ord("?"))
 # Characters that a word may shed before it is looked up; see ``Words.add``.
 TAIL = b".,!?;:%$*&#|"
+# Words of these letters are one piece to the tokenizer's first split.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+# Texts looked up at once, in characters.
+PIECE = 8 << 20
 # Words kept by a worker. Beyond it the tables start anew.
 WORDS = 600_000
 
@@ -53,7 +58,10 @@ class Words:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
+        for token, number in self.tokenizer.get_vocab().items():
+            self.last[number] = token.endswith("</w>")
         self.clear()
 
     def clear(self) -> None:
@@ -63,48 +71,65 @@ class Words:
         self.sizes = array("i")
         self.ends = array("b")
 
+    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word with its ids. Words of plain letters have one end mark, and go in one text."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [i for i, w in enumerate(texts) if LETTERS.fullmatch(w)]
+        runs = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        rest = set(range(len(words))).difference(plain)
+        for run, e in zip(runs, self.many([" ".join([texts[i] for i in run]) for run in runs]), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(stops) != len(run):
+                rest.update(run)
+                continue
+            raw = ids.tobytes()
+            yield from zip([words[i] for i in run], map(raw.__getitem__, map(slice, [0, *stops], stops)))
+        alone = sorted(rest)
+        for i, e in zip(alone, self.many([texts[i] for i in alone]), strict=True):
+            yield words[i], array("I", e.ids).tobytes()
+
+    def many(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def add(self, words: set[bytes]) -> None:
         """Learn words. A tail of punctuation after an ASCII letter or digit is a token run of its own."""
-        if len(self.code) + len(words) > WORDS:
-            self.clear()
-        parts, new = {}, set()
+        parts, new = [], set()
         for w in words:
             core = w.rstrip(TAIL)
             tail = w[len(core) :]
-            if tail and not (core[-1:].isalnum() and core[-1] < 128):
+            if tail and not core[-1:].isalnum():  # bytes: ASCII only
                 core, tail = w, b""
-            parts[w] = core, tail
-            new.update(x for x in (core, tail) if x not in self.core)
-        order = list(new)
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            texts = [w.decode("utf-8", "replace") for w in some]
-            for w, e in zip(some, self.encode.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self.core[w] = array("I", e.ids).tobytes()
-        for w, (core, tail) in parts.items():
-            ids = self.core[core] + self.core[tail]
-            self.code[w] = len(self.ids)
-            self.ids.append(ids)
-            self.sizes.append(len(ids) // 4)
-            self.ends.append(w[-1] in ENDS)
-
-    def tokens(self, text: str) -> tuple[bytes, np.ndarray]:
-        """Ids as little-endian unsigned 32-bit numbers, and positions after a sentence."""
-        if "<|" in text:
-            ids = self.encode.encode(text, add_special_tokens=False).ids
-            return array("I", ids).tobytes(), np.zeros(0, np.int64)
-        words = text.encode().lower().split()
-        missing = set(words).difference(self.code)
-        if missing:
-            before = len(self.code)
-            self.add(missing)
-            if len(self.code) < before + len(missing):  # started anew: this text's other words again
-                self.add(set(words).difference(self.code))
-        codes = list(map(self.code.__getitem__, words))
-        ids = b"".join(map(self.ids.__getitem__, codes))
-        at = np.array(codes, np.int64)
-        stops = np.cumsum(np.frombuffer(self.sizes, np.int32)[at]) if codes else np.zeros(0, np.int64)
-        return ids, stops[np.frombuffer(self.ends, np.int8)[at] != 0] if codes else stops
+            parts.append((w, core, tail))
+            new.add(core)
+            new.add(tail)
+        order = list(new.difference(self.core))
+        for at in range(0, len(order), 16384):
+            self.core.update(self.encode(order[at : at + 16384]))
+        learned = [self.core[core] + self.core[tail] for _, core, tail in parts]
+        self.code.update(zip([p[0] for p in parts], range(len(self.ids), len(self.ids) + len(parts))))
+        self.ids += learned
+        self.sizes.extend([len(x) // 4 for x in learned])
+        self.ends.extend([p[0][-1] in ENDS for p in parts])
+
+    def tokens(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Ids of each text as little-endian unsigned 32-bit numbers, and positions after a sentence."""
+        split = [None if "<|" in t else t.encode().lower().split() for t in texts]
+        said = set().union(*[w for w in split if w])
+        missing = said.difference(self.code)
+        if len(self.code) + len(missing) > WORDS:
+            self.clear()
+            missing = said
+        self.add(missing)
+        sizes, ends = np.array(self.sizes, np.int64), np.array(self.ends, bool)
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                yield array("I", ids).tobytes(), np.zeros(0, np.int64)
+                continue
+            codes = list(map(self.code.__getitem__, words))
+            at = np.array(codes, np.int64)
+            yield b"".join(map(self.ids.__getitem__, codes)), np.cumsum(sizes[at])[ends[at]]
 
 
 def best_cuts(at: list[int], penalty: list[int], capacity: int, last: bool) -> list[int]:
@@ -189,6 +214,19 @@ class Stream:
         del self.ids[: 4 * begin]
 
 
+def pieces_of(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts of a column in runs of about ``PIECE`` characters, each with its first row."""
+    first, texts, held = 0, [], 0
+    for i, x in enumerate(column):
+        texts.append(x.as_py())
+        held += len(texts[-1])
+        if held > PIECE:
+            yield first, texts
+            first, texts, held = i + 1, [], 0
+    if texts:
+        yield first, texts
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -237,11 +275,12 @@ def pack(
 
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, stops = words.tokens(text.as_py())
-                stream.add(doc_id, ids + end, stops)
-                if len(stream) > block:
-                    yield from packed(False)
+            names = batch.column(0).to_pylist()
+            for at, texts in pieces_of(batch.column(1)):
+                for doc_id, (ids, stops) in zip(names[at:], words.tokens(texts)):
+                    stream.add(doc_id, ids + end, stops)
+                    if len(stream) > block:
+                        yield from packed(False)
         yield from packed(True)
 
     return rows.mapInArrow(run, ddl)
