@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checks import EmptyInputError, as_list, key_and_values, require, require_columns
 from ..plans.keys import cols, quoted
-from ..plans.skew import ROWS_PER_TASK, group_in_parts
+from ..plans.skew import ROWS_PER_TASK, group_in_chunks
 
 NAN = float("nan")
 
@@ -100,27 +100,38 @@ def collect_as_map(
     return reduce_by_key(df, keys, **{value: F.max_by(F.col(quoted(value)), order)})
 
 
-def group_by_key(
+def _packed(df: DataFrame, keys: str | Sequence[str], name: str) -> tuple[DataFrame, list[str]]:
+    key_names, values = key_and_values(df, keys)
+    return df.select(*cols(key_names), F.struct(*cols(values)).alias(name)), key_names
+
+
+def group_by_key(df: DataFrame, keys: str | Sequence[str], name: str = "values") -> DataFrame:
+    """(keys, values): the value structs of each key as one array, in no order.
+
+    Always one row per key, so a key's values must fit in a row. ``group_by_key_chunks`` is
+    for keys that have more.
+    """
+    packed, key_names = _packed(df, keys, name)
+    return packed.groupBy(*cols(key_names)).agg(F.collect_list(name).alias(name))
+
+
+def group_by_key_chunks(
     df: DataFrame,
     keys: str | Sequence[str],
     name: str = "values",
-    rows_per_group: int = ROWS_PER_TASK,
+    rows_per_chunk: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """(keys, chunk, values): the value structs of each key as arrays, in no order.
+    """(keys, chunk, values): every key in numbered chunks of about ``rows_per_chunk`` rows.
 
-    A key with more than ``rows_per_group`` rows comes in several chunks, so no task holds
-    an unbounded group; other keys have the single chunk 0.
+    Each value is in exactly one chunk, and no task holds more than a chunk.
     """
-    key_names, values = key_and_values(df, keys)
-    packed = df.select(*cols(key_names), F.struct(*cols(values)).alias(name))
-    return group_in_parts(packed, key_names, [F.collect_list(name).alias(name)], rows_per_group)
+    packed, key_names = _packed(df, keys, name)
+    return group_in_chunks(packed, key_names, [F.collect_list(name).alias(name)], rows_per_chunk)
 
 
-def group_by(
-    df: DataFrame, key: Column, name: str = "values", rows_per_group: int = ROWS_PER_TASK
-) -> DataFrame:
+def group_by(df: DataFrame, key: Column, name: str = "values") -> DataFrame:
     """``group_by_key`` on a computed key; whole rows are the values."""
-    return group_by_key(df.select(key.alias("key"), "*"), "key", name, rows_per_group)
+    return group_by_key(df.select(key.alias("key"), "*"), "key", name)
 
 
 def sum_double(df: DataFrame, column: str) -> DataFrame:

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checks import as_list, key_and_values, require
 from ..plans.keys import any_of, cols, match, prefixed
+from ..plans.prefix import FILE, ROW
 from ..plans.skew import (
     ROWS_PER_TASK,
     broadcast_if_small,
-    group_in_parts,
+    group_in_chunks,
     hot_groups,
+    numbered,
     with_parts,
 )
 
@@ -77,23 +79,24 @@ def _salted(
     own: str,
     null_safe: bool,
 ) -> DataFrame:
-    """Split this side's hot keys by source partition; repeat rows for the other side's parts.
+    """Split this side's hot keys by position; repeat rows for the other side's parts.
 
     Adds marker ``__l``/``__r`` and, prefixed by it, the parts (lp, rp) and salts (ls, rs).
     """
     p = "__l" if own == "left" else "__r"
-    marked = df.withColumns({p: F.lit(1), "__source": F.spark_partition_id()})
+    mine, theirs, own_hot = ("l", "r", hot_left) if own == "left" else ("r", "l", hot_right)
+    table, place = (df, F.lit(0)) if own_hot is None else numbered(df)
+    marked = table.withColumns({p: F.lit(1), "__place": place})
     marked = with_parts(marked, names, hot_left, f"{p}_lp")
     marked = with_parts(marked, names, hot_right, f"{p}_rp")
-    mine, theirs = ("l", "r") if own == "left" else ("r", "l")
     if not null_safe:  # a row with a null key has no partners to be repeated for
         has_null = any_of([c.isNull() for c in cols(names)])
         other = F.col(f"{p}_{theirs}p")
         marked = marked.withColumn(f"{p}_{theirs}p", F.when(has_null, 1).otherwise(other))
     return (
-        marked.withColumn(f"{p}_{mine}s", F.pmod("__source", F.col(f"{p}_{mine}p")))
+        marked.withColumn(f"{p}_{mine}s", F.pmod("__place", F.col(f"{p}_{mine}p")).cast("int"))
         .withColumn(f"{p}_{theirs}s", F.explode(F.sequence(F.lit(0), F.col(f"{p}_{theirs}p") - 1)))
-        .drop("__source")
+        .drop("__place", FILE, ROW)
     )
 
 
@@ -119,18 +122,10 @@ def cartesian(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(broadcast_if_small(right))
 
 
-def cogroup(
-    datasets: Sequence[DataFrame],
-    keys: str | Sequence[str],
-    names: Sequence[str] | None = None,
-    rows_per_group: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Per key, one list of value structs for each of two to four datasets.
-
-    Keys of any dataset appear; a dataset without the key gives an empty list. One shuffle
-    for all sides. A key with more than ``rows_per_group`` rows comes as several rows,
-    numbered by column ``chunk``; every value is in exactly one of them.
-    """
+def _tagged(
+    datasets: Sequence[DataFrame], keys: str | Sequence[str], names: Sequence[str] | None
+) -> tuple[DataFrame, list[str], list[Column]]:
+    """All rows in one table, each with its value under the name of its dataset; the lists to make."""
     require(2 <= len(datasets) <= 4, "two to four datasets can be cogrouped")
     sides = as_list(names) or [f"side{i}" for i in range(len(datasets))]
     require(len(sides) == len(datasets), "one name per dataset is needed")
@@ -150,8 +145,34 @@ def cogroup(
         )
         tagged = packed if tagged is None else tagged.unionByName(packed)
     # a struct keeps null values; collect_list skips only the rows of the other sides
-    lists = [F.collect_list(s).alias(s) for s in sides]
-    return group_in_parts(tagged, key_names, lists, rows_per_group, tagged.select(*cols(key_names)))
+    return tagged, key_names, [F.collect_list(s).alias(s) for s in sides]
+
+
+def cogroup(
+    datasets: Sequence[DataFrame], keys: str | Sequence[str], names: Sequence[str] | None = None
+) -> DataFrame:
+    """Per key, one list of value structs for each of two to four datasets.
+
+    Keys of any dataset appear, each in one row; a dataset without the key gives an empty
+    list. One shuffle for all sides. ``cogroup_chunks`` is for keys too large for a row.
+    """
+    tagged, key_names, lists = _tagged(datasets, keys, names)
+    return tagged.groupBy(*cols(key_names)).agg(*lists)
+
+
+def cogroup_chunks(
+    datasets: Sequence[DataFrame],
+    keys: str | Sequence[str],
+    names: Sequence[str] | None = None,
+    rows_per_chunk: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """``cogroup`` with every key in numbered chunks (column ``chunk``) of about ``rows_per_chunk`` rows.
+
+    Every value of every dataset is in exactly one chunk of its key, so lists that stand side
+    by side in a chunk are parts, not all, of what the datasets have.
+    """
+    tagged, key_names, lists = _tagged(datasets, keys, names)
+    return group_in_chunks(tagged, key_names, lists, rows_per_chunk)
 
 
 def _value_type(df: DataFrame, keys: Sequence[str]):
@@ -196,6 +217,7 @@ __all__ = [
     "broadcast_join",
     "cartesian",
     "cogroup",
+    "cogroup_chunks",
     "full_outer_join",
     "group_with",
     "join",

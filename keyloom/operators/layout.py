@@ -12,9 +12,6 @@ from ..plans.checks import as_list, require, require_columns
 from ..plans.keys import cols, quoted
 from ..plans.prefix import running
 
-SAMPLES_PER_RANGE = 20
-MAX_SAMPLES = 1_000_000
-
 
 def repartition(df: DataFrame, n: int) -> DataFrame:
     """Spread rows evenly over n partitions (full shuffle)."""
@@ -49,22 +46,19 @@ def custom_partition(df: DataFrame, n: int, partition: Column) -> DataFrame:
 
 
 def range_bounds(
-    df: DataFrame, key: str, n: int, seed: int = 0, sample: bool = True
+    df: DataFrame, key: str, n: int, fraction: float | None = None, seed: int = 0
 ) -> DataFrame:
     """(bound, key): up to n-1 distinct upper bounds that cut the rows into n even ranges.
 
     Bound j is the first key, above bound j-1, whose running weight reaches j/n of the
-    total. With ``sample`` the weights come from a sample of 20 rows per range (at most a
-    million); otherwise all rows count, and the result is exact.
+    total. All rows count and the result is exact, unless the caller gives the ``fraction`` of
+    rows to sample.
     """
     require(n >= 1, "n must be positive")
     require_columns(df, [key])
     source = df.select(F.col(quoted(key)).alias("key")).filter(F.col("key").isNotNull())
-    if sample:
-        total = source.count()
-        wanted = min(SAMPLES_PER_RANGE * n, MAX_SAMPLES)
-        if total > 3 * wanted:
-            source = source.sample(False, 3.0 * wanted / total, seed)
+    if fraction is not None:
+        source = source.sample(False, fraction, seed)
     weights = source.groupBy("key").agg(F.count(F.lit(1)).alias("__w"))
     placed = running(
         weights.withColumn("__one", F.lit(1)),

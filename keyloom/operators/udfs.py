@@ -5,7 +5,7 @@ Column expressions are preferred; these wrap code that cannot be written as one.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from ..plans.checks import key_and_values
 from ..plans.keys import cols, quoted
-from ..plans.skew import PART, ROWS_PER_TASK, hot_groups, split_hot
 
 
 def scalar(f: Callable[..., pd.Series], return_type: str) -> Callable[..., Column]:
@@ -30,12 +29,12 @@ def scalar_arrow(f: Callable[..., Any], return_type: str) -> Callable[..., Colum
 
 def reduce_groups(
     df: DataFrame, keys: str | Sequence[str], column: str,
-    f: Callable[[pd.Series], Any], return_type: str, rows_per_group: int = ROWS_PER_TASK,
+    f: Callable[[pd.Series], Any], return_type: str,
 ) -> DataFrame:
-    """(keys, column): group to value with an associative pandas function.
+    """(keys, column): group to value with any pandas function of the whole group.
 
-    Keys with more rows than ``rows_per_group`` are reduced in parts first, so ``f`` must
-    give the same for the whole as for its partial results.
+    A group is handed over whole, so it must fit in a task. ``merge_groups`` is for functions
+    that can work in parts.
     """
 
     def whole(values: pd.Series) -> Any:
@@ -44,12 +43,32 @@ def reduce_groups(
     whole.__annotations__ = {"values": pd.Series, "return": float}
     reducer = F.pandas_udf(whole, return_type, F.PandasUDFType.GROUPED_AGG)
     names, _ = key_and_values(df, keys)
-    hot = hot_groups(df, names, rows_per_group)
-    parts = split_hot(df.select(*cols([*names, column])), names, hot)
-    partial = parts.groupBy(*cols(names), PART).agg(reducer(F.col(quoted(column))).alias(column))
-    if hot is None:
-        return partial.drop(PART)
-    return partial.groupBy(*cols(names)).agg(reducer(F.col(quoted(column))).alias(column))
+    return df.groupBy(*cols(names)).agg(reducer(F.col(quoted(column))).alias(column))
+
+
+def merge_groups(
+    df: DataFrame, keys: str | Sequence[str], column: str,
+    partial: Callable[[pd.Series], Any], merge: Callable[[pd.Series], Any], return_type: str,
+) -> DataFrame:
+    """(keys, column): group to value in two stages, at every size.
+
+    ``partial`` sees the values of a key in one batch of rows, where they lie; ``merge`` sees
+    a key's partial results. Only those are shuffled. ``merge`` must not depend on how the
+    rows were batched.
+    """
+    names, _ = key_and_values(df, keys)
+    source = df.select(*cols([*names, column]))
+    value = T.StructType.fromDDL(f"value {return_type}")["value"].dataType
+    schema = T.StructType([*[df.schema[n] for n in names], T.StructField(column, value)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grouped = batch.groupby(names, dropna=False, sort=False)[column]
+            rows = [(*(k if isinstance(k, tuple) else (k,)), partial(v)) for k, v in grouped]
+            frame = pd.DataFrame(rows, columns=[*names, column])
+            yield frame.astype({n: batch[n].dtype for n in names})
+
+    return reduce_groups(source.mapInPandas(run, schema), names, column, merge, return_type)
 
 
 def table_function(
@@ -70,23 +89,18 @@ def table_function(
 
 def map_groups(
     df: DataFrame, keys: str | Sequence[str], f: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: T.StructType | str, rows_per_group: int = ROWS_PER_TASK,
+    schema: T.StructType | str,
 ) -> DataFrame:
-    """Rows out of each group. A key above ``rows_per_group`` rows is passed in parts."""
+    """Rows out of each group, which is handed over whole and must fit in a task."""
     names, _ = key_and_values(df, keys)
-    parts = split_hot(df, names, hot_groups(df, names, rows_per_group))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return f(group.drop(columns=PART))
-
-    return parts.groupBy(*cols(names), PART).applyInPandas(run, schema)
+    return df.groupBy(*cols(names)).applyInPandas(f, schema)
 
 
 def co_map_groups(
     left: DataFrame, right: DataFrame, keys: str | Sequence[str],
     f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType | str,
 ) -> DataFrame:
-    """Rows out of the groups two datasets have under one key."""
+    """Rows out of the groups two datasets have under one key; both are handed over whole."""
     names, _ = key_and_values(left, keys)
     return (
         left.groupBy(*cols(names)).cogroup(right.groupBy(*cols(names))).applyInPandas(f, schema)

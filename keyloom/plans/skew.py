@@ -1,7 +1,8 @@
 """Finding and splitting keys that hold too many rows for one task.
 
-A hot key is split by the id of the input partition a row comes from. That id does not
-depend on row order, so a task that is run again puts every row in the same part.
+A hot key is split by the position of its rows in a written table. A position stays the same
+however often a task is run again, and it spreads rows that lie in one partition, or are equal,
+as evenly as any others.
 """
 
 from __future__ import annotations
@@ -12,24 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .keys import cols, match, prefixed, quoted
+from .prefix import FILE, ROW, numbered_files
 from .shared import materialise
 
 # Rows one task may hold for one key before the key is split.
 ROWS_PER_TASK = 1_000_000
-# Largest table this library will broadcast, counted in rows before the hint is given.
+# Largest table this library will broadcast, in rows and in bytes, both measured before.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 PART = "__part"
 PARTS = "__parts"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the table has at most ``max_rows`` rows.
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Hint a broadcast only after measuring that the table is within both bounds.
 
-    Beyond the bound no hint is given and the join shuffles.
+    Bytes are those of the rows as text, twice over. Beyond a bound no hint is given and the
+    join shuffles.
     """
-    within = df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if within else df
+    size = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(0)
+    seen = df.select(size.alias("n")).limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("n")).first()
+    return F.broadcast(df) if seen[0] <= max_rows and 2 * (seen[1] or 0) <= max_bytes else df
 
 
 def hot_groups(
@@ -72,33 +79,26 @@ def with_parts(
     )
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` written once, and a number that spreads its rows: a hash of their position."""
+    return numbered_files(df), F.xxhash64(FILE, ROW)
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
     """Add column ``__part``: 0 for ordinary keys, 0…parts-1 for rows of a hot key."""
     if hot is None:
         return df.withColumn(PART, F.lit(0))
-    marked = df.withColumn("__source", F.spark_partition_id())
+    table, place = numbered(df)
     return (
-        with_parts(marked, keys, hot)
-        .withColumn(PART, F.pmod(F.col("__source"), F.col(PARTS)))
-        .drop("__source", PARTS)
+        with_parts(table, keys, hot)
+        .withColumn(PART, F.pmod(place, F.col(PARTS)).cast("int"))
+        .drop(FILE, ROW, PARTS)
     )
 
 
-def group_in_parts(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggregates: Sequence[Column],
-    rows_per_group: int,
-    count_of: DataFrame | None = None,
+def group_in_chunks(
+    df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], rows_per_chunk: int
 ) -> DataFrame:
-    """(keys, chunk, aggregates…): group by key, hot keys in numbered parts.
-
-    Without a hot key the result is partitioned by the keys alone, so a later step by the
-    same keys needs no shuffle.
-    """
-    hot = hot_groups(df if count_of is None else count_of, keys, rows_per_group)
-    if hot is None:
-        grouped = df.groupBy(*cols(keys)).agg(*aggregates)
-        rest = [c for c in grouped.columns if c not in keys]
-        return grouped.select(*cols(keys), F.lit(0).alias("chunk"), *cols(rest))
+    """(keys, chunk, aggregates…): a key of n rows in ceil(n / rows_per_chunk) chunks of about that size."""
+    hot = hot_groups(df.select(*cols(keys)), keys, rows_per_chunk)
     return split_hot(df, keys, hot).groupBy(*cols(keys), F.col(PART).alias("chunk")).agg(*aggregates)

@@ -144,32 +144,32 @@ def _(t: Tables):
     return agg.count_by_key(t.orders.select(F.nullif("o_custkey", F.lit(7)).alias("k")), "k")
 
 
-def _rows_of_groups(grouped, key: str, total):
-    """Sizes and sums of the value arrays; chunks of one key are added up."""
-    return grouped.groupBy(key).agg(
-        F.sum(F.size("values")).cast("long").alias("n"), F.sum(total).alias("total")
-    )
+def _listed(grouped, key: str):
+    """One row per key with its values in order."""
+    values = F.array_sort(F.transform("values", lambda v: v["o_orderkey"]))
+    return grouped.select(key, F.array_join(values, "|").alias("orders"))
 
 
-@query(
-    "group_by_key",
-    "SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY 1",
-)
+_LISTED = """SELECT {key} AS {name}, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS orders
+       FROM orders GROUP BY 1"""
+
+
+@query("group_by_key", _LISTED.format(key="o_custkey", name="o_custkey"))
 def _(t: Tables):
-    grouped = agg.group_by_key(t.orders.select("o_custkey", "o_orderkey"), "o_custkey")
-    total = F.aggregate("values", F.lit(0).cast("long"), lambda s, v: s + v["o_orderkey"])
-    return _rows_of_groups(grouped, "o_custkey", total)
+    return _listed(agg.group_by_key(t.orders.select("o_custkey", "o_orderkey"), "o_custkey"), "o_custkey")
 
 
-@query(
-    "group_by_expr",
-    """SELECT CAST(year(o_orderdate) AS INTEGER) AS key, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total
-       FROM orders GROUP BY 1""",
-)
+@query("group_by_key_chunks", _LISTED.format(key="o_custkey", name="o_custkey"))
+def _(t: Tables):
+    """Chunks of about five rows, put together again."""
+    chunks = agg.group_by_key_chunks(t.orders.select("o_custkey", "o_orderkey"), "o_custkey", rows_per_chunk=5)
+    whole = chunks.groupBy("o_custkey").agg(F.flatten(F.collect_list("values")).alias("values"))
+    return _listed(whole, "o_custkey")
+
+
+@query("group_by_expr", _LISTED.format(key="CAST(year(o_orderdate) AS INTEGER)", name="key"))
 def _(t: Tables):
-    grouped = agg.group_by(t.orders.select("o_orderkey", "o_orderdate"), F.year("o_orderdate"))
-    total = F.aggregate("values", F.lit(0).cast("long"), lambda s, v: s + v["o_orderkey"])
-    return _rows_of_groups(grouped, "key", total)
+    return _listed(agg.group_by(t.orders.select("o_orderkey", "o_orderdate"), F.year("o_orderdate")), "key")
 
 
 @query(

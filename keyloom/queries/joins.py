@@ -59,25 +59,52 @@ def _(t: Tables):
     return joins.cartesian(t.supplier.select("s_suppkey", "s_name"), t.region)
 
 
-def _cogroup_counts(grouped, key: str, sides: list[str], extra=()):
-    """Chunks of one key are added up; arrays become sizes."""
-    sums = [F.sum(F.size(s)).cast("long").alias(s) for s in sides]
-    return grouped.groupBy(key).agg(*sums, *extra)
+def _sorted_lists(grouped, key: str, sides: dict[str, str]):
+    """One row per key with the values of each side in order; two rows of a key would show."""
 
+    def listed(side: str, field: str):
+        values = F.transform(side, lambda v: v[field].cast("string"))
+        return F.array_join(F.array_sort(values), "|").alias(side)
 
-@query(
-    "cogroup2",
-    """SELECT k, CAST(sum(o) AS BIGINT) AS orders, CAST(sum(l) AS BIGINT) AS lines,
-       CAST(sum(q) AS DOUBLE) AS quantity FROM (
-       SELECT o_orderkey AS k, 1 AS o, 0 AS l, 0 AS q FROM orders UNION ALL
-       SELECT l_orderkey, 0, 1, l_quantity FROM lineitem) GROUP BY k""",
-)
+    return grouped.select(F.col(key), *[listed(s, f) for s, f in sides.items()])
+
+
+def _list_sql(tables: dict[str, tuple[str, str, str]]) -> str:
+    """Each side as (table, key, value), its values as one sorted text."""
+    rows = " UNION ALL ".join(
+        f"SELECT {key} AS k, {', '.join((f'CAST({value} AS VARCHAR)' if s == side else 'NULL') + f' AS {s}' for s in tables)} FROM {table}"
+        for side, (table, key, value) in tables.items()
+    )
+    lists = ", ".join(f"coalesce(string_agg({s}, '|' ORDER BY {s}), '') AS {s}" for s in tables)
+    return f"SELECT k, {lists} FROM ({rows}) GROUP BY k"
+
+
+_NATIONS = {
+    "customers": ("customer", "nullif(c_nationkey, 3)", "c_name"),
+    "suppliers": ("supplier", "nullif(s_nationkey, 3)", "s_name"),
+    "nations": ("nation", "n_nationkey", "n_name"),
+}
+_ORDER_LINES = {"orders": ("orders", "o_orderkey", "o_orderstatus"), "lines": ("lineitem", "l_orderkey", "l_linenumber")}
+
+
+def _order_lines(t: Tables):
+    orders = t.orders.select(F.col("o_orderkey").alias("k"), "o_orderstatus")
+    return [orders, t.lineitem.select(F.col("l_orderkey").alias("k"), "l_linenumber")]
+
+
+@query("cogroup2", _list_sql(_ORDER_LINES))
 def _(t: Tables):
-    orders = t.orders.select(F.col("o_orderkey").alias("k"), "o_totalprice")
-    lines = t.lineitem.select(F.col("l_orderkey").alias("k"), "l_quantity")
-    grouped = joins.cogroup([orders, lines], "k", ["orders", "lines"])
-    quantity = F.aggregate("lines", F.lit(0.0), lambda s, v: s + v["l_quantity"])
-    return _cogroup_counts(grouped, "k", ["orders", "lines"], [F.sum(quantity).alias("quantity")])
+    grouped = joins.cogroup(_order_lines(t), "k", list(_ORDER_LINES))
+    return _sorted_lists(grouped, "k", {s: v[2] for s, v in _ORDER_LINES.items()})
+
+
+@query("cogroup_chunks", _list_sql(_ORDER_LINES))
+def _(t: Tables):
+    """Chunks of four rows, put together again."""
+    sides = list(_ORDER_LINES)
+    chunks = joins.cogroup_chunks(_order_lines(t), "k", sides, rows_per_chunk=4)
+    whole = chunks.groupBy("k").agg(*[F.flatten(F.collect_list(s)).alias(s) for s in sides])
+    return _sorted_lists(whole, "k", {s: v[2] for s, v in _ORDER_LINES.items()})
 
 
 def _nations(t: Tables):
@@ -87,31 +114,19 @@ def _nations(t: Tables):
     return customers, suppliers, nations
 
 
-_NATIONS = """SELECT nullif(c_nationkey, 3) AS k, 1 AS c, 0 AS s, 0 AS n, 0 AS o FROM customer UNION ALL
- SELECT nullif(s_nationkey, 3), 0, 1, 0, 0 FROM supplier UNION ALL
- SELECT n_nationkey, 0, 0, 1, 0 FROM nation"""
+@query("cogroup3", _list_sql(_NATIONS))
+def _(t: Tables):
+    return _sorted_lists(joins.cogroup(_nations(t), "k", list(_NATIONS)), "k", {s: v[2] for s, v in _NATIONS.items()})
 
 
-@query(
-    "cogroup3",
-    f"""SELECT k, CAST(sum(c) AS BIGINT) AS customers, CAST(sum(s) AS BIGINT) AS suppliers,
-        CAST(sum(n) AS BIGINT) AS nations FROM ({_NATIONS}) GROUP BY k""",
-)
-def _(t: Tables):
-    sides = ["customers", "suppliers", "nations"]
-    return _cogroup_counts(joins.cogroup(_nations(t), "k", sides), "k", sides)
+_SIZES = _NATIONS | {"sizes": ("part", "p_size", "p_name")}
 
 
-@query(
-    "cogroup4",
-    f"""SELECT k, CAST(sum(c) AS BIGINT) AS customers, CAST(sum(s) AS BIGINT) AS suppliers,
-        CAST(sum(n) AS BIGINT) AS nations, CAST(sum(o) AS BIGINT) AS sizes FROM ({_NATIONS}
-        UNION ALL SELECT p_size, 0, 0, 0, 1 FROM part) GROUP BY k""",
-)
+@query("cogroup4", _list_sql(_SIZES))
 def _(t: Tables):
-    sides = ["customers", "suppliers", "nations", "sizes"]
     sizes = t.part.select(F.col("p_size").alias("k"), "p_name")
-    return _cogroup_counts(joins.group_with([*_nations(t), sizes], "k", names=sides), "k", sides)
+    grouped = joins.group_with([*_nations(t), sizes], "k", names=list(_SIZES))
+    return _sorted_lists(grouped, "k", {s: v[2] for s, v in _SIZES.items()})
 
 
 @query(

@@ -71,7 +71,20 @@ def _(t: Tables):
        SELECT CAST(taken AS INTEGER) AS bound, key FROM b WHERE taken > before AND taken < 8""",
 )
 def _(t: Tables):
-    return layout.range_bounds(t.orders, "o_custkey", 8, sample=False)
+    return layout.range_bounds(t.orders, "o_custkey", 8)
+
+
+@query(
+    "range_bounds_sampled",
+    """SELECT true AS balanced, 7 AS bounds, count(*) AS n FROM orders""",
+)
+def _(t: Tables):
+    bounds = layout.range_bounds(t.orders, "o_orderkey", 8, fraction=0.25, seed=1)
+    cuts = bounds.agg(F.array_sort(F.collect_list("key")).alias("cuts"), F.count(F.lit(1)).cast("int").alias("bounds"))
+    placed = t.orders.select("o_orderkey").crossJoin(F.broadcast(cuts))  # one row of seven bounds
+    ranges = placed.groupBy("bounds", F.size(F.filter("cuts", lambda c: c < F.col("o_orderkey"))).alias("range")).count()
+    even = F.max("count") < 3 * F.min("count")
+    return ranges.groupBy("bounds").agg(even.alias("balanced"), F.sum("count").alias("n"))
 
 
 @query("partition_subset", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders")

@@ -23,6 +23,39 @@ def _(t: Tables):
     return udfs.reduce_groups(lines, "l_returnflag", "l_extendedprice", lambda s: float(s.max()), "double")
 
 
+@query(
+    "udf_group_median",
+    """SELECT l_suppkey, CAST(median(l_extendedprice) AS DOUBLE) AS l_extendedprice FROM lineitem GROUP BY l_suppkey""",
+)
+def _(t: Tables):
+    lines = t.lineitem.select("l_suppkey", "l_extendedprice")
+    return udfs.reduce_groups(lines, "l_suppkey", "l_extendedprice", lambda s: float(s.median()), "double")
+
+
+@query(
+    "udf_merge_groups",
+    "SELECT l_returnflag, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY l_returnflag",
+)
+def _(t: Tables):
+    def largest(s):
+        return float(s.max())
+
+    lines = t.lineitem.select("l_returnflag", "l_extendedprice")
+    return udfs.merge_groups(lines, "l_returnflag", "l_extendedprice", largest, largest, "double")
+
+
+@query(
+    "udf_map_groups",
+    """SELECT o_custkey, count(*) AS n, max(o_totalprice) AS largest FROM orders GROUP BY o_custkey""",
+)
+def _(t: Tables):
+    def summary(g):
+        return g.groupby("o_custkey").agg(n=("o_totalprice", "size"), largest=("o_totalprice", "max")).reset_index()
+
+    orders = t.orders.select("o_custkey", "o_totalprice")
+    return udfs.map_groups(orders, "o_custkey", summary, "o_custkey long, n long, largest double")
+
+
 @query(
     "udtf_tokens",
     """SELECT token, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents)

@@ -126,14 +126,14 @@ def test_range_bounds(spark, seed):
     keys = [heavy if rng.random() < 0.5 * (seed % 3) else rng.randint(0, 40) for _ in range(120)]
     df = spark.createDataFrame([(k,) for k in keys], "k int").repartition(3)
     n = rng.choice([2, 5, 9])
-    got = layout.range_bounds(df, "k", n, sample=False).orderBy("bound").collect()
+    got = layout.range_bounds(df, "k", n).orderBy("bound").collect()
     assert [r["key"] for r in got] == greedy_bounds(keys, n)
     assert [r["bound"] for r in got] == list(range(1, len(got) + 1))
 
 
 def test_sampled_range_bounds_balance(spark):
     df = spark.range(0, 20_000, 1, 8)
-    bounds = [r["key"] for r in layout.range_bounds(df, "id", 5, seed=3).orderBy("bound").collect()]
+    bounds = [r["key"] for r in layout.range_bounds(df, "id", 5, fraction=0.05, seed=3).orderBy("bound").collect()]
     assert len(bounds) == 4
     edges = [0, *bounds, 20_000]
     sizes = [b - a for a, b in zip(edges[:-1], edges[1:])]

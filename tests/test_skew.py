@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from keyloom.jobs.pagerank import pagerank
 from keyloom.operators import aggregates, joins, sets, udfs
+from keyloom.plans import skew
 
 
 def table(spark, seed, n, name, partitions=5):
@@ -57,43 +58,70 @@ def test_one_sided_hot_key(spark):
     assert full.filter("w is null").count() == 20
 
 
-def test_group_by_key_chunks(spark):
-    data, df = table(spark, 3, 90, "v")
-    chunks = aggregates.group_by_key(df, "k", rows_per_group=5)
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_group_by_key_chunks(spark, partitions):
+    data, df = table(spark, 3, 90, "v", partitions)
+    chunks = aggregates.group_by_key_chunks(df, "k", rows_per_chunk=5)
     got = Counter()
     for row in chunks.collect():
         for value in row["values"]:
             got[(row["k"], value["v"])] += 1
     assert got == Counter(data)
     assert chunks.filter("k = 1").count() > 1
-    assert aggregates.group_by_key(df, "k").filter("chunk > 0").count() == 0
+    whole = aggregates.group_by_key(df, "k")
+    assert whole.count() == len({k for k, _ in data})
+    assert Counter((r["k"], x["v"]) for r in whole.collect() for x in r["values"]) == Counter(data)
 
 
 def test_cogroup_chunks(spark):
     left_data, left = table(spark, 4, 60, "v")
     right_data, right = table(spark, 5, 30, "w")
-    got_left, got_right = Counter(), Counter()
-    for row in joins.cogroup([left, right], "k", ["a", "b"], rows_per_group=4).collect():
-        got_left.update((row["k"], x["v"]) for x in row["a"])
-        got_right.update((row["k"], x["w"]) for x in row["b"])
-    assert got_left == Counter(left_data)
-    assert got_right == Counter(right_data)
-
-
-def test_reduce_and_map_groups_in_parts(spark):
+    for grouped in (
+        joins.cogroup_chunks([left, right], "k", ["a", "b"], rows_per_chunk=4),
+        joins.cogroup([left, right], "k", ["a", "b"]),
+    ):
+        got_left, got_right = Counter(), Counter()
+        for row in grouped.collect():
+            got_left.update((row["k"], x["v"]) for x in row["a"])
+            got_right.update((row["k"], x["w"]) for x in row["b"])
+        assert got_left == Counter(left_data)
+        assert got_right == Counter(right_data)
+    assert grouped.count() == len({k for k, _ in left_data + right_data})
+
+
+def test_hot_key_in_one_partition(spark):
+    """All rows of the key lie in one partition, and some are equal: parts come out even."""
+    df = spark.createDataFrame([(1, f"v{i % 100}") for i in range(10_000)] + [(2, "x")], "k long, v string").coalesce(1)
+    sizes = [len(r["values"]) for r in aggregates.group_by_key_chunks(df, "k", rows_per_chunk=1000).filter("k = 1").collect()]
+    assert len(sizes) == 10 and sum(sizes) == 10_000 and max(sizes) < 1300
+    right = spark.createDataFrame([(1, "a"), (3, "b")], "k long, w string")
+    full = joins.join(df, right, "k", "full", rows_per_task=1000)
+    assert full.count() == 10_002
+
+
+def test_groups_are_whole_at_every_size(spark):
     data = [(1 if i % 3 else i % 7, float(i)) for i in range(200)]
     df = spark.createDataFrame(data, "k long, v double").repartition(7)
-    sums = Counter()
+    groups = {}
     for k, v in data:
-        sums[k] += v
-    got = udfs.reduce_groups(df, "k", "v", lambda s: float(s.sum()), "double", rows_per_group=10)
-    assert {r["k"]: r["v"] for r in got.collect()} == dict(sums)
-    parts = udfs.map_groups(
-        df, "k", lambda g: g.groupby("k", as_index=False)["v"].sum(), "k long, v double", rows_per_group=10
-    )
-    assert parts.filter("k = 1").count() > 1
-    again = parts.groupBy("k").agg(F.sum("v").alias("v"))
-    assert {r["k"]: r["v"] for r in again.collect()} == dict(sums)
+        groups.setdefault(k, []).append(v)
+    median = {k: float(sorted(v)[len(v) // 2] + sorted(v)[(len(v) - 1) // 2]) / 2 for k, v in groups.items()}
+    got = udfs.reduce_groups(df, "k", "v", lambda s: float(s.median()), "double")
+    assert {r["k"]: r["v"] for r in got.collect()} == median
+    mapped = udfs.map_groups(df, "k", lambda g: g.groupby("k", as_index=False)["v"].median(), "k long, v double")
+    assert {r["k"]: r["v"] for r in mapped.collect()} == median
+    total = lambda s: float(s.sum())
+    nulls = df.union(spark.createDataFrame([(None, 1.0), (None, 2.0)], "k long, v double"))
+    merged = udfs.merge_groups(nulls, "k", "v", total, total, "double")
+    assert {r["k"]: r["v"] for r in merged.collect()} == {k: sum(v) for k, v in groups.items()} | {None: 3.0}
+
+
+def test_broadcast_is_bounded_in_bytes(spark):
+    df = spark.range(10).selectExpr("id", "repeat('x', 1000) AS wide")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(skew.broadcast_if_small(df))
+    assert not hinted(skew.broadcast_if_small(df, max_bytes=5000))
+    assert not hinted(skew.broadcast_if_small(df, max_rows=9))
 
 
 def test_hot_copies_in_set_operations(spark):
