@@ -9,17 +9,20 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import InheritableThread, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import confidence_factor, normal_quantile
 from ..plans.checks import as_list, require
 from ..plans.keys import cols, quoted
 
-SKETCH_LG_K = (4, 21)
+# Finest sketch that Spark offers, as the logarithm of its registers.
+SKETCH_LG_K = 21
 
 
 def precision_for(relative_sd: float) -> int:
@@ -34,7 +37,7 @@ def approx_distinct_column(
     """Distinct-count estimate as an aggregate.
 
     HyperLogLog++ down to 1 % deviation; finer precision, or an explicit ``p``, uses the
-    mergeable sketch, which Spark offers up to 2^21 registers.
+    mergeable sketch. What cannot be met raises: more than 2^21 registers, a sparse precision.
     """
     value = F.col(quoted(column))
     if p is None:
@@ -45,8 +48,9 @@ def approx_distinct_column(
     require(p >= 4, "p must be at least 4")
     require(sp <= 32, "sp must be at most 32")
     require(sp == 0 or p <= sp, "p must not exceed sp")
-    low, high = SKETCH_LG_K
-    return F.hll_sketch_estimate(F.hll_sketch_agg(value, min(max(p, low), high)))
+    require(p <= SKETCH_LG_K, f"no sketch here is finer than 2^{SKETCH_LG_K} registers")
+    require(sp == 0, "a sparse precision cannot be chosen here")
+    return F.hll_sketch_estimate(F.hll_sketch_agg(value, p))
 
 
 def count_approx_distinct(df: DataFrame, column: str, **precision: Any) -> DataFrame:
@@ -138,7 +142,8 @@ def estimate_progress(
 
     ``part`` numbers the parts 0…total_parts-1; ``after`` lists the points of interest
     (default: after every part). All rows are aggregated once, per part and group, before
-    any shuffle; a group has no estimate before its first row is in.
+    any shuffle; then moments are added up part by part, so the work is linear in the parts. A
+    group has no estimate before its first row is in.
     """
     require(what in ("count", "sum", "mean"), "what is 'count', 'sum' or 'mean'")
     require(0 < confidence < 1, "confidence lies in (0, 1)")
@@ -149,22 +154,32 @@ def estimate_progress(
     partials = df.groupBy(*cols(groups), part.cast("long").alias("__part")).agg(
         count.alias("__n"), F.avg(x).alias("__mean"), (F.var_pop(x) * count).alias("__m2")
     )
-    points = F.array(*[F.lit(int(m)) for m in after or range(1, total_parts + 1)])
-    seen_by = F.explode(F.filter(points, lambda m: m > F.col("__part"))).alias("merged")
-    weighted = F.sum(F.col("__n") * F.col("__mean"))
+    # Deviations from the group's first mean: no difference of large sums is ever taken.
+    in_order = Window.partitionBy(*(cols(groups) or [F.lit(0)])).orderBy("__part")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    off = partials.filter("__n > 0").withColumns(
+        {"__first": F.first("__mean").over(so_far), "__next": F.lead("__part").over(in_order)}
+    ).withColumn("__d", F.col("__mean") - F.col("__first"))
+    sums = {
+        "__n": F.sum("__n").over(so_far),
+        "__s1": F.sum(F.col("__n") * F.col("__d")).over(so_far),
+        "__s2": F.sum(F.col("__m2") + F.col("__n") * F.col("__d") * F.col("__d")).over(so_far),
+    }
+    # what is merged with a part stays so until the group's next one: each point comes once
+    first, last = F.col("__part") + 1, F.coalesce("__next", F.lit(total_parts).cast("long"))
+    if after is None:
+        points = F.when(first <= last, F.sequence(first, last))
+    else:
+        listed = F.array(*[F.lit(int(x)).cast("long") for x in after])
+        points = F.filter(listed, lambda x: (x >= first) & (x <= last))
     merged = (
-        partials.select("*", seen_by)
-        .groupBy("merged", *cols(groups))
-        .agg(
-            F.sum("__n").alias("__n"),
-            (weighted / F.sum("__n")).alias("__mean"),
-            (
-                F.sum("__m2")
-                + F.sum(F.col("__n") * F.col("__mean") * F.col("__mean"))
-                - weighted * weighted / F.sum("__n")
-            ).alias("__m2"),
+        off.withColumns(sums)
+        .withColumn("merged", F.explode(points))
+        .select(
+            F.col("merged").cast("int").alias("merged"), *cols(groups), "__n",
+            (F.col("__first") + F.col("__s1") / F.col("__n")).alias("__mean"),
+            (F.col("__s2") - F.col("__s1") * F.col("__s1") / F.col("__n")).alias("__m2"),
         )
-        .filter(F.col("__n") > 0)
     )
     n, m, total, mean = F.col("__n"), F.col("merged"), F.lit(total_parts), F.col("__mean")
     variance = F.when(n > 1, F.col("__m2") / (n - 1)).otherwise(F.lit(math.nan))
@@ -350,30 +365,44 @@ def _with_deadline(
     df: DataFrame, column: str | None, what: str, timeout: float, confidence: float
 ) -> PartialResult:
     """Run growing batches of partitions; publish the estimate at the deadline."""
+
+    def merge(state: _Moments, row: Any) -> None:
+        state.add(row["n"], row["mean"], row["m2"])
+
+    def tell(state: _Moments, merged: int, total: int) -> Bounded:
+        return _bounded(what, state, merged, total, confidence)
+
+    return _growing(df, _partition_moments(df, column), _Moments(), merge, tell, timeout, confidence)
+
+
+def _growing(
+    df: DataFrame, partials: DataFrame, state: Any, merge: Callable, tell: Callable, timeout: float, confidence: float
+) -> PartialResult:
     require(timeout >= 0, "timeout must not be negative")
     require(0 < confidence < 1, "confidence lies in (0, 1)")
     result = PartialResult()
     deadline = time.monotonic() + timeout
-    moments_rdd = _partition_moments(df, column).rdd
+    moments_rdd = partials.rdd
     total = moments_rdd.getNumPartitions()
     sc = df.sparkSession.sparkContext
-    state = {"moments": _Moments(), "merged": 0}
+    merged = 0
     lock = threading.Lock()
 
-    def snapshot() -> Bounded:
+    def snapshot() -> Any:
         with lock:
-            return _bounded(what, state["moments"], state["merged"], total, confidence)
+            return tell(state, merged, total)
 
     def work() -> None:
+        nonlocal merged
         try:
             size = max(1, sc.defaultParallelism)
-            while state["merged"] < total:
-                batch = list(range(state["merged"], min(total, state["merged"] + size)))
+            while merged < total:
+                batch = list(range(merged, min(total, merged + size)))
                 rows = sc.runJob(moments_rdd, list, batch)
                 with lock:
                     for row in rows:
-                        state["moments"].add(row["n"], row["mean"], row["m2"])
-                    state["merged"] += len(batch)
+                        merge(state, row)
+                    merged += len(batch)
                 size *= 2
             result._set_final(snapshot())
         except BaseException as error:  # noqa: BLE001 - handed to the caller
@@ -401,24 +430,75 @@ def mean_approx(df: DataFrame, column: str, timeout: float, confidence: float =
     return _with_deadline(df, column, "mean", timeout, confidence)
 
 
+# --- grouped estimates ---------------------------------------------------------------------
+
+
+def _grouped_moments(df: DataFrame, keys: list[str], column: str | None) -> DataFrame:
+    """(keys, n, mean, m2) per partition and key, computed where the partition lies."""
+    x = F.lit(0.0) if column is None else F.col(quoted(column)).cast("double")
+    source = df.select(*cols(keys), x.alias("__x"))
+    schema = T.StructType(
+        [*source.schema.fields[:-1], *T.StructType.fromDDL("__n long, __mean double, __m2 double").fields]
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grouped = batch.groupby(keys, dropna=False, sort=False)["__x"]
+            out = grouped.agg(__n="count", __mean="mean", __m2=lambda v: v.var(ddof=0) * v.count()).reset_index()
+            yield out[out["__n"] > 0]
+
+    return source.mapInPandas(run, schema)
+
+
+def _grouped_with_deadline(
+    df: DataFrame, keys: str | Sequence[str], column: str | None, what: str, timeout: float, confidence: float
+) -> PartialResult:
+    """As ``_with_deadline``, with a dict from key to estimate.
+
+    The dict is the result by contract and lives on the driver: for keys that fit there.
+    """
+    names = as_list(keys)
+
+    def key_of(row: Any) -> Any:
+        values = tuple(row[: len(names)])
+        return values if len(names) > 1 else values[0]
+
+    def merge(state: dict, row: Any) -> None:
+        state.setdefault(key_of(row), _Moments()).add(row["__n"], row["__mean"], row["__m2"])
+
+    def tell(state: dict, merged: int, total: int) -> dict:
+        return {k: _bounded(what, m, merged, total, confidence) for k, m in state.items()}
+
+    return _growing(df, _grouped_moments(df, names, column), {}, merge, tell, timeout, confidence)
+
+
 def count_by_key_approx(
-    df: DataFrame, keys: str | Sequence[str], part: Column, total_parts: int, confidence: float = 0.95
-) -> DataFrame:
-    return estimate_progress(df, part, total_parts, by=keys, what="count", confidence=confidence)
+    df: DataFrame, keys: str | Sequence[str], timeout: float, confidence: float = 0.95
+) -> PartialResult:
+    """{key: estimate of its rows}; keys not met before the deadline are missing from ``initial``."""
+    return _grouped_with_deadline(df, keys, None, "count", timeout, confidence)
 
 
-count_by_value_approx = count_by_key_approx
+def count_by_value_approx(df: DataFrame, timeout: float, confidence: float = 0.95) -> PartialResult:
+    """``count_by_key_approx`` with the whole row as the key."""
+    return count_by_key_approx(df, df.columns, timeout, confidence)
 
 
 def grouped_sum_approx(
-    df: DataFrame, keys: str | Sequence[str], column: str, part: Column, total_parts: int,
-    confidence: float = 0.95,
-) -> DataFrame:
-    return estimate_progress(df, part, total_parts, column, keys, "sum", confidence)
+    df: DataFrame, keys: str | Sequence[str], column: str, timeout: float, confidence: float = 0.95
+) -> PartialResult:
+    return _grouped_with_deadline(df, keys, column, "sum", timeout, confidence)
 
 
 def grouped_mean_approx(
-    df: DataFrame, keys: str | Sequence[str], column: str, part: Column, total_parts: int,
-    confidence: float = 0.95,
+    df: DataFrame, keys: str | Sequence[str], column: str, timeout: float, confidence: float = 0.95
+) -> PartialResult:
+    return _grouped_with_deadline(df, keys, column, "mean", timeout, confidence)
+
+
+def grouped_progress(
+    df: DataFrame, keys: str | Sequence[str], part: Column, total_parts: int, what: str = "count",
+    column: str | None = None, confidence: float = 0.95,
 ) -> DataFrame:
-    return estimate_progress(df, part, total_parts, column, keys, "mean", confidence)
+    """``estimate_progress`` by key: estimates as a table, for any number of keys."""
+    return estimate_progress(df, part, total_parts, column, keys, what, confidence)

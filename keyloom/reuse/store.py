@@ -7,12 +7,13 @@ The store is a folder of Parquet tables that are only appended to: ``entries``,
 from __future__ import annotations
 
 import hashlib
-import inspect
 import time
+import types
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,23 +34,65 @@ _IDS = "id string"
 def function_identity(f: Callable) -> str:
     """Text that is equal only for functions that do the same.
 
-    Source text plus the values it closes over; a function without readable source, or with
-    values that have no stable text, is unlike any other.
+    Code with its constants and names, defaults, closed-over values, and the globals that the
+    code names. A function that uses a value without a stable text is unlike any other.
     """
+    if not isinstance(f, types.FunctionType):
+        return uuid.uuid4().hex
     try:
-        source = inspect.getsource(f)
-        closed = inspect.getclosurevars(f)
-        values = {**closed.nonlocals}
-        plain = (str, int, float, bool, bytes, type(None), tuple)
-        if not all(isinstance(v, plain) for v in values.values()):
-            raise TypeError("closure values without a stable text")
-        default_values = repr((f.__defaults__, f.__kwdefaults__))
-    except (OSError, TypeError):
+        text = _function_text(f, ())
+    except TypeError:
         return uuid.uuid4().hex
-    text = source + repr(sorted(values.items())) + default_values
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def _function_text(f: Any, inside: tuple) -> str:
+    if isinstance(f, types.BuiltinFunctionType) and isinstance(f.__self__, (types.ModuleType, type(None))):
+        return f"builtin {f.__module__}.{f.__qualname__}"
+    if not isinstance(f, types.FunctionType):
+        raise TypeError("not a plain function")
+    if f.__module__ and f.__module__.split(".")[0] == "pyspark":
+        return f"function {f.__module__}.{f.__qualname__}"
+    if f in inside:
+        return f"caller {len(inside) - inside.index(f)}"
+    inside = (*inside, f)
+    cells = [c.cell_contents for c in f.__closure__ or ()]
+    used = {n: f.__globals__[n] for n in sorted(_names(f.__code__)) if n in f.__globals__}
+    parts = [f.__defaults__, f.__kwdefaults__, cells, used]
+    return repr([_code_text(f.__code__, inside), *[_value_text(p, inside) for p in parts]])
+
+
+def _names(code: types.CodeType) -> set[str]:
+    inner = [c for c in code.co_consts if isinstance(c, types.CodeType)]
+    return set(code.co_names).union(*map(_names, inner))
+
+
+def _code_text(code: types.CodeType, inside: tuple) -> str:
+    names = (code.co_names, code.co_varnames, code.co_freevars, code.co_cellvars)
+    shape = (code.co_argcount, code.co_posonlyargcount, code.co_kwonlyargcount, code.co_flags)
+    constants = [_value_text(c, inside) for c in code.co_consts]
+    return repr((code.co_code, names, shape, constants))
+
+
+def _value_text(value: Any, inside: tuple) -> str:
+    kind = type(value)
+    if kind in (str, int, float, bool, bytes, complex, type(None), type(Ellipsis)):
+        return f"{kind.__name__} {value!r}"
+    if kind in (tuple, list):
+        return f"{kind.__name__} {[_value_text(v, inside) for v in value]}"
+    if kind in (set, frozenset):
+        return f"{kind.__name__} {sorted(_value_text(v, inside) for v in value)}"
+    if kind is dict:
+        return f"dict {[(_value_text(k, inside), _value_text(v, inside)) for k, v in value.items()]}"
+    if kind is types.CodeType:
+        return _code_text(value, inside)
+    if kind is types.ModuleType:
+        return f"module {value.__name__}"
+    if isinstance(value, type) and value.__module__.split(".")[0] in ("builtins", "pyspark", "datetime", "decimal"):
+        return f"class {value.__module__}.{value.__qualname__}"
+    return _function_text(value, inside)
+
+
 @dataclass(frozen=True)
 class Step:
     op: str
@@ -89,9 +132,9 @@ class Pipeline:
         return scan.unionByName(self.spark.createDataFrame(rest, SCHEMA))
 
     def prefix(self, steps: int) -> str:
-        """Digest of the scan and the first ``steps`` steps."""
-        parts = sorted(self.inputs) + [f"{s.op.lower()}\0{s.fn.lower()}" for s in self.steps[:steps]]
-        return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+        """Digest of the scan and the first ``steps`` steps, to the letter."""
+        parts = [sorted(self.inputs), [(s.op, s.fn) for s in self.steps[:steps]]]
+        return hashlib.sha256(repr(parts).encode()).hexdigest()
 
     def run(self, steps: int | None = None, source: DataFrame | None = None, skip: int = 0) -> DataFrame:
         df = self.spark.read.parquet(*self.inputs) if source is None else source
@@ -158,12 +201,12 @@ class ResultStore:
         if self.capacity == float("inf"):
             return []
         victims = evict_candidates(self.catalog(), self.capacity, needed_gib, now)
-        removed = []
-        for row in victims.toLocalIterator():
-            self._append("removed", [(row["id"],)], _IDS)
+        rows = victims.select("id", "path").collect()  # one small row per evicted result
+        if rows:
+            self._append("removed", [(row["id"],) for row in rows], _IDS)
+        for row in rows:
             self._delete(row["path"])
-            removed.append(row["id"])
-        return removed
+        return [row["id"] for row in rows]
 
     def _delete(self, path: str) -> None:
         require(path.startswith(f"{self.root}/results/"), f"{path} is outside the store")

@@ -30,7 +30,7 @@ def stage_counters(events: DataFrame) -> DataFrame:
     rows = ends.select(
         "app_id",
         F.col("Stage ID").alias("stage_id"),
-        F.col("Stage Attempt ID").alias("attempt"),
+        t.attempt_of(F.col("Stage Attempt ID")),
         is_end.alias("is_end"),
         reason.alias("reason"),
         F.when(is_end, metrics).alias("metrics"),

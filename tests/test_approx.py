@@ -45,7 +45,7 @@ def test_distinct_by_key(spark):
 
 
 def test_distinct_arguments():
-    for bad in ({"relative_sd": 0.00001}, {"p": 3}, {"p": 12, "sp": 33}, {"p": 12, "sp": 11}):
+    for bad in ({"relative_sd": 0.00001}, {"p": 3}, {"p": 12, "sp": 33}, {"p": 12, "sp": 11}, {"p": 22}, {"p": 12, "sp": 20}, {"relative_sd": 0.0002}):
         with pytest.raises(ValueError):
             approx.approx_distinct_column("v", **bad)
 
@@ -68,6 +68,43 @@ def test_progress_small_groups(spark):
         approx.estimate_progress(df, F.col("p"), 4, what="sum")
 
 
+def test_progress_is_stable_for_large_means(spark):
+    df = spark.range(0, 1000).select((F.col("id") % 4).alias("p"), (F.col("id") % 10 + 1e9).alias("x"))
+    for what in ("mean", "sum"):
+        plain = approx.estimate_progress(df.withColumn("x", F.col("x") - 1e9), F.col("p"), 4, "x", what=what).collect()
+        moved = approx.estimate_progress(df, F.col("p"), 4, "x", what=what).collect()
+        assert len(moved) == 4 and not any(math.isnan(r["estimate"]["low"]) for r in moved)
+        if what == "mean":
+            for a, b in zip(sorted(plain), sorted(moved)):
+                assert abs((a["estimate"]["high"] - a["estimate"]["low"]) - (b["estimate"]["high"] - b["estimate"]["low"])) < 1e-5
+
+
+def test_grouped_results_become_exact(spark):
+    df = spark.range(0, 9000, 1, 30).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("x"))
+    df = df.withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    counts = approx.count_by_key_approx(df, "k", 60).final(120)
+    assert {None if k != k else k: v.mean for k, v in counts.items()} == {None: 3000, 1: 3000, 2: 3000}
+    means = approx.grouped_mean_approx(df.filter("k > 0"), "k", "x", 60).final(120)
+    assert abs(means[1].mean - 4499.5) < 1e-6 and means[1].confidence == 1.0
+    sums = approx.grouped_sum_approx(df.filter("k > 0"), "k", "x", 60).final(120)
+    assert abs(sums[2].mean - 3000 * 4500.5) < 1e-3
+    values = approx.count_by_value_approx(df.select("k").filter("k > 0"), 60).final(120)
+    assert {k: v.mean for k, v in values.items()} == {1: 3000, 2: 3000}
+
+
+def test_grouped_deadline(spark):
+    def slow(batches):
+        for b in batches:
+            time.sleep(0.4)
+            yield b
+
+    df = spark.range(0, 4800, 1, 48).mapInPandas(slow, "id long").withColumn("k", F.col("id") % 2)
+    result = approx.count_by_key_approx(df, "k", timeout=1.0)
+    first = result.initial(30)
+    assert all(v.confidence < 1.0 and v.low <= v.mean <= v.high for v in first.values())
+    assert {k: v.mean for k, v in result.final(120).items()} == {0: 2400, 1: 2400}
+
+
 def test_partial_results_become_exact(spark):
     df = spark.range(0, 10_000, 1, 40).select(F.col("id").cast("double").alias("x"))
     assert approx.count_approx(df, 60).final(120) == approx.Bounded(10_000, 1.0, 10_000, 10_000)

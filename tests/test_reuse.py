@@ -116,6 +116,46 @@ def test_function_identity():
     assert store.function_identity(make(object())) != store.function_identity(make(object()))
 
 
+LIMIT = 1
+
+
+def test_function_identity_sees_code_and_globals():
+    global LIMIT
+    pair = [lambda df: df.limit(1), lambda df: df.limit(2)]  # noqa: E731 - on one line
+    assert store.function_identity(pair[0]) != store.function_identity(pair[1])
+
+    def limited(df):
+        return df.limit(LIMIT)
+
+    before = store.function_identity(limited)
+    assert store.function_identity(limited) == before
+    LIMIT = 2
+    try:
+        assert store.function_identity(limited) != before
+    finally:
+        LIMIT = 1
+
+    def nested(n):
+        def inner(df):
+            return limited(df).select(F.lit(n), F.col("id"))
+
+        return lambda df: inner(df)
+
+    assert store.function_identity(nested(1)) == store.function_identity(nested(1))
+    assert store.function_identity(nested(1)) != store.function_identity(nested(True))
+
+
+def test_store_tells_steps_apart_to_the_letter(spark, tmp_path):
+    path = str(tmp_path / "flags")
+    spark.createDataFrame([("R",)] * 6 + [("r",)] * 4, "flag string").write.parquet(path)
+    results = store.ResultStore(spark, str(tmp_path / "store"))
+    upper = store.Pipeline(spark, "a", [path]).then("filter", lambda df: df.filter("flag = 'R'"), "flag = 'R'")
+    lower = store.Pipeline(spark, "b", [path]).then("filter", lambda df: df.filter("flag = 'r'"), "flag = 'r'")
+    results.store(upper)
+    assert results.find(lower) is None and results.run(lower).count() == 4
+    assert results.find(upper) is not None and results.run(upper).count() == 6
+
+
 @pytest.fixture
 def numbers(spark, tmp_path):
     path = str(tmp_path / "numbers")
