@@ -25,10 +25,16 @@ from pyspark.sql import functions as F
 from .workers import kept, vocabulary_path
 
 SPACE = "▁"
+# Stands for a U+2581 of the text, which never merges; surrogates do not occur in texts.
+LITERAL = "\ud800"
+NONE = (float("inf"), -1)
+MASK = 2**64 - 1
+# Units of up to so many symbols are merged in a list.
+SHORT = 64
 DROPOUT = 0.1
 VARIANTS = 4
 # Units kept by a worker. Beyond it the table starts anew.
-UNITS = 700_000
+UNITS = 500_000
 TAIL = ".,!?;:%$*&#|"
 
 
@@ -55,6 +61,7 @@ class Pieces:
                 self.spelled.append(piece.replace(SPACE, " ").encode())
                 pairs.update(zip(piece, piece[1:]))
         self.pairs = pairs
+        self.names = [b"%d" % i for i in range(model.vocab_size())]
         # line ends are units of their own if no piece has one inside; spaces begin units
         alone = "\n" if not any("\n" in p for pair in pairs for p in pair) else ""
         self.cut = re.compile(rf" *[^ {alone}]+| +|[{alone}]" if alone else r" *[^ ]+| +")
@@ -63,44 +70,72 @@ class Pieces:
 
     def segment(self, unit: str, dropout: float, key: int) -> list[int]:
         """Ids of one unit, in which a space is a space."""
-        symbols: list[str | None] = [SPACE if c == " " else None if c == SPACE else c for c in unit]
+        symbols = [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
+        limit = int(dropout * 2**64)
+        # one hash of the unit; then one per candidate, of its piece and place
+        keyed = xxhash.xxh64_intdigest(unit.encode(), key)
+        merge = self.merge_short if len(symbols) <= SHORT else self.merge_long
+        ids = []
+        for s in merge(symbols, limit, keyed):
+            found = self.rank.get(s)
+            if found:
+                ids.append(found[1])
+            else:
+                ids += [self.bytes[b] for b in (SPACE if s == LITERAL else s).encode()]
+        return ids
+
+    def skipped(self, piece: int, left: int, limit: int, keyed: int) -> bool:
+        return xxhash.xxh64_intdigest(self.names[piece], (keyed + left) & MASK) < limit
+
+    def merge_short(self, symbols: list[str], limit: int, keyed: int) -> list[str]:
+        """The agenda as a list of one candidate per neighbour; for units of a few symbols."""
+        rank, none, names, digest = self.rank.get, NONE, self.names, xxhash.xxh64_intdigest
+        agenda = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        place = list(range(len(symbols)))
+        while agenda:
+            best = min(agenda)  # equal candidates are the same piece: index() gives the leftmost
+            if best is none:
+                break
+            i = agenda.index(best)
+            if limit and digest(names[best[1]], (keyed + place[i]) & MASK) < limit:
+                agenda[i] = none
+                continue
+            symbols[i] += symbols.pop(i + 1)
+            del place[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(symbols[i] + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def merge_long(self, symbols: list[str], limit: int, keyed: int) -> list[str]:
+        """The same with the agenda as a heap and symbols as a linked list, for units of any length."""
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        rank, agenda = self.rank, []
-        raw = unit.encode()
-        limit = int(dropout * 2**64)
+        agenda: list[tuple] = []
 
         def propose(left: int, right: int) -> None:
-            if left >= 0 and right < n and symbols[left] and symbols[right]:
-                found = rank.get(symbols[left] + symbols[right])
+            if left >= 0 and right < n:
+                found = self.rank.get(symbols[left] + symbols[right])
                 if found:
-                    heapq.heappush(agenda, (found[0], left, right, len(symbols[left]) + len(symbols[right]), found[1]))
+                    heapq.heappush(agenda, (found, left, right, len(symbols[left]), len(symbols[right])))
 
         for i in range(n - 1):
             propose(i, i + 1)
         while agenda:
-            _, left, right, size, piece = heapq.heappop(agenda)
-            a, b = symbols[left], symbols[right]
-            if not a or not b or len(a) + len(b) != size:
+            (_, piece), left, right, a, b = heapq.heappop(agenda)
+            if len(symbols[left]) != a or len(symbols[right]) != b:
                 continue  # one of them has been merged meanwhile
-            if limit and xxhash.xxh64_intdigest(b"%b\xff%d,%d" % (raw, left, piece), key) < limit:
+            if limit and self.skipped(piece, left, limit, keyed):
                 continue
-            symbols[left], symbols[right] = a + b, ""
+            symbols[left] += symbols[right]
+            symbols[right] = ""
             after[left] = after[right]
             if after[right] < n:
                 before[after[right]] = left
             propose(before[left], left)
             propose(left, after[left])
-        ids = []
-        for s in symbols:
-            if s == "":
-                continue
-            found = rank.get(s) if s else None
-            if found:
-                ids.append(found[1])
-            else:
-                ids += [self.bytes[b] for b in (s or SPACE).encode()]
-        return ids
+        return [s for s in symbols if s]
 
     def parts(self, unit: str) -> list[str]:
         """A unit without its tail of punctuation, and the tail, if no merge can join them."""

@@ -118,6 +118,17 @@ def test_dropout(documents):
     assert back.count() == documents.count()
 
 
+def test_both_agendas_agree():
+    import random
+
+    pieces, r = merge_dropout.loaded(None), random.Random(2)
+    for _ in range(400):
+        unit = "".join(r.choices(" abcdehinorst▁é", k=r.randint(1, 90)))
+        key, limit = r.getrandbits(64), r.choice([0, 2**62, 2**63])
+        symbols = [merge_dropout.SPACE if c == " " else merge_dropout.LITERAL if c == "▁" else c for c in unit]
+        assert pieces.merge_short(list(symbols), limit, key) == pieces.merge_long(list(symbols), limit, key)
+
+
 def test_units_are_varied():
     pieces = merge_dropout.loaded(None)
     seen = {pieces.encode("international understanding", 0.3, 42, v) for v in range(32)}
