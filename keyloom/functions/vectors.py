@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.checks import as_list
 from ..plans.keys import cols, quoted
@@ -97,15 +100,40 @@ def random(length: int, seed: int) -> Column:
 def sum_vectors(df: DataFrame, column: str, by: str | Sequence[str] | None = None) -> DataFrame:
     """Element-wise sum of all vectors, overall or per key.
 
-    Elements are summed by position before the shuffle; only one partial sum per position
-    and task moves.
+    The vectors of a key are added up in each batch, where they lie; elements become rows only
+    for these partial sums, one per key and batch. Null vectors and elements add nothing.
     """
     groups = as_list(by)
+    source = df.select(*cols(groups), vector(column).alias("__v")).filter(F.col("__v").isNotNull())
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__v", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch.groupby(groups, dropna=False, sort=False).ngroup() if groups else np.zeros(len(batch), int)
+            size = batch["__v"].map(len).to_numpy()
+            partial = []
+            for n in np.unique(size):  # vectors of different lengths are added by position later
+                rows = np.flatnonzero(size == n)
+                values = np.stack(batch["__v"].iloc[rows].to_numpy()).astype(float)
+                sums = np.zeros((int(np.max(keys)) + 1, n))
+                np.add.at(sums, np.asarray(keys)[rows], values)
+                first = {}
+                for r, k in zip(rows, np.asarray(keys)[rows]):
+                    first.setdefault(k, r)
+                out = batch.iloc[list(first.values())].copy()
+                out["__v"] = [sums[k] for k in first]
+                partial.append(out)
+            yield pd.concat(partial)
+
+    whole = F.transform("__v", lambda x: F.coalesce(x, F.lit(0.0)))
     sums = (
-        df.select(*cols(groups), F.posexplode(vector(column)).alias("__i", "__x"))
+        source.withColumn("__v", whole).mapInPandas(run, schema)
+        .select(*cols(groups), F.posexplode("__v").alias("__i", "__x"))
         .groupBy(*cols(groups), "__i")
         .agg(F.sum("__x").alias("__x"))
-    )
+    )
     gathered = F.array_sort(F.collect_list(F.struct("__i", "__x")))
     return sums.groupBy(*cols(groups)).agg(
         F.transform(gathered, lambda e: e["__x"]).alias(column)

@@ -91,8 +91,8 @@ def tree_reduce(
 
 
 def reduce(df: DataFrame, column: str, f: Callable[[Any, Any], Any]) -> Any:
-    """``tree_reduce`` with a single merge at the end."""
-    return tree_reduce(df, column, f, depth=1)
+    """``tree_reduce``: partial results meet on executors before the driver sees them."""
+    return tree_reduce(df, column, f)
 
 
 def tree_aggregate(
@@ -120,8 +120,8 @@ def tree_aggregate(
 
 
 def aggregate(df, zero, seq, combine, result_type, column=None) -> Any:
-    """``tree_aggregate`` with a single merge at the end."""
-    return tree_aggregate(df, zero, seq, combine, result_type, column, depth=1)
+    """``tree_aggregate``: partial results meet on executors before the driver sees them."""
+    return tree_aggregate(df, zero, seq, combine, result_type, column)
 
 
 def fold(df: DataFrame, column: str, zero: Any, op: Callable[[Any, Any], Any]) -> Any:

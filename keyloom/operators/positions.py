@@ -38,11 +38,7 @@ def zip_with_index(
 
 
 def _indexed(df: DataFrame, order: list[str], name: str, on_tie: str) -> tuple[DataFrame, int]:
-    indexed, count = with_position(df, cols(order) or None, name)
-    if order and on_tie == "error":
-        ties = indexed.groupBy(*cols(order)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        require(ties.isEmpty(), f"rows tie on {order}; the order must be unique")
-    return indexed, count
+    return with_position(df, cols(order) or None, name, unique=on_tie == "error")
 
 
 def zip_with_unique_id(df: DataFrame, name: str = "id", num_partitions: int | None = None) -> DataFrame:
@@ -83,11 +79,19 @@ def zip_partitions(
 ) -> DataFrame:
     """Call ``f`` with the rows of equal-numbered partitions of two to four datasets.
 
-    Rows are placed by ``partition`` (an id expression all datasets can compute; default:
-    the partition they are in). ``f`` gets one pandas frame per dataset.
+    Rows are placed by ``partition`` (an id expression all datasets can compute, from 0 to
+    ``num_partitions`` - 1; another id is an error). Without it they stay in the partition
+    they are in, and every dataset must have ``num_partitions`` of them. ``f`` gets one pandas
+    frame per dataset, so the partitions of one number must fit in a task together.
     """
     require(2 <= len(datasets) <= 4, "two to four datasets can be zipped")
-    place = F.spark_partition_id() if partition is None else partition
+    if partition is None:
+        counts = [df.rdd.getNumPartitions() for df in datasets]
+        require(set(counts) == {num_partitions}, f"cannot zip {counts} partitions as {num_partitions}")
+    given = (F.spark_partition_id() if partition is None else partition).cast("int")
+    place = F.when((given >= 0) & (given < num_partitions), given).otherwise(
+        F.raise_error(F.lit(f"a partition id is outside 0 to {num_partitions - 1}")).cast("int")
+    )
     names = [f"__row{i}" for i in range(len(datasets))]
     tagged = []
     for i, df in enumerate(datasets):

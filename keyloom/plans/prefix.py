@@ -38,12 +38,18 @@ def numbered_files(df: DataFrame) -> DataFrame:
 
 
 def sorted_table(
-    df: DataFrame, order: Sequence[Column | str], num_ranges: int | None = None
+    df: DataFrame, order: Sequence[Column | str], num_ranges: int | None = None, copy: str | None = None
 ) -> DataFrame:
-    """Write ``df`` range-partitioned and sorted; add the file number and row number."""
+    """Write ``df`` range-partitioned and sorted; add the file number and row number.
+
+    ``copy`` names a column that counts the rows of equal order from 1. Equal rows share a
+    range, so it needs no shuffle of its own.
+    """
     ranges = (
         df.repartitionByRange(num_ranges, *order) if num_ranges else df.repartitionByRange(*order)
     )
+    if copy is not None:
+        ranges = ranges.withColumn(copy, F.row_number().over(Window.partitionBy(*order).orderBy(*order)))
     return numbered_files(ranges.sortWithinPartitions(*order))
 
 
@@ -52,15 +58,19 @@ def with_position(
     order: Sequence[Column | str] | None,
     name: str = "index",
     num_ranges: int | None = None,
+    unique: bool = False,
 ) -> tuple[DataFrame, int]:
     """Add a 0-based consecutive position; also return the row count.
 
     The position follows ``order``, or without one the order the rows have now: partition by
-    partition.
+    partition. With ``unique``, rows of equal order are an error.
     """
     require(name not in df.columns, f"column {name!r} exists already")
-    table = numbered_files(df) if order is None else sorted_table(df, order, num_ranges)
-    counts = table.groupBy(FILE).agg(F.count(F.lit(1)).alias("n")).collect()
+    copy = "__copy" if unique and order is not None else None
+    table = numbered_files(df) if order is None else sorted_table(df, order, num_ranges, copy)
+    most = F.max(copy) if copy else F.lit(1)
+    counts = table.groupBy(FILE).agg(F.count(F.lit(1)).alias("n"), most.alias("most")).collect()
+    require(all(row["most"] == 1 for row in counts), f"rows tie on {order}; the order must be unique")
     start, starts = 0, []
     for row in sorted(counts, key=lambda r: r[FILE]):
         starts.append((row[FILE], start))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checks import require
 from ..plans.prefix import running
+from ..plans.shared import materialise
 
 MAX_AGE_DAYS = 7
 # Least useful first: fewer hits, cheaper to recompute, smaller, shorter plan, fewer scans, name.
@@ -27,13 +28,14 @@ def evict_candidates(
     require(needed_gib <= capacity_gib, "the new entry is larger than the store")
     limit = (now - timedelta(days=MAX_AGE_DAYS)).isoformat(sep=" ")
     limit_column = F.lit(limit).cast(catalog.schema["inserted"].dataType)
-    aged = catalog.withColumn("__old", F.col("inserted") <= limit_column)
+    # written, so that the catalog is worked out once
+    aged = materialise(catalog.withColumn("__old", F.col("inserted") <= limit_column), "catalog")
     used, fresh_used = aged.agg(
         F.coalesce(F.sum("size_gib"), F.lit(0.0)),
         F.coalesce(F.sum(F.when(~F.col("__old"), F.col("size_gib"))), F.lit(0.0)),
     ).first()
     if used + needed_gib <= capacity_gib:
-        return catalog.limit(0).select("id", "path", F.lit("").alias("reason"))
+        return aged.limit(0).select("id", "path", F.lit("").alias("reason"))
     old = aged.filter("__old").select("id", "path", F.lit("age").alias("reason"))
     excess = fresh_used + needed_gib - capacity_gib
     if excess <= 0:

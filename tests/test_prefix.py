@@ -188,3 +188,31 @@ def test_index_in_present_order(spark):
     df = spark.range(0, 50, 1, 4).orderBy(F.col("id").desc())
     got = {r["id"]: r["i"] for r in positions.zip_with_index(df, name="i").collect()}
     assert got == {v: 49 - v for v in range(50)}
+
+
+def test_zip_partitions_checks_its_partitions(spark):
+    import pandas as pd
+
+    from keyloom.operators import positions
+
+    def pair(a, b):
+        yield pd.DataFrame({"a": [len(a)], "b": [len(b)]})
+
+    left, right = spark.range(0, 80, 1, 8), spark.range(0, 16, 1, 8)
+    got = positions.zip_partitions([left, right], pair, "a long, b long", 8).collect()
+    assert [tuple(r) for r in got] == [(10, 2)] * 8
+    for n, other in ((4, right), (8, spark.range(0, 16, 1, 4))):
+        with pytest.raises(ValueError, match="cannot zip"):
+            positions.zip_partitions([left, other], pair, "a long, b long", n)
+    with pytest.raises(Exception, match="outside 0 to 3"):
+        positions.zip_partitions([left, right], pair, "a long, b long", 4, F.col("id") % 5).collect()
+
+
+def test_vector_sums(spark):
+    from keyloom.functions import vectors
+
+    rows = [(1, [1.0, 2.0]), (1, [3.0, None]), (None, [5.0]), (2, None), (1, [1.0, 1.0, 7.0])]
+    df = spark.createDataFrame(rows, "k long, v array<double>").repartition(3)
+    got = {r["k"]: r["v"] for r in vectors.sum_vectors(df, "v", "k").collect()}
+    assert got == {1: [5.0, 3.0, 7.0], None: [5.0]}
+    assert vectors.sum_vectors(df, "v").first()["v"] == [10.0, 3.0, 7.0]
