@@ -10,7 +10,40 @@ from .registry import ORACLES, QUERIES, query
 __all__ = ["ORACLES", "QUERIES"]
 
 
-@query("op4_sharding")
+def _shard_sql(shards: int, seed: int) -> str:
+    """The network as a recursive query: a step per round, until a whole pass ends below n."""
+    keys = [", ".join(str(k[i]) for k in sharding.round_keys(seed)) for i in range(3)]
+    rounds, p = sharding.ROUNDS, sharding.PRIME
+    other = "CASE WHEN step % 2 = 0 THEN rgt ELSE lft END"
+    linear = f"(({other}) % {p} * ([{keys[0]}])[step % {rounds} + 1] + ([{keys[1]}])[step % {rounds} + 1]) % {p}"
+    return f"""
+    WITH RECURSIVE polynomial AS (
+      SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+    bytes AS (
+      SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bs
+      FROM documents),
+    numbered AS (
+      SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bs), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)),
+        4294967295) AS crc, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS num FROM bytes, polynomial),
+    shape AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (
+      SELECT count(*) AS n, CAST(floor(sqrt(greatest(count(*) - 1, 0))) + 1 AS BIGINT) AS a FROM documents)),
+    walk AS (
+      SELECT num, num % a AS lft, num // a AS rgt, 0 AS step, n, a, b FROM numbered, shape
+      UNION ALL
+      SELECT num, CASE WHEN step % 2 = 0 THEN (lft + (t * t + d) % {p}) % a ELSE lft END,
+        CASE WHEN step % 2 = 0 THEN rgt ELSE (rgt + (t * t + d) % {p}) % b END, step + 1, n, a, b
+      FROM (SELECT *, {linear} AS t, ([{keys[2]}])[step % {rounds} + 1] AS d FROM walk
+        WHERE NOT (step > 0 AND step % {rounds} = 0 AND rgt * a + lft < n))),
+    placed AS (SELECT num, rgt * a + lft AS y FROM walk WHERE step > 0 AND step % {rounds} = 0 AND rgt * a + lft < n)
+    SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(y % {shards} AS INTEGER) AS shard, y // {shards} AS slot,
+      CAST(NULL AS INTEGER) AS grown_shard
+    FROM numbered JOIN placed USING (num)
+    """
+
+
+@query("op4_sharding", _shard_sql(40, 42))
 def _(t):
     placed = sharding.assign(t.documents, shards=40, seed=42)
     return placed.select(
@@ -122,6 +155,25 @@ def _(t):
     )
 
 
-@query("op3_suffix_dedup")
+@query(
+    "op3_suffix_dedup",
+    """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT r, s, md5_number(substr(h, 2 * s + 1, 400)) AS k
+      FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS s FROM d WHERE length(h) >= 400)),
+    again AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+    runs AS (SELECT r, min(s) AS a, max(s) + 200 AS b FROM (
+      SELECT r, s, sum(CASE WHEN s > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS run
+      FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM again)) GROUP BY r, run),
+    gone AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+      list(a ORDER BY a) AS froms, list(b ORDER BY a) AS tos FROM runs GROUP BY r),
+    kept AS (SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      CASE WHEN froms IS NULL THEN h ELSE array_to_string(list_transform(range(0, n_spans + 1),
+        lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE tos[i] END) + 1,
+          2 * ((CASE WHEN i = n_spans THEN length(h) // 2 ELSE froms[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE tos[i] END)))), '')
+      END AS rest FROM d LEFT JOIN gone USING (r))
+    SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+    """,
+)
 def _(t):
     return suffixes.remove(t.documents, ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
