@@ -105,30 +105,42 @@ def take_sample(df: DataFrame, n: int, seed: int, with_replacement: bool = False
         attempt += 1
 
 
-def _rate_of(fractions: Mapping[Any, float], key: str) -> Column:
-    """Rate of the row's key; a key without a rate raises when it is met."""
-    table = F.create_map(*[F.lit(x) for pair in fractions.items() for x in pair if pair[0] is not None])
-    value = table[F.col(quoted(key))] if any(k is not None for k in fractions) else F.lit(None)
-    if None in fractions:
-        value = F.when(F.col(quoted(key)).isNull(), F.lit(float(fractions[None]))).otherwise(value)
-    missing = F.raise_error(
-        F.concat(F.lit("no rate for key "), F.coalesce(F.col(quoted(key)).cast("string"), F.lit("null")))
-    ).cast("double")
-    return F.coalesce(value.cast("double"), missing)
+Rates = Mapping[Any, float] | DataFrame
+
+
+def _rated(df: DataFrame, key: str, rates: Rates, with_replacement: bool) -> DataFrame:
+    """Add ``__rate``, the rate of the row's key; a key without a rate raises when it is met."""
+    kind = df.schema[key].dataType
+    if isinstance(rates, DataFrame):
+        of_key, rate = rates.columns
+        table = rates.select(F.col(quoted(of_key)).cast(kind).alias("__rate_key"), F.col(quoted(rate)).cast("double").alias("__given"))
+    else:
+        require(bool(rates), "no rates given")
+        for rate in rates.values():
+            _check_fraction(rate, with_replacement)
+        schema = T.StructType([T.StructField("__rate_key", kind), T.StructField("__given", T.DoubleType())])
+        table = df.sparkSession.createDataFrame([(k, float(v)) for k, v in rates.items()], schema)
+    joined = df.join(broadcast_if_small(table), F.col(quoted(key)).eqNullSafe(F.col("__rate_key")), "left")
+    given = F.col("__given")
+    right = (given >= 0) if with_replacement else given.between(0.0, 1.0)
+    name = F.coalesce(F.col(quoted(key)).cast("string"), F.lit("null"))
+    wrong = F.raise_error(F.concat(F.lit("no rate for key "), name)).cast("double")
+    return joined.withColumn("__rate", F.when(right, given).otherwise(wrong)).drop("__rate_key", "__given")
 
 
 def sample_by_key(
-    df: DataFrame, key: str, fractions: Mapping[Any, float], seed: int, with_replacement: bool = False
+    df: DataFrame, key: str, fractions: Rates, seed: int, with_replacement: bool = False
 ) -> DataFrame:
-    """Sample each key at its own rate in one pass. A key without a rate is an error."""
+    """Sample each key at its own rate in one pass. A key without a rate is an error.
+
+    Rates are a mapping, or a table of keys and rates where there are many.
+    """
     require_columns(df, [key])
-    require(bool(fractions), "no rates given")
-    for rate in fractions.values():
-        _check_fraction(rate, with_replacement)
-    rated = df.withColumn("__rate", _rate_of(fractions, key))
     if not with_replacement:
-        return rated.filter(F.rand(seed) < F.col("__rate")).drop("__rate")
-    return _poisson_copies(rated, seed).drop("__rate")
+        drawn = df.withColumn("__chance", F.rand(seed))  # drawn where the rows lie, before any join
+        kept = _rated(drawn, key, fractions, False).filter(F.col("__chance") < F.col("__rate"))
+        return kept.select(*cols(df.columns))
+    return _poisson_copies(_rated(df, key, fractions, True), seed).drop("__rate")
 
 
 def _poisson_copies(rated: DataFrame, seed: int) -> DataFrame:
@@ -146,7 +158,7 @@ def _poisson_copies(rated: DataFrame, seed: int) -> DataFrame:
 
 
 def sample_by_key_exact(
-    df: DataFrame, key: str, fractions: Mapping[Any, float], seed: int, with_replacement: bool = False
+    df: DataFrame, key: str, fractions: Rates, seed: int, with_replacement: bool = False
 ) -> DataFrame:
     """Exactly ``ceil(count * rate)`` rows of every key.
 
@@ -155,13 +167,10 @@ def sample_by_key_exact(
     through one window.
     """
     require_columns(df, [key])
-    require(bool(fractions), "no rates given")
-    for rate in fractions.values():
-        _check_fraction(rate, with_replacement)
+    counts = df.groupBy(*cols([key])).agg(F.count(F.lit(1)).alias("__n"))
     needed = (
-        df.groupBy(*cols([key]))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__need", F.ceil(F.col("__n") * _rate_of(fractions, key)))
+        _rated(counts, key, fractions, with_replacement)
+        .withColumn("__need", F.ceil(F.col("__n") * F.col("__rate")))
         .withColumn("__cells", F.ceil(F.sqrt("__n")))
         .select(F.col(quoted(key)).alias("__key"), "__need", "__n", "__cells")
     )

@@ -24,9 +24,9 @@ def _(t: Tables):
     return _whole(layout.repartition(t.orders, 6))
 
 
-@query("coalesce_rows", _WHOLE.format(p="CAST(1 AS BIGINT)"))
+@query("coalesce_rows", _WHOLE.format(p="CAST(3 AS BIGINT)"))
 def _(t: Tables):
-    return _whole(layout.coalesce(t.orders, 1))
+    return _whole(layout.coalesce(layout.repartition(t.orders, 8), 3))
 
 
 @query("custom_partition", _WHOLE.format(p="CAST(5 AS BIGINT)"))

@@ -132,3 +132,11 @@ def test_rows_survive_unchanged(spark):
     assert {repr((r["big"], r["xs"], r["s"])) for r in sample.collect()} <= whole
     kept = sampling.reservoir_per_partition(df, 20, 1).collect()
     assert {repr((r["big"], r["xs"], r["s"])) for r in kept} <= whole and len(kept) == 40
+
+
+def test_rates_as_a_table(spark, strata):
+    table = spark.createDataFrame([(k, v) for k, v in RATES.items()], "k string, r double")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(sampling.sample_by_key(strata, "s", table, 2)) == rows(sampling.sample_by_key(strata, "s", RATES, 2))
+    with pytest.raises(Exception, match="no rate for key"):
+        sampling.sample_by_key(strata, "s", table.filter("k = 'a'"), 2).collect()
