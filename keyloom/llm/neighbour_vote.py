@@ -146,6 +146,7 @@ def fit(
     got = picked.mapInArrow(run, f"l_id {id_type}, label int, x binary").toArrow().sort_by("l_id")  # bounded by ``sample``
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, TERMS)
     y = np.array(got.column("label").to_pylist(), np.float64)
+    del got
     if not len(y):
         zero = np.zeros(TERMS, np.float32)
         return Model(zero, zero, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y)
@@ -161,10 +162,10 @@ def fit(
 def leading(z: np.ndarray, dimensions: int) -> np.ndarray:
     """Leading right singular vectors by subspace iteration from a fixed start."""
     width = min(dimensions + 16, *z.shape)
-    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(z.shape[1], width)))[0]
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(z.shape[1], width)))[0].astype(z.dtype)
     for _ in range(8):
-        basis = np.linalg.qr(z.T @ (z @ basis))[0]
-    inner = z @ basis
+        basis = np.linalg.qr((z.T @ (z @ basis)).astype(np.float64))[0].astype(z.dtype)
+    inner = (z @ basis).astype(np.float64)
     _, turn = np.linalg.eigh(inner.T @ inner)
     return (basis @ turn[:, ::-1][:, :dimensions]).astype(np.float32)
 

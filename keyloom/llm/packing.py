@@ -42,9 +42,9 @@ TAIL = b".,!?;:%$*&#|"
 # Words of these letters are one piece to the tokenizer's first split.
 LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 # Texts looked up at once, in characters.
-PIECE = 8 << 20
+PIECE = 2 << 20
 # Words kept by a worker. Beyond it the tables start anew.
-WORDS = 1_000_000
+WORDS = 700_000
 
 
 class Words:
@@ -66,7 +66,6 @@ class Words:
 
     def clear(self) -> None:
         self.code: dict[bytes, int] = {}
-        self.core: dict[bytes, bytes] = {b"": b""}
         self.ids: list[bytes] = []
         self.sizes = array("i")
         self.ends = array("b")
@@ -94,23 +93,27 @@ class Words:
 
     def add(self, words: set[bytes]) -> None:
         """Learn words. A tail of punctuation after an ASCII letter or digit is a token run of its own."""
-        parts, new = [], set()
+        cut, plain = [], []
         for w in words:
             core = w.rstrip(TAIL)
-            tail = w[len(core) :]
-            if tail and not core[-1:].isalnum():  # bytes: ASCII only
-                core, tail = w, b""
-            parts.append((w, core, tail))
-            new.add(core)
-            new.add(tail)
-        order = list(new.difference(self.core))
-        for at in range(0, len(order), 16384):
-            self.core.update(self.encode(order[at : at + 16384]))
-        learned = [self.core[core] + self.core[tail] for _, core, tail in parts]
-        self.code.update(zip([p[0] for p in parts], range(len(self.ids), len(self.ids) + len(parts))))
-        self.ids += learned
-        self.sizes.extend([len(x) // 4 for x in learned])
-        self.ends.extend([p[0][-1] in ENDS for p in parts])
+            if core != w and core[-1:].isalnum():  # bytes: ASCII only
+                cut.append((w, core, w[len(core) :]))
+            else:
+                plain.append(w)
+        parts = {x for _, core, tail in cut for x in (core, tail)}.difference(self.code, plain)
+        plain += parts
+        for at in range(0, len(plain), 16384):
+            for w, ids in self.encode(plain[at : at + 16384]):
+                self.learn(w, ids)
+        for w, core, tail in cut:
+            if w not in self.code:
+                self.learn(w, self.ids[self.code[core]] + self.ids[self.code[tail]])
+
+    def learn(self, word: bytes, ids: bytes) -> None:
+        self.code[word] = len(self.ids)
+        self.ids.append(ids)
+        self.sizes.append(len(ids) // 4)
+        self.ends.append(word[-1] in ENDS)
 
     def tokens(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         """Ids of each text as little-endian unsigned 32-bit numbers, and positions after a sentence."""
