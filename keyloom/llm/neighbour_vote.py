@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workers import kept
+
 SAMPLE = 4096
 DIMENSIONS = 48
 NEIGHBOURS = 15
@@ -182,6 +184,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(None)
         model = Model(*shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):

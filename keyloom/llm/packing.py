@@ -44,7 +44,7 @@ LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 # Texts looked up at once, in characters.
 PIECE = 2 << 20
 # Words kept by a worker. Beyond it the tables start anew.
-WORDS = 700_000
+WORDS = 500_000
 
 
 class Words:

@@ -25,6 +25,7 @@ from keyloom.plans.shared import materialise
 
 from . import groups
 from .components import components
+from .workers import kept
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 MAX_BITS = 4
@@ -68,6 +69,7 @@ def majority(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def fingerprint_batches(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(None)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             prints, digests, sizes, held = [], [], [], 0

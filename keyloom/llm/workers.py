@@ -2,7 +2,8 @@
 
 Functions reach the executors by value, so their module globals are new in every task. Worker
 processes are reused; a table kept here spares the next task in the process the same work. It
-is only a cache: a new worker fills its own.
+is only a cache: a new worker fills its own, and a worker keeps the tables of one operator, the
+last that it has worked for.
 """
 
 from __future__ import annotations
@@ -10,10 +11,17 @@ from __future__ import annotations
 import sys
 import types
 
+import pyarrow as pa
 
-def kept(name: object) -> dict:
-    place = sys.modules.setdefault("_keyloom_kept", types.ModuleType("_keyloom_kept"))
-    return place.__dict__.setdefault("tables", {}).setdefault(name, {})
+
+def kept(name: str | None) -> dict:
+    """The table of that name; all others are dropped. None only drops."""
+    place = sys.modules.setdefault("_keyloom_kept", types.ModuleType("_keyloom_kept")).__dict__
+    tables = place.setdefault("tables", {})
+    if name not in tables:
+        tables.clear()
+        pa.default_memory_pool().release_unused()
+    return tables.setdefault(name, {})
 
 
 def vocabulary_path(path: str | None, default: str) -> str:
