@@ -1,6 +1,7 @@
 """Line rules, license rules, sharding and chat formatting against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -154,6 +155,46 @@ def test_licenses_every_rule_has_a_gate():
         assert any(g in sample for g in licenses.GATES), r
 
 
+def said_by(pattern, chance):
+    """A text that ``pattern`` matches: optional parts, alternatives and characters by chance."""
+
+    def said(tree):
+        out = ""
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                kind, of = chance.choice(arg)
+                out += chr(of if str(kind) == "LITERAL" else chance.randint(*of))
+            elif op == "BRANCH":
+                out += said(chance.choice(arg[1]))
+            elif op == "SUBPATTERN":
+                out += said(arg[3])
+            else:
+                assert op == "MAX_REPEAT", op
+                out += "".join(said(arg[2]) for _ in range(chance.randint(arg[0], min(arg[1], arg[0] + 1))))
+        return out
+
+    return said(re._parser.parse(pattern))
+
+
+def test_licenses_rules_meet_their_own_texts(spark):
+    """Each rule on texts made from its pattern alone, against a brute force without gates."""
+    chance, rules = random.Random(5), licenses.default_rules()
+    texts = [(r, said_by(r.pattern, chance)) for r in rules for _ in range(40)]
+    for r, text in texts:
+        assert re.fullmatch(r.pattern, text), (r, text)
+        assert f" {r.keyword}" in f" {text} " and any(g in text for g in licenses.GATES), (r, text)
+    rows = [(i, text) for i, (_, text) in enumerate(texts[::20])]
+    rows += [(-1, "SPDX-License-Identifier: EPL-2.0"), (-2, "X11 License"), (-3, "// SPDX-License-Identifier: 0BSD")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(tuple(r) for r in found)
+    free = [r._replace(keyword="") for r in rules]
+    assert got == sorted((i, *brute_licenses(text, free)) for i, text in rows)
+    assert all(r.n_found for r in found) and {r.doc_id: r.labels for r in found if r.doc_id < 0} == {-1: "epl", -2: "mit", -3: "bsd"}
+
+
 def test_licenses_many_and_empty(spark, documents):
     many = spark.createDataFrame([(1, "mit license gnu general public license v2 " * 500)], "doc_id long, text string")
     row = licenses.scan(many).first()
