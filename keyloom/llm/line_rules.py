@@ -4,9 +4,9 @@ A line is boilerplate when more than a limit of distinct documents of its host h
 lines are removed, and a document that keeps too little is depleted and rejected. Lines are
 compared by the 64-bit hash of their normal form (lower case, runs of white space as one space).
 
-Copies must not turn a document's own lines into boilerplate, so near copies count once: the
-documents of a host are told apart by the smallest and the largest line hash they have, which
-copies with a few edits share, while documents that share only boilerplate do not.
+Exact copies must not turn a document's own lines into boilerplate, so documents of a host are
+told apart by the hash of their text. Near copies are different documents: their common lines
+cannot be told from those of pages that consist mostly of boilerplate.
 
 Only built-in expressions are used. The base rules need no shuffle. Line counts are combined
 before each shuffle, so a line that a third of all documents share is no hot key; lines above
@@ -25,9 +25,11 @@ WHITES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
-# A line is boilerplate above both limits: documents of the host, and share of them.
+# A line is boilerplate above both limits: documents of the host, and share of them. Above
+# ENOUGH_DOCS documents the share does not matter, so a limit does not grow with its host.
 MIN_DOCS = 10
 MIN_SHARE = 0.005
+ENOUGH_DOCS = 100
 # A document is depleted if fewer words than MIN_WORDS or less than this share of them stay.
 MIN_KEPT = 0.4
 
@@ -117,21 +119,19 @@ def keyed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, h, n_docs): lines above both limits, written once, from ``keyed_lines``.
+    """(host, h, n_docs): lines above the limits, written once, from ``keyed_lines``.
 
-    Counts cover all documents. A null host is a host of its own.
+    Counts cover all distinct texts. A null host is a host of its own.
     """
     hashes = F.transform("lines", lambda x: x["h"])
-    per_doc = lines.select("host", F.array_distinct(hashes).alias("hs")).select(
-        "host", F.xxhash64(F.array_min("hs"), F.array_max("hs")).alias("kind"), "hs"
-    )
-    # kinds per line, each kind once: both steps combine before they shuffle
-    kinds = per_doc.select("host", "kind", F.explode("hs").alias("h")).distinct()
-    counts = kinds.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    hosts = per_doc.filter(F.size("hs") > 0).select("host", "kind").distinct().groupBy("host")
+    per_doc = lines.select("host", "text_hash", F.array_distinct(hashes).alias("hs"))
+    # texts per line, each text once: both steps combine before they shuffle
+    texts = per_doc.select("host", "text_hash", F.explode("hs").alias("h")).distinct()
+    counts = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    hosts = per_doc.filter(F.size("hs") > 0).select("host", "text_hash").distinct().groupBy("host")
     sizes = hosts.agg(F.count(F.lit(1)).alias("n")).select(F.col("host").alias("of_host"), "n")
     above = counts.join(sizes, F.col("host").eqNullSafe(F.col("of_host"))).filter(
-        F.col("n_docs") > F.col("n") * min_share
+        (F.col("n_docs") > F.col("n") * min_share) | (F.col("n_docs") > ENOUGH_DOCS)
     )
     return materialise(above.select("host", "h", "n_docs"), "frequent")
 

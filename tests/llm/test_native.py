@@ -106,6 +106,21 @@ def test_line_rules(documents, raw, hashes, min_docs, share):
     assert min_docs > 1 or lines
 
 
+def test_line_rules_count_documents(spark):
+    """Pages that are mostly boilerplate, copies of one page, and a host too large for the share."""
+    schema, own = "doc_id long, text string, source string", "own line %d of page %d"
+    many = " ".join(f"w{k}" for k in range(30))
+    menu = [f"menu {k} of the site" for k in range(100)]
+    pages = [(i, "\n".join(menu + [own % (k, i) for k in range(3)]), "menus") for i in range(60)]
+    copies = [(100 + i, "\n".join(f"line {k} with own words" for k in range(20)), "copies") for i in range(60)]
+    large = [(1000 + i, f"text {i} {many}" + ("\nsee also" if i < 110 else ""), "large") for i in range(23000)]
+    rows = line_rules.judge(spark.createDataFrame(pages + copies + large, schema)).collect()
+    got = {r.doc_id: (r.removed_lines, r.depleted) for r in rows}
+    assert all(got[i] == (100, True) for i in range(60))
+    assert all(got[100 + i] == (0, False) for i in range(60))
+    assert all(got[1000 + i] == (int(i < 110), False) for i in range(23000))
+
+
 def test_line_rules_empty(spark, documents):
     none = documents.limit(0).withColumn("n_words", F.lit("clash"))
     assert line_rules.judge(none).count() == 0 and line_rules.clean(none).count() == 0
