@@ -1,22 +1,26 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Byte-pair merging by an agenda: the best pair of neighbours is taken first, of equal ones the
-leftmost. A candidate taken from the agenda is skipped if a keyed hash of (seed, variant, unit,
-place, piece) falls below the dropout rate, so segmentations differ by seed and by variant and
-are the same on every run. Whatever was skipped, the pieces spell the text: symbols outside the
+leftmost. Each candidate taken from the agenda is skipped with the dropout rate, by draws keyed
+by (seed, document, place of the unit in the text), so every occurrence of a word is segmented
+anew, and alike on every run. Whatever was skipped, the pieces spell the text: symbols outside the
 vocabulary are written as bytes, as is a literal U+2581, which stands for a space inside pieces.
 
 Texts are cut into units where no piece of the vocabulary has both neighbours side by side, so
-no merge can cross; a worker segments each unit once per variant.
+no merge can cross. A draw says how many candidates are taken until the next one is skipped. What
+a unit becomes when the candidates of given numbers are skipped depends on nothing else, and that
+alone is kept by a worker.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,9 +36,8 @@ MASK = 2**64 - 1
 # Units of up to so many symbols are merged in a list.
 SHORT = 64
 DROPOUT = 0.1
-VARIANTS = 4
-# Units kept by a worker. Beyond it the table starts anew.
-UNITS = 500_000
+# Segmentations kept by a worker. Beyond it the table starts anew.
+UNITS = 400_000
 TAIL = ".,!?;:%$*&#|"
 
 
@@ -66,38 +69,41 @@ class Pieces:
         alone = "\n" if not any("\n" in p for pair in pairs for p in pair) else ""
         self.cut = re.compile(rf" *[^ {alone}]+| +|[{alone}]" if alone else r" *[^ ]+| +")
         self.spaces_join = all(a == SPACE for a, b in pairs if b == SPACE)
-        self.units: dict[tuple, bytes] = {}
+        # (candidates, ids) by unit, and by (unit, numbers of the skipped candidates)
+        self.units: dict[str | tuple, tuple[int, bytes]] = {}
 
-    def segment(self, unit: str, dropout: float, key: int) -> list[int]:
-        """Ids of one unit, in which a space is a space."""
+    def segment(self, unit: str, dropout: float, keyed: int, skips: Collection[int] = ()) -> tuple[int, bytes]:
+        """Candidates taken and ids of one unit, in which a space is a space.
+
+        With ``skips`` the candidates of these numbers are skipped, else those that ``keyed`` and ``dropout`` say.
+        """
         symbols = [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
-        limit = int(dropout * 2**64)
-        # one hash of the unit; then one per candidate, of its piece and place
-        keyed = xxhash.xxh64_intdigest(unit.encode(), key)
-        merge = self.merge_short if len(symbols) <= SHORT else self.merge_long
+        limit, n = int(dropout * 2**64), len(symbols)
+        merged = self.merge_short(symbols, limit, keyed, skips) if n <= SHORT else self.merge_long(symbols, limit, keyed)
         ids = []
-        for s in merge(symbols, limit, keyed):
+        for s in merged:
             found = self.rank.get(s)
             if found:
                 ids.append(found[1])
             else:
                 ids += [self.bytes[b] for b in (SPACE if s == LITERAL else s).encode()]
-        return ids
+        return n - len(merged) + len(skips), array("I", ids).tobytes()
 
     def skipped(self, piece: int, left: int, limit: int, keyed: int) -> bool:
         return xxhash.xxh64_intdigest(self.names[piece], (keyed + left) & MASK) < limit
 
-    def merge_short(self, symbols: list[str], limit: int, keyed: int) -> list[str]:
+    def merge_short(self, symbols: list[str], limit: int, keyed: int, skips: Collection[int] = ()) -> list[str]:
         """The agenda as a list of one candidate per neighbour; for units of a few symbols."""
         rank, none, names, digest = self.rank.get, NONE, self.names, xxhash.xxh64_intdigest
         agenda = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]
-        place = list(range(len(symbols)))
+        place, taken = list(range(len(symbols))), -1
         while agenda:
             best = min(agenda)  # equal candidates are the same piece: index() gives the leftmost
             if best is none:
                 break
             i = agenda.index(best)
-            if limit and digest(names[best[1]], (keyed + place[i]) & MASK) < limit:
+            taken += 1
+            if taken in skips or limit and digest(names[best[1]], (keyed + place[i]) & MASK) < limit:
                 agenda[i] = none
                 continue
             symbols[i] += symbols.pop(i + 1)
@@ -144,26 +150,67 @@ class Pieces:
             return [core, unit[len(core) :]]
         return [unit]
 
-    def encode(self, text: str, dropout: float, seed: int, variant: int) -> bytes:
+    def varied(self, unit: str, dropout: float, draw: float, key: int, place: int) -> bytes:
+        """Ids of a unit of which ``draw`` skips a candidate, or that is too long to be kept."""
+        known, ids, drawn = self.units, [], 0
+
+        def gap(x: float) -> float:
+            if dropout >= 1:
+                return 0
+            return int(math.log(max(x, 1e-300)) / math.log1p(-dropout)) if dropout > 0 else math.inf
+
+        ahead = gap(draw)  # candidates until the next one that is skipped
+        for part in self.parts(unit):
+            if len(part) > SHORT:
+                ids.append(self.segment(part, dropout, xxhash.xxh64_intdigest(b"%d" % place, key))[1])
+                continue
+            skips, at = (), 0  # at: candidates up to the last skip
+            n, found = known.get(part) or self.segment(part, 0, 0)
+            while at + ahead < n:
+                at += ahead + 1
+                skips += (at - 1,)
+                node = known.get((part, *skips))
+                if node is None:
+                    node = self.segment(part, 0, 0, skips)
+                    if len(known) < UNITS:
+                        known[part, *skips] = node
+                n, found = node
+                drawn += 1
+                ahead = gap(xxhash.xxh64_intdigest(b"%d,%d" % (place, drawn), key) / 2**64)
+            ahead -= n - at
+            ids.append(found)
+        return b"".join(ids)
+
+    def encode(self, text: str, dropout: float, seed: int, document: int) -> bytes:
         if not text:
             return b""
         units = self.cut.findall(" " + text) if self.spaces_join else [" " + text]
-        known = self.units.setdefault((dropout, seed, variant), {})
+        known = self.units
         missing = set(units).difference(known)
         if missing:
-            if sum(map(len, self.units.values())) + len(missing) > UNITS:
-                self.units.clear()
-                known = self.units.setdefault((dropout, seed, variant), {})
+            if len(known) + len(missing) > UNITS:
+                known.clear()
                 missing = set(units)
-            key = xxhash.xxh64_intdigest(b"%d,%d" % (seed, variant))
             for u in missing:
-                ids = []
+                n, ids = 0, []
                 for part in self.parts(u):
+                    if len(part) > SHORT:
+                        n = 2 * SHORT  # stands for units that are not kept
+                        break
                     if part not in known:
-                        known[part] = array("I", self.segment(part, dropout, key)).tobytes()
-                    ids.append(known[part])
-                known[u] = b"".join(ids)
-        return b"".join(map(known.__getitem__, units))
+                        known[part] = self.segment(part, 0, 0)
+                    n += known[part][0]
+                    ids.append(known[part][1])
+                known[u] = (n, b"".join(ids))
+        key = xxhash.xxh64_intdigest(b"%d,%d" % (seed, document))
+        # the chance that none of so many candidates is skipped
+        stay = [(1 - dropout) ** n for n in range(2 * SHORT)] + [-1.0]
+        draws = np.random.Generator(np.random.Philox(key=key)).random(len(units)).tolist()
+        out = []
+        for place, (u, draw) in enumerate(zip(units, draws)):
+            n, ids = known[u]
+            out.append(ids if draw < stay[n] else self.varied(u, dropout, draw, key, place))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         spelled = b"".join(map(self.spelled.__getitem__, array("I", ids)))
@@ -189,28 +236,26 @@ def encode(
     model: str | None = None,
     dropout: float = DROPOUT,
     seed: int = 42,
-    variants: int = VARIANTS,
+    id_col: str | None = None,
 ) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``ids``: little-endian unsigned 32-bit piece ids.
 
-    A document's variant is the CRC of its text modulo ``variants``. ``model`` is a file that
+    A document is told by its text and, where ``id_col`` is given, its id. ``model`` is a file that
     every executor can read; by default ``piece_bpe_32k.model`` of the installed public
     tokenizers. A null or empty text has no ids. Repeated rows are encoded alike. An input
     column named ``ids`` must not be among ``keep``.
     """
-    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    name = F.xxhash64(text, *([F.col(id_col)] if id_col else []))
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], name.alias("__document"), text.alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         pieces = loaded(model)
         for batch in batches:
-            ids = []
-            for value in batch.column(batch.num_columns - 1):
-                text = value.as_py()
-                ids.append(pieces.encode(text, dropout, seed, zlib.crc32(text.encode()) % variants))
+            names, texts = batch.columns[-2:]
+            ids = [pieces.encode(x.as_py(), dropout, seed, n) for n, x in zip(names.to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(ids, pa.binary())], names=[*batch.schema.names[:-1], "ids"]
+                [*batch.columns[:-2], pa.array(ids, pa.binary())], names=[*batch.schema.names[:-2], "ids"]
             )
 
     return chosen.mapInArrow(run, _types(chosen, keep) + "ids binary")

@@ -105,7 +105,7 @@ def _(t):
 @query("op8_merge_dropout")
 def _(t):
     hashed = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    encoded = merge_dropout.encode(t.documents.withColumn("text_sha256", hashed), ["doc_id", "text_sha256"])
+    encoded = merge_dropout.encode(t.documents.withColumn("text_sha256", hashed), ["doc_id", "text_sha256"], id_col="doc_id")
     decoded = merge_dropout.decode(encoded, ["doc_id", "text_sha256", "ids"])
     back = F.sha2(F.col("text").cast("binary"), 256)
     return decoded.select(

@@ -135,5 +135,25 @@ def test_units_are_varied():
     assert len(seen) > 8
 
 
+def test_occurrences_are_varied(spark):
+    """Each occurrence is segmented anew, at the rates of a brute-force version that draws every skip."""
+    import random
+    from collections import Counter
+
+    pieces, word = merge_dropout.loaded(None), " understanding"
+    size = lambda text, d: len(pieces.encode(text, 0.1, 42, d)) // 4
+    assert len({pieces.encode(word[1:], 0.3, 42, d) for d in range(1000)}) > 30
+    # what a longer text has more than a shorter one is its last word
+    sizes = Counter(size((word * n)[1:], 1) - size((word * (n - 1))[1:], 1) for n in range(2, 400))
+    assert len(sizes) > 2
+    r, brute, n = random.Random(1), Counter(), 4000
+    for _ in range(n):
+        brute[len(pieces.merge_short(list(word.replace(" ", "▁")), 2**64 // 10, r.getrandbits(64)))] += 1
+    got = Counter(size(word[1:], d) for d in range(n))
+    assert all(abs(got[k] - brute[k]) < 5 * (brute[k] + 9) ** 0.5 for k in brute | got)
+    docs = spark.createDataFrame([(i, "understanding") for i in range(200)], "doc_id long, text string")
+    assert len({bytes(x.ids) for x in merge_dropout.encode(docs, ["doc_id"], id_col="doc_id").collect()}) > 4
+
+
 def test_dropout_empty(documents):
     assert merge_dropout.encode(documents.limit(0), ["doc_id"]).count() == 0
