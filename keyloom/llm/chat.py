@@ -5,7 +5,7 @@ is trainable. The examples of a conversation are a chain of prefixes, so a conve
 replies would repeat its text k times. ``expand`` stores each turn once instead: an example
 carries the turns since the previous reply (``delta``), its ``target``, and ``context_chars``,
 the length of all that stands before the target. ``whole_examples`` writes out the full
-contexts for those who need them.
+contexts, and ``digests`` reads them back: every example with all of its context.
 
 Template: ``<s>`` role ``\\n`` text ``</s>``. Inside roles and texts, a control string gets a
 backslash after its first character; one that already has backslashes there gets one more.
@@ -89,19 +89,24 @@ def expand(
     )
 
 
-def whole_examples(examples: DataFrame) -> DataFrame:
-    """(conv_id, example, context, target) with all preceding turns written out.
-
-    The output of a conversation grows with the square of its replies; ``expand`` does not.
-    """
+def contexts(examples: DataFrame) -> DataFrame:
+    """(conv_id, example, context, target) of every row, with all preceding turns written out."""
     before = Window.partitionBy("conv_id").orderBy("example")
     segment = F.concat("delta", F.coalesce("target", F.lit("")))
     earlier = F.collect_list(segment).over(before.rowsBetween(Window.unboundedPreceding, -1))
-    return examples.filter("target is not null").select(
+    return examples.select(
         "conv_id", "example", F.concat(F.array_join(earlier, ""), F.col("delta")).alias("context"), "target"
     )
 
 
+def whole_examples(examples: DataFrame) -> DataFrame:
+    """(conv_id, example, context, target) with all preceding turns written out.
+
+    The output of a conversation grows with the square of its replies; ``expand`` does not.
+    """
+    return contexts(examples).filter("target is not null")
+
+
 def read_turns(formatted: Column) -> Column:
     """Roles and texts of formatted turns, unescaped: array<struct<role, text>>."""
     found = F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0))
@@ -114,15 +119,38 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
+def read_examples(examples: DataFrame) -> DataFrame:
+    """(conv_id, example, turns, loss, chars): whole examples, read back.
+
+    ``turns`` are those of the context and the target, ``loss`` is the text under the loss mask (that of the target),
+    ``chars`` the formatted length. Turns after the last reply have no target and no loss.
+    """
+    whole = F.concat("context", F.coalesce("target", F.lit("")))
+    return contexts(examples).select(
+        "conv_id",
+        "example",
+        read_turns(whole).alias("turns"),
+        F.coalesce(read_turns(F.substring(whole, F.length("context") + 1, F.length("target")))[0]["text"], F.lit("")).alias("loss"),
+        F.length(whole).alias("chars"),
+    )
+
+
 def digests(examples: DataFrame) -> DataFrame:
-    """Per conversation, read back from ``expand``'s output: turns, loss text and sizes."""
-    segment = F.concat("delta", F.coalesce("target", F.lit("")))
-    each = examples.select(
+    """Per conversation, read back from whole examples: turns, loss text and sizes, each turn once."""
+    before = Window.partitionBy("conv_id").orderBy("example")
+
+    def earlier(size: Column) -> Column:
+        return F.coalesce(F.lag(size).over(before), F.lit(0))
+
+    each = read_examples(examples).select(
+        "conv_id", "example", "turns", "loss", "chars",
+        earlier(F.size("turns")).alias("n_before"), earlier(F.col("chars")).alias("chars_before"),
+    ).select(
         "conv_id",
         "example",
-        read_turns(segment).alias("turns"),
-        F.coalesce(read_turns(F.col("target"))[0]["text"], F.lit("")).alias("loss"),
-        F.length(segment).alias("chars"),
+        F.slice("turns", F.col("n_before") + 1, F.size("turns") - F.col("n_before")).alias("turns"),
+        "loss",
+        (F.col("chars") - F.col("chars_before")).alias("chars"),
     ).select(
         "conv_id",
         F.floor(F.col("example") / RUN).alias("run"),

@@ -277,6 +277,17 @@ def test_chat(spark):
     assert chat.digests(chat.expand(turns.limit(0))).count() == 0
 
 
+def test_chat_examples_hold_their_context(spark):
+    """Every example has all turns before its reply, and the digests are made from those examples."""
+    said = [("assistant" if k % 3 == 2 else "user", f"text {k} </s>") for k in range(11)]
+    turns = spark.createDataFrame([(1, k, *t) for k, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    rows = {r.example: r for r in chat.read_examples(chat.expand(turns)).collect()}
+    ends = [3, 6, 9, 11]
+    assert [[tuple(t) for t in rows[i].turns] for i in range(4)] == [said[:n] for n in ends]
+    assert [rows[i].loss for i in range(4)] == [said[n - 1][1] if n < 11 else "" for n in ends]
+    assert chat.digests(chat.expand(turns)).first().n_turns == 11
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
