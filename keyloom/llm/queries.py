@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, licenses, line_rules, merge_dropout, neighbour_vote, packing, pivots, sharding, simhash, suffixes
+from . import chat, licenses, line_rules, merge_dropout, merkle, neighbour_vote, packing, pivots, sharding, simhash, suffixes
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -177,3 +177,91 @@ def _(t):
 )
 def _(t):
     return suffixes.remove(t.documents, ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII text in SQL, with the table ``polynomial(tab)`` in scope."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+    )
+
+
+_POLYNOMIAL = """polynomial AS (
+      SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH RECURSIVE {_POLYNOMIAL},
+    leaves AS (
+      SELECT row_number() OVER () AS r, doc_id, lang, {_leaf_sql("text")} AS leaf,
+        CASE WHEN doc_id IS NOT NULL AND {_crc_sql("coalesce(doc_id, 0)::VARCHAR")} % 3 = 0
+          THEN {_leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} ELSE {_leaf_sql("text")} END AS claimed
+      FROM documents, polynomial),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+    up AS (
+      SELECT lang AS tree, 0 AS level, pos AS idx, leaf AS h, n FROM placed
+      UNION ALL
+      SELECT tree, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8)
+      FROM up WHERE n > 1 GROUP BY tree, level, idx // 8),
+    subroots AS (
+      SELECT tree, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+    top AS (
+      SELECT 0 AS level, pos AS idx, h, n FROM subroots
+      UNION ALL
+      SELECT level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8)
+      FROM top WHERE n > 1 GROUP BY level, idx // 8),
+    low_runs AS (SELECT tree, level, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM up WHERE n > 1 GROUP BY ALL),
+    top_runs AS (SELECT level, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM top WHERE n > 1 GROUP BY ALL),
+    found AS (
+      SELECT r, level, hs, (pos // (8 ** level)::BIGINT) % 8 AS k FROM placed JOIN low_runs
+        ON tree IS NOT DISTINCT FROM lang AND run = pos // (8 ** (level + 1))::BIGINT
+      UNION ALL
+      SELECT r, 100 + level, hs, (s.pos // (8 ** level)::BIGINT) % 8 FROM placed p
+        JOIN subroots s ON s.tree IS NOT DISTINCT FROM p.lang JOIN top_runs ON run = s.pos // (8 ** (level + 1))::BIGINT),
+    steps AS (
+      SELECT r, row_number() OVER (PARTITION BY r ORDER BY level) AS i, array_to_string(hs[1:k], '') AS before,
+        array_to_string(hs[k + 2:], '') AS after FROM found),
+    climb AS (
+      SELECT r, 0 AS i, claimed AS h FROM placed
+      UNION ALL
+      SELECT c.r, s.i, sha256(before || h || after) FROM climb c JOIN steps s ON s.r = c.r AND s.i = c.i + 1),
+    folded AS (SELECT r, arg_max(h, i) AS h FROM climb GROUP BY r),
+    proofs AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY i)) AS digest FROM steps GROUP BY r)
+    SELECT doc_id, leaf, s.h AS subroot, t.h AS root, coalesce(digest, sha256('')) AS proof_sha256,
+      f.h AS folded_root, f.h = t.h AS verified
+    FROM placed p JOIN subroots s ON s.tree IS NOT DISTINCT FROM p.lang JOIN top t ON t.n = 1
+      JOIN folded f USING (r) LEFT JOIN proofs USING (r)
+    """,
+)
+def _(t):
+    docs = t.documents
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", _UPPER, _LOWER)
+
+    def leaf(text):
+        return merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+
+    leaves = docs.select(
+        "doc_id", "lang", leaf(F.col("text")).alias("digest"),
+        F.when(altered, leaf(lowered)).otherwise(leaf(F.col("text"))).alias("claimed"),
+    )
+    proofs = merkle.manifest(leaves, "lang", "doc_id", "digest").proofs()
+    folded = merkle.fold(F.col("claimed"), F.col("steps"))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
