@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, licenses, line_rules, merge_dropout, merkle, neighbour_vote, packing, pivots, sharding, simhash, suffixes
+from . import chat, grammar, licenses, line_rules, merge_dropout, merkle, neighbour_vote, packing, pivots, sharding, simhash, suffixes
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -265,3 +265,9 @@ def _(t):
         "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"),
         folded.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_pair_grammar")
+def _(t):
+    path = grammar.write(t.documents)
+    return grammar.read(t.spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
