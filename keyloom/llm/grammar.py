@@ -27,15 +27,16 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import compress as chosen_of
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import discard_on_exit, scratch_path
 from .groups import schema_of
-from .packing import pieces_of
 from .workers import kept, vocabulary_path
 
 SEGMENT = 1 << 20
@@ -43,10 +44,14 @@ END_ID = 0
 # A rule is kept when it replaces at least this many pairs; below it saves no space.
 USES = 8
 FALL = 4
-BUCKETS = 1 << 20
+# Rounds end when one shortens the shard by less than the 2**GAIN-th part.
+GAIN = 6
+BUCKET_BITS = 20
 # Pieces of text kept by a worker in each of two generations, and the longest kept.
-KNOWN, LONGEST = 300_000, 40
-# Characters that are a token run of their own behind an ASCII letter or digit.
+KNOWN, LONGEST = 400_000, 40
+# Bytes of text looked up at once.
+RUN = 4 << 20
+# Characters that are a token run of their own behind a Latin letter or digit.
 TAIL = ".,!?;:%$*&#|"
 _ALONE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -74,9 +79,9 @@ class Encoder:
             and not split["add_prefix_space"]
         )
         self.added = [t["content"] for t in shape["added_tokens"]]
-        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin with a space
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin a piece
         for token, number in self.tokenizer.get_vocab().items():
-            self.begins[number] = token.startswith("Ġ")
+            self.begins[number] = token.startswith(("Ġ", "Ċ"))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -84,160 +89,229 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def pieces(self, text: str) -> list[str] | None:
-        if not self.by_piece or any(a in text for a in self.added):
-            return None
-        if "  " in text or "\n\n" in text or " \n" in text or text[-1:] == " ":
-            return _ALONE.split(text)
-        return text.replace("\n", " \n").split(" ")
-
-    def learn(self, pieces: set[str]) -> None:
+    def pieces(self, texts: pa.Array) -> pa.ListArray:
+        """The pieces of each text, the first one with all that stands before it."""
+        if not self.by_piece:
+            return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32), texts)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        odd = pc.match_substring_regex(texts, "  |\n\n| \n| $")
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return split
+        whole = texts.take(pa.array(at)).to_pylist()
+        own = [[t] if any(a in t for a in self.added) else _ALONE.split(t) for t in whole]
+        place = np.arange(len(texts))
+        place[at] = len(texts) + np.arange(len(at))
+        return pa.concat_arrays([split, pa.array(own, split.type)]).take(pa.array(place))
+
+    def learn(self, pieces: list[str]) -> None:
         """Ids of new pieces. A tail of punctuation has the ids that it has elsewhere."""
         whole, cut = [], []
         for p in pieces:
-            core = p.rstrip(TAIL)
-            if core != p and core[-1:].isascii() and core[-1:].isalnum():
-                cut.append((p, core, p[len(core) :]))
-            else:
-                whole.append(p)
-        cores = {c for _, c, _ in cut}.difference(self.known, whole)
+            if p[-1:] in TAIL:
+                core = p.rstrip(TAIL)
+                last = core[-1:]
+                if last < "\u0250" and last.isalnum():
+                    cut.append((p, core, p[len(core) :]))
+                    continue
+            whole.append(p)
+        known = self.known
+        whole += {c for _, c, _ in cut if c not in known}.difference(whole)
+        for at in range(0, len(whole), 4096):
+            self.encode(whole[at : at + 4096])
         tails = sorted({t for *_, t in cut})
         tail_ids = dict(zip(tails, self.many(tails), strict=True))
-        whole += cores
-        for at in range(0, len(whole), 4096):
-            run = whole[at : at + 4096]
-            self.known.update(zip(run, self.encode(run), strict=True))
         for p, core, tail in cut:
-            self.known[p] = self.known[core] + tail_ids[tail]
-
-    def encode(self, run: list[str]) -> list[bytes]:
-        """Many pieces in one text, cut where a token begins with a space; else one by one."""
-        found: dict[int, bytes] = {}
-        simple = [i for i, p in enumerate(run) if p.isalpha()]
-        text = "".join([" " + run[i] for i in simple])
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            known[p] = known[core] + tail_ids[tail]
+
+    def encode(self, run: list[str]) -> None:
+        """Many pieces in one text, cut where a token begins with a space or line break; else one by one."""
+        spaced = [p if p[:1] == "\n" else " " + p for p in run]
+        simple = [p[1:].isalpha() for p in spaced]
+        names, texts = list(chosen_of(run, simple)), list(chosen_of(spaced, simple))
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
         starts = np.flatnonzero(self.begins[ids])
-        if len(starts) == len(simple):
-            raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
-            found = dict(zip(simple, map(raw.__getitem__, map(slice, (4 * starts).tolist(), ends)), strict=True))
-        rest = [i for i in range(len(run)) if i not in found]
-        spaced = [run[i] if run[i][:1] == "\n" else " " + run[i] for i in rest]
-        found.update(zip(rest, self.many(spaced), strict=True))
-        return [found[i] for i in range(len(run))]
-
-    def tokens(self, texts: list[str]) -> list[bytes]:
+        if len(starts) == len(names):
+            raw, starts = ids.tobytes(), (4 * starts).tolist()
+            self.known.update(zip(names, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
+            simple = [not x for x in simple]
+            names, texts = list(chosen_of(run, simple)), list(chosen_of(spaced, simple))
+        else:
+            names, texts = run, spaced
+        self.known.update(zip(names, self.many(texts), strict=True))
+
+    def tokens(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [self.pieces(t) for t in texts]
-        said = set().union(*[s[1:] for s in split if s])
-        if len(self.known) + len(said) > KNOWN:
+        if len(self.known) > KNOWN:
             self.known, self.older = {}, self.known
-        new = said.difference(self.known)
-        for p in new.intersection(self.older):
-            self.known[p] = self.older[p]
-        self.learn(new.difference(self.known))
-        first = self.many([t if s is None else s[0] for t, s in zip(texts, split, strict=True)])
-        get = self.known.__getitem__
-        out = [f + b"".join(map(get, s[1:])) if s else f for f, s in zip(first, split, strict=True)]
+        split = self.pieces(texts)
+        offsets = split.offsets.to_numpy()
+        offsets, pieces = offsets - offsets[0], split.flatten()
+        later = np.ones(len(pieces), bool)
+        later[offsets[:-1]] = False
+        rest = pieces.filter(pa.array(later)).dictionary_encode()
+        said = rest.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, said))
+        holes = [i for i, x in enumerate(ids) if x is None]
+        new = [said[i] for i in holes]
+        old = [(p, self.older[p]) for p in new if p in self.older]
+        self.known.update(old)
+        self.learn([p for p in new if p not in self.known] if old else new)
+        for i in holes:
+            ids[i] = self.known[said[i]]
         for p in [p for p in new if len(p) > LONGEST]:
             del self.known[p]
-        return out
+        # the first pieces have no space before them
+        ids += self.many(pieces.take(pa.array(offsets[:-1])).to_pylist())
+        code = np.empty(len(pieces), np.int64)
+        code[later] = rest.indices.to_numpy()
+        code[offsets[:-1]] = len(said) + np.arange(len(texts))
+        flat = _numbers(b"".join(ids))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ends = np.cumsum(size[code])
+        out = gather(flat, (np.cumsum(size) - size)[code], size[code]).tobytes()
+        stops = (4 * np.concatenate([[0], ends])[offsets]).tolist()
+        return [out[a:b] for a, b in zip(stops, stops[1:])]
+
+
+def gather(flat: np.ndarray, begins: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat``, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(begins - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _keys(seq: np.ndarray) -> np.ndarray:
-    return seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+def runs_of(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Texts of a column in runs of about ``RUN`` bytes, each with its first row."""
+    before = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(before // RUN)) + 1
+    bounds = [0, *cuts.tolist(), len(column)]
+    for a, b in zip(bounds, bounds[1:]):
+        if a < b:
+            yield a, column.slice(a, b - a)
 
 
-def frequent(keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of the pair at each position, the most frequent pair first, and the ranked pairs.
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4")
 
-    Pairs below the threshold have the rank that follows the last. Only pairs in buckets that
-    are reached often enough are sorted; of two frequent pairs in a bucket the more frequent
-    one is taken, and the other waits for a later round.
+
+def frequent(seq: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, rank there, pairs): where pairs of symbols begin that occur at least so often.
+
+    Pairs are ranked, the most frequent one first. Only pairs in buckets that are reached often
+    enough are sorted; of two frequent pairs in a bucket the more frequent one is taken, and the
+    other waits for a later round.
     """
-    bucket = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    heavy = np.bincount(bucket, minlength=BUCKETS) >= threshold
+    bucket = seq[:-1] * np.uint32(0x9E3779B1)
+    bucket ^= seq[1:] * np.uint32(0x85EBCA77)
+    bucket >>= np.uint32(32 - BUCKET_BITS)
+    heavy = np.bincount(bucket, minlength=1 << BUCKET_BITS) >= threshold
     at = np.flatnonzero(heavy[bucket])
-    pairs, counts = np.unique(keys[at], return_counts=True)
-    pairs, counts = pairs[counts >= threshold], counts[counts >= threshold]
-    pairs = pairs[np.lexsort((pairs, -counts))]
-    place = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    _, one = np.unique(place, return_index=True)
-    one.sort()
-    pairs, place = pairs[one], place[one]
-    of_bucket = np.zeros(BUCKETS, np.int64)
-    of_bucket[place] = np.arange(len(pairs))
-    rank = np.full(len(keys), len(pairs))
-    if len(pairs):
-        guess = of_bucket[bucket[at]]
-        rank[at] = np.where(pairs[guess] == keys[at], guess, len(pairs))
-    return rank, pairs
-
-
-def apart(rank: np.ndarray, none: int) -> np.ndarray:
-    """Positions to replace: better ranked than both neighbours, every other one of equal ones."""
-    wide = np.concatenate([[none], rank, [none]])
-    best = (rank < none) & (rank <= wide[:-2]) & (rank <= wide[2:])
-    begins = np.where(rank != wide[:-2], np.arange(len(rank)), 0)
-    odd = (np.arange(len(rank)) - np.maximum.accumulate(begins)) % 2
-    return np.flatnonzero(best & (odd == 0))
+    keys, bucket = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], bucket[at]
+    ordered = np.sort(keys)
+    ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], [True] * (len(ordered) > 0)))
+    counts = np.diff(ends, prepend=-1)
+    often = counts >= threshold
+    pairs = ordered[ends[often]]
+    pairs = pairs[np.lexsort((pairs, -counts[often]))]
+    place = (pairs >> np.uint64(32)).astype(np.uint32) * np.uint32(0x9E3779B1)
+    place ^= pairs.astype(np.uint32) * np.uint32(0x85EBCA77)
+    place >>= np.uint32(32 - BUCKET_BITS)
+    one = np.sort(np.unique(place, return_index=True)[1])
+    pairs = pairs[one]
+    if not len(pairs):
+        return at[:0], at[:0], pairs
+    of_bucket = np.zeros(1 << BUCKET_BITS, np.int32)
+    of_bucket[place[one]] = np.arange(len(pairs))
+    rank = of_bucket[bucket]
+    true = pairs[rank] == keys
+    return at[true], rank[true], pairs
+
+
+def apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which positions to replace: better ranked than both neighbours, every other one of equal ones."""
+    touches = at[1:] == at[:-1] + 1
+    step = np.sign(rank[1:] - rank[:-1]) * touches
+    best = np.ones(len(at), bool)
+    best[1:] &= step <= 0
+    best[:-1] &= step >= 0
+    begins = np.arange(len(at))
+    begins[1:][touches & (step == 0)] = 0
+    return best & ((np.arange(len(at)) - np.maximum.accumulate(begins)) % 2 == 0)
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, symbols) of a pair grammar for ``ids``, which are all below ``base``."""
     seq = ids.astype(np.uint32)
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
-    threshold = max(len(seq) >> 7, USES)
+    threshold = max(len(seq) >> 9, USES)
     while len(seq) > 1:
-        rank, pairs = frequent(_keys(seq), threshold)
-        at = apart(rank, len(pairs))
-        used = np.bincount(rank[at], minlength=len(pairs)) >= USES
-        at = at[used[rank[at]]]
+        at, rank, pairs = frequent(seq, threshold)
+        chosen = apart(at, rank)
+        at, rank = at[chosen], rank[chosen]
+        used = np.bincount(rank, minlength=len(pairs)) >= USES
+        worth = used[rank]
+        at, rank = at[worth], rank[worth]
         number = (base + len(lengths) + np.cumsum(used) - 1).astype(np.uint32)
         made = pairs[used]
         pair = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         rules.append(pair)
-        size = np.ones(pair.shape, np.uint32)
-        deep = pair >= base
-        size[deep] = lengths[pair[deep] - base]
-        lengths = np.concatenate([lengths, size.sum(1, dtype=np.uint32)])
-        seq[at] = number[rank[at]]
+        lengths = np.concatenate([lengths, sizes(pair, base, lengths).sum(1, dtype=np.uint32)])
+        seq[at] = number[rank]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        shrunk = len(at) > len(seq) >> 8
+        done = threshold == USES and len(at) <= len(seq) >> GAIN
         seq = seq[keep]
-        if threshold == USES and not shrunk:
+        if done:
             break
         threshold = max(threshold // FALL, USES)
     return np.concatenate(rules), lengths, seq
 
 
-def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
+def sizes(symbols: np.ndarray, base: int, lengths: np.ndarray) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    deep = symbols >= base
+    size = np.ones(symbols.shape, np.int64)
+    size[deep] = lengths[symbols[deep] - base]
+    return size
+
+
+def expand(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for: those of each rule are worked out once, then copied."""
+    flat = np.arange(base, base + len(rules), dtype=np.uint32)
     while True:
-        deep = symbols >= base
+        deep = flat >= base
         if not deep.any():
-            return symbols
+            break
         ends = np.cumsum(1 + deep)
         out = np.empty(ends[-1], np.uint32)
-        pair = rules[symbols[deep] - base]
-        out[ends[~deep] - 1] = symbols[~deep]
+        pair = rules[flat[deep] - base]
+        out[ends[~deep] - 1] = flat[~deep]
         out[ends[deep] - 2], out[ends[deep] - 1] = pair[:, 0], pair[:, 1]
-        symbols = out
+        flat = out
+    deep = symbols >= base
+    size = sizes(symbols, base, lengths)
+    ends = np.cumsum(size)
+    if not len(ends):
+        return symbols
+    rule = symbols[deep] - base
+    begins = (np.cumsum(lengths, dtype=np.int64) - lengths)[rule]
+    out = np.empty(ends[-1], np.uint32)
+    out[ends[~deep] - 1] = symbols[~deep]
+    n = lengths[rule].astype(np.int64)
+    held = np.ones(len(out), bool)
+    held[ends[~deep] - 1] = False
+    out[held] = gather(flat, begins, n)
+    return out
 
 
 def ids_between(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` of what symbols stand for; only symbols that hold them are expanded."""
-    size = np.ones(len(symbols), np.int64)
-    deep = symbols >= base
-    size[deep] = lengths[symbols[deep] - base]
-    ends = np.cumsum(size)
+    ends = np.cumsum(sizes(symbols, base, lengths))
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
     before = int(ends[a - 1]) if a else 0
-    return expand(symbols[a:b], base, rules)[start - before : stop - before]
-
-
-def _numbers(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u4")
+    return expand(symbols[a:b], base, rules, lengths)[start - before : stop - before]
 
 
 def write(
@@ -294,7 +368,7 @@ def write(
 
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
-            for at, texts in pieces_of(batch.column(1)):
+            for at, texts in runs_of(batch.column(1)):
                 for doc_id, raw in zip(ids_of[at:], encoder.tokens(texts)):
                     n = len(raw) // 4 + 1
                     if names and size + n > segment:
@@ -341,9 +415,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 found = []
                 for s in batch.column(2)[i]:
-                    rules = _numbers(s["rules"].as_py()).reshape(-1, 2)
-                    found.append(expand(_numbers(s["symbols"].as_py()), s["base"].as_py(), rules).astype("<u4", copy=False))
-                raw = b"".join([f.tobytes() for f in found])
+                    rules, lengths, symbols = (_numbers(s[n].as_py()) for n in ("rules", "lengths", "symbols"))
+                    found.append(expand(symbols, s["base"].as_py(), rules.reshape(-1, 2), lengths).tobytes())
+                raw = b"".join(found)
                 names, sizes = batch.column(1)[i].values.flatten()
                 n = sizes.to_numpy()
                 ends = np.cumsum(n)

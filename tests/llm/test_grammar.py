@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,7 +81,7 @@ def test_pieces_are_whole_texts(texts):
     encoder = ENCODER
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     for _ in range(2):  # learnt, then known
-        assert [list(array("I", b)) for b in encoder.tokens(texts)] == want
+        assert [list(array("I", b)) for b in encoder.tokens(pa.array(texts, pa.string()))] == want
 
 
 def test_generations(monkeypatch):
@@ -89,7 +90,7 @@ def test_generations(monkeypatch):
     for i in range(30):
         texts = [f"the word{i} of, {i * k} and the." + " long" * 3 + "y" * 50 for k in range(9)]
         want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-        assert [list(array("I", b)) for b in encoder.tokens(texts)] == want
+        assert [list(array("I", b)) for b in encoder.tokens(pa.array(texts, pa.string()))] == want
         assert len(encoder.known) < 200 and not any(len(p) > grammar.LONGEST for p in encoder.known)
 
 
@@ -100,7 +101,7 @@ def test_other_tokenizers_are_asked_for_whole_texts(tmp_path):
     json.dump(shape, open(path, "w"))
     encoder, tokenizer = grammar.Encoder(path), Tokenizer.from_file(path)
     texts = ["Some Text, OTHER text.", ""]
-    assert [list(array("I", b)) for b in encoder.tokens(texts)] == [tokenizer.encode(t).ids for t in texts]
+    assert [list(array("I", b)) for b in encoder.tokens(pa.array(texts, pa.string()))] == [tokenizer.encode(t).ids for t in texts]
 
 
 def plain_length(symbol, base, rules):
@@ -113,7 +114,7 @@ def test_grammar(kinds, n, seed):
     r = np.random.default_rng(seed)
     ids = r.integers(0, kinds, n).astype(np.uint32)
     rules, lengths, symbols = grammar.compress(ids, kinds)
-    assert (grammar.expand(symbols, kinds, rules) == ids).all()
+    assert (grammar.expand(symbols, kinds, rules, lengths) == ids).all()
     assert lengths.tolist() == [plain_length(kinds + i, kinds, rules) for i in range(len(rules))]
     count = Counter(symbols.tolist()) + Counter(rules.ravel().tolist())
     assert all(count[kinds + i] for i in range(len(rules)))
