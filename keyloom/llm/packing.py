@@ -25,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grammar import gather, runs_of
 from .groups import schema_of
 from .workers import kept, vocabulary_path
 
@@ -36,13 +38,11 @@ SENTENCE, INSIDE = 24, 96
 STRETCH, GRID = 512, 64
 BLOCK = 1 << 20
 END_ID = 2
-ENDS = (ord("."), ord("!"), ord("?"))
+ENDS = (b".", b"!", b"?")
 # Characters that a word may shed before it is looked up; see ``Words.add``.
 TAIL = b".,!?;:%$*&#|"
 # Words of these letters are one piece to the tokenizer's first split.
 LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-# Texts looked up at once, in characters.
-PIECE = 2 << 20
 # Words kept by a worker. Beyond it the tables start anew.
 WORDS = 500_000
 
@@ -113,26 +113,37 @@ class Words:
         self.code[word] = len(self.ids)
         self.ids.append(ids)
         self.sizes.append(len(ids) // 4)
-        self.ends.append(word[-1] in ENDS)
-
-    def tokens(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
-        """Ids of each text as little-endian unsigned 32-bit numbers, and positions after a sentence."""
-        split = [None if "<|" in t else t.encode().lower().split() for t in texts]
-        said = set().union(*[w for w in split if w])
-        missing = said.difference(self.code)
+        self.ends.append(word.endswith(ENDS))
+
+    def tokens(self, texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Ids of each text as little-endian unsigned 32-bit numbers, and positions after a sentence.
+
+        A sentence ends with a word whose last character is ``.``, ``!`` or ``?``. Texts with
+        ``<|`` are encoded whole and have no sentence ends.
+        """
+        marked = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        words = split.flatten().cast(pa.binary()).dictionary_encode()
+        said = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        missing = [w for w in said if w not in self.code]
         if len(self.code) + len(missing) > WORDS:
             self.clear()
             missing = said
-        self.add(missing)
-        sizes, ends = np.array(self.sizes, np.int64), np.array(self.ends, bool)
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.add(set(missing))
+        known = np.fromiter(map(self.code.__getitem__, said), np.int64, len(said))
+        flat = np.frombuffer(b"".join(map(self.ids.__getitem__, known.tolist())), "<u4")
+        size = np.array(self.sizes, np.int64)[known]
+        at = words.indices.to_numpy()
+        out = gather(flat, (np.cumsum(size) - size)[at], size[at]).tobytes()
+        ends = np.concatenate([[0], np.cumsum(size[at])])
+        stop = np.array(self.ends, bool)[known][at]
+        for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+            if marked[i]:
+                ids = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
                 yield array("I", ids).tobytes(), np.zeros(0, np.int64)
-                continue
-            codes = list(map(self.code.__getitem__, words))
-            at = np.array(codes, np.int64)
-            yield b"".join(map(self.ids.__getitem__, codes)), np.cumsum(sizes[at])[ends[at]]
+            else:
+                yield out[4 * ends[a] : 4 * ends[b]], ends[a + 1 : b + 1][stop[a:b]] - ends[a]
 
 
 def best_cuts(at: list[int], penalty: list[int], capacity: int, last: bool) -> list[int]:
@@ -217,19 +228,6 @@ class Stream:
         del self.ids[: 4 * begin]
 
 
-def pieces_of(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Texts of a column in runs of about ``PIECE`` characters, each with its first row."""
-    first, texts, held = 0, [], 0
-    for i, x in enumerate(column):
-        texts.append(x.as_py())
-        held += len(texts[-1])
-        if held > PIECE:
-            yield first, texts
-            first, texts, held = i + 1, [], 0
-    if texts:
-        yield first, texts
-
-
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -279,7 +277,7 @@ def pack(
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for at, texts in pieces_of(batch.column(1)):
+            for at, texts in runs_of(batch.column(1)):
                 for doc_id, (ids, stops) in zip(names[at:], words.tokens(texts)):
                     stream.add(doc_id, ids + end, stops)
                     if len(stream) > block:
