@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, grammar, licenses, line_rules, merge_dropout, merkle, neighbour_vote, packing, pivots, sharding, simhash, suffixes
+from . import chat, grammar, licenses, line_rules, merge_dropout, merkle, neighbour_vote, packing, pivots, repair, sharding, simhash, suffixes
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -271,3 +271,91 @@ def _(t):
 def _(t):
     path = grammar.write(t.documents)
     return grammar.read(t.spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def damaged(turns):
+    """The conversations with the faults that the CRC of their numbers tells, nulls as one space."""
+    space = F.lit(" ")
+    number = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    fault = F.crc32(number.cast("binary")) % 20
+    text = F.coalesce("text", space)
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(fault == 4, "user").otherwise(F.coalesce("role", space))
+    copies = F.explode(F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return turns.filter(fault != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+_BLANK = r"\x20\x09-\x0D"
+
+
+@query(
+    "op11_conversation_repair",
+    rf"""
+    WITH RECURSIVE {_POLYNOMIAL},
+    given AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS d
+      FROM conversations, polynomial),
+    damaged AS (
+      SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+        CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM given, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(i)),
+    ordered AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 64), left(text, 64),
+        sha256(length(role) || ':' || role || text)) AS n FROM damaged),
+    judged AS (
+      SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS c,
+        NOT regexp_matches(text, '[^{_BLANK}]') AS blank,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+        NOT regexp_matches(text, '[.!?][{_BLANK}]*\z') AS short,
+        lag(c) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM ordered),
+    ins AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'),
+        (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, 0, '', ''), (1, 2, 2, 'I', chr(10) || 'user:'),
+        (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 0, '', ''),
+        (2, 3, 2, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 2, 'I', chr(10) || 'user:')) v(s, q, price, a, txt)),
+    op AS (SELECT * FROM (VALUES ('D'), ('K'), ('R')) v(o)),
+    best AS (
+      SELECT conv_id, 0::BIGINT AS n, 0 AS s, 0 AS cost, '' AS audit, '' AS txt FROM (SELECT DISTINCT conv_id FROM damaged)
+      UNION ALL
+      SELECT conv_id, n, t, least_way.cost, least_way.audit, least_way.txt FROM (
+        SELECT conv_id, n, t, min({{'cost': cost, 'audit': audit, 'txt': txt}}) AS least_way FROM (
+          SELECT b.conv_id, j.n,
+            CASE WHEN o = 'D' THEN q WHEN o = 'K' AND c = 's' THEN 1 WHEN q = 2 THEN 3 ELSE 2 END AS t,
+            b.cost + price + CASE o WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN o <> 'D' AND short THEN 1 ELSE 0 END AS cost,
+            b.audit || a || o AS audit,
+            b.txt || ins.txt || CASE o WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text
+              ELSE chr(10) || CASE WHEN q = 2 THEN 'assistant' ELSE 'user' END || ':' || text END AS txt
+          FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.n = b.n + 1 JOIN ins ON ins.s = b.s, op
+          WHERE o = 'D' OR (NOT blank AND NOT again AND (o = 'R' OR (c = 's' AND q = 0) OR (c = 'u' AND q <> 2) OR (c = 'a' AND q = 2))))
+        GROUP BY conv_id, n, t)),
+    counts AS (
+      SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+        count(*) FILTER (NOT blank AND NOT again AND short) AS truncated,
+        count(*) FILTER (before IS NOT NULL AND (before || c) NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM judged GROUP BY conv_id),
+    ended AS (
+      SELECT b.conv_id, min({{'cost': b.cost + price, 'audit': b.audit || a, 'txt': b.txt || ins.txt}}) AS w
+      FROM best b JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.n = c.rows JOIN ins ON ins.s = b.s
+      WHERE q IN (0, 3) GROUP BY b.conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.cost, 0)::BIGINT AS cost,
+      coalesce(w.audit, '') AS audit, sha256(coalesce(substr(w.txt, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+      LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def _(t):
+    reports, repaired = repair.repair(damaged(t.conversations))
+    every = t.conversations.select("conv_id").distinct()
+    told = reports.withColumnRenamed("conv_id", "c1")
+    hashed = repair.digests(repaired).withColumnRenamed("conv_id", "c2")
+    joined = every.join(told, F.col("conv_id").eqNullSafe(F.col("c1")), "left").join(
+        hashed, F.col("conv_id").eqNullSafe(F.col("c2")), "left"
+    )
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return joined.select(
+        "conv_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
