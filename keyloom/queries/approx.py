@@ -85,26 +85,26 @@ for _name, _what, _column, _by in (
     )
 
 
-def _small_sql(column: str) -> str:
-    """Means of groups of a few rows: Student's t by the number of values."""
-    t = ", ".join(["NULL", *(repr(confidence_factor(0.95, n)) for n in range(2, 101))])
+def _small_sql(column: str, digits: int) -> str:
+    """Means of groups of any size: Student's t by the number of values, beyond 100 the normal quantile."""
+    t = ", ".join(["NULL", *(repr(confidence_factor(0.95, n)) for n in range(2, 101)), _Z])
     return f"""WITH s AS (SELECT s_nationkey, m AS merged, count(*) AS n, avg({column}) AS mu, var_samp({column}) AS v
       FROM supplier JOIN (SELECT unnest(generate_series(1, {PARTS})) AS m) ON s_suppkey % {PARTS} < m GROUP BY 1, 2),
-    h AS (SELECT *, [{t}][least(n, 100)] * sqrt(v / n) AS half FROM s WHERE n BETWEEN 2 AND 100)
-    SELECT s_nationkey, CAST(merged AS INTEGER) AS merged, round(mu, 3) AS mean,
-      round(CASE WHEN merged = {PARTS} THEN mu ELSE mu - half END, 3) AS low,
-      round(CASE WHEN merged = {PARTS} THEN mu ELSE mu + half END, 3) AS high FROM h"""
+    h AS (SELECT *, [{t}][least(n, 101)] * sqrt(v / n) AS half FROM s)
+    SELECT s_nationkey, CAST(merged AS INTEGER) AS merged, round(mu, {digits}) AS mean,
+      round(CASE WHEN merged = {PARTS} THEN mu WHEN n > 1 THEN mu - half END, {digits}) AS low,
+      round(CASE WHEN merged = {PARTS} THEN mu WHEN n > 1 THEN mu + half END, {digits}) AS high FROM h"""
 
 
-def _small_groups(t: Tables, shift: float):
+def _small_groups(t: Tables, shift: float, digits: int):
     suppliers = t.supplier.select("s_nationkey", "s_suppkey", (F.col("s_acctbal") + shift).alias("x"))
     out = approx.estimate_progress(suppliers, F.col("s_suppkey") % PARTS, PARTS, "x", "s_nationkey", "mean")
-    fields = [F.round(F.col("estimate")[f], 3).alias(f) for f in ("mean", "low", "high")]
-    told = out.select("s_nationkey", "merged", *fields)
-    members = suppliers.select("s_nationkey", (F.col("s_suppkey") % PARTS).alias("part"))
-    counts = told.join(members, "s_nationkey").filter("part < merged").groupBy("s_nationkey", "merged").count()
-    return told.join(counts.filter("count BETWEEN 2 AND 100").drop("count"), ["s_nationkey", "merged"])
+    # one value has no spread: its bounds are unknown, whatever number stands for that
+    known = {f: F.col("estimate")[f] for f in ("low", "high")}
+    bounds = [F.when(~F.isnan(e) & (F.abs(e) < float("inf")), F.round(e, digits)).alias(f) for f, e in known.items()]
+    return out.select("s_nationkey", "merged", F.round(F.col("estimate")["mean"], digits).alias("mean"), *bounds)
 
 
-query("mean_approx_small_groups", _small_sql("s_acctbal"))(lambda t: _small_groups(t, 0.0))
-query("mean_approx_shifted", _small_sql("(s_acctbal + 1e9)"))(lambda t: _small_groups(t, 1e9))
+# more digits than a mean of a few cents has, so that none ends in a half
+query("mean_approx_small_groups", _small_sql("s_acctbal", 6))(lambda t: _small_groups(t, 0.0, 6))
+query("mean_approx_shifted", _small_sql("(s_acctbal + 1e9)", 3))(lambda t: _small_groups(t, 1e9, 3))

@@ -223,3 +223,57 @@ def _(t: Tables):
     )
     current = t.part.select(F.col("p_partkey").alias("path"), F.col("p_size").cast("long").alias("mtime"))
     return cat.stale_entries(stored, current)
+
+
+def _dear_lines(t: Tables, name: str) -> DataFrame:
+    """A join of two filtered tables, built anew for each use."""
+    orders = t.orders.filter("o_totalprice > 100000").alias(name)
+    lines = t.lineitem.filter(F.col("l_quantity") > 10)
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+_DEAR = """FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+ WHERE o_totalprice > 100000 AND l_quantity > 10"""
+
+
+@query(
+    "plan_tree_reuse",
+    f"""SELECT o_orderpriority, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS numbers,
+     CAST(1 AS BIGINT) AS hits {_DEAR} GROUP BY o_orderpriority""",
+)
+def _(t: Tables):
+    """The join is stored once; an equal one, built elsewhere below a sum, starts from the store."""
+    store = ResultStore(t.spark, scratch_path(t.spark, "store"))
+    store.store_frame(_dear_lines(t, "a"))
+    discard_on_exit(t.spark, store.root)
+    summed = (
+        _dear_lines(t, "b").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("numbers"))
+    )
+    result = store.run_frame(summed)
+    hits = store.catalog().agg(F.sum("reuse").alias("hits"))
+    return result.crossJoin(F.broadcast(hits))  # one row
+
+
+@query(
+    "plan_tree_two_parts",
+    """WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+       b AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 0)
+       SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS orders, CAST(2 AS BIGINT) AS hits
+       FROM a JOIN b ON o_custkey = c_custkey GROUP BY 1""",
+)
+def _(t: Tables):
+    """Two stored parts meet in a join that was never stored."""
+    store = ResultStore(t.spark, scratch_path(t.spark, "store"))
+
+    def counts():
+        return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+    def rich():
+        return t.customer.filter("c_acctbal > 0").select("c_custkey", "c_mktsegment")
+
+    store.store_frame(counts())
+    store.store_frame(rich())
+    discard_on_exit(t.spark, store.root)
+    both = counts().join(rich(), F.col("o_custkey") == F.col("c_custkey"))
+    result = store.run_frame(both.groupBy("c_mktsegment").agg(F.sum("n").alias("orders")))
+    return result.crossJoin(F.broadcast(store.catalog().agg(F.sum("reuse").alias("hits"))))  # one row

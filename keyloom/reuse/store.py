@@ -8,91 +8,30 @@ from __future__ import annotations
 
 import hashlib
 import time
-import types
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from typing import Any
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.checks import require
 from .catalog import evict_candidates, stale_entries
+from .identity import function_identity
 from .plans import SCAN, SCHEMA
+from .trees import Node, rewrite, tree
 
 GIB = 1024.0**3
 _ENTRIES = (
     "id string, prefix string, steps int, path string, mtime bigint, size_gib double, "
     "ms bigint, n_nodes int, n_scans int, inserted timestamp"
 )
-_INPUTS = "id string, path string, mtime bigint"
+_INPUTS = "id string, path string, mtime bigint, root string"
 _IDS = "id string"
 
 
-def function_identity(f: Callable) -> str:
-    """Text that is equal only for functions that do the same.
-
-    Code with its constants and names, defaults, closed-over values, and the globals that the
-    code names. A function that uses a value without a stable text is unlike any other.
-    """
-    if not isinstance(f, types.FunctionType):
-        return uuid.uuid4().hex
-    try:
-        text = _function_text(f, ())
-    except TypeError:
-        return uuid.uuid4().hex
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
-def _function_text(f: Any, inside: tuple) -> str:
-    if isinstance(f, types.BuiltinFunctionType) and isinstance(f.__self__, (types.ModuleType, type(None))):
-        return f"builtin {f.__module__}.{f.__qualname__}"
-    if not isinstance(f, types.FunctionType):
-        raise TypeError("not a plain function")
-    if f.__module__ and f.__module__.split(".")[0] == "pyspark":
-        return f"function {f.__module__}.{f.__qualname__}"
-    if f in inside:
-        return f"caller {len(inside) - inside.index(f)}"
-    inside = (*inside, f)
-    cells = [c.cell_contents for c in f.__closure__ or ()]
-    used = {n: f.__globals__[n] for n in sorted(_names(f.__code__)) if n in f.__globals__}
-    parts = [f.__defaults__, f.__kwdefaults__, cells, used]
-    return repr([_code_text(f.__code__, inside), *[_value_text(p, inside) for p in parts]])
-
-
-def _names(code: types.CodeType) -> set[str]:
-    inner = [c for c in code.co_consts if isinstance(c, types.CodeType)]
-    return set(code.co_names).union(*map(_names, inner))
-
-
-def _code_text(code: types.CodeType, inside: tuple) -> str:
-    names = (code.co_names, code.co_varnames, code.co_freevars, code.co_cellvars)
-    shape = (code.co_argcount, code.co_posonlyargcount, code.co_kwonlyargcount, code.co_flags)
-    constants = [_value_text(c, inside) for c in code.co_consts]
-    return repr((code.co_code, names, shape, constants))
-
-
-def _value_text(value: Any, inside: tuple) -> str:
-    kind = type(value)
-    if kind in (str, int, float, bool, bytes, complex, type(None), type(Ellipsis)):
-        return f"{kind.__name__} {value!r}"
-    if kind in (tuple, list):
-        return f"{kind.__name__} {[_value_text(v, inside) for v in value]}"
-    if kind in (set, frozenset):
-        return f"{kind.__name__} {sorted(_value_text(v, inside) for v in value)}"
-    if kind is dict:
-        return f"dict {[(_value_text(k, inside), _value_text(v, inside)) for k, v in value.items()]}"
-    if kind is types.CodeType:
-        return _code_text(value, inside)
-    if kind is types.ModuleType:
-        return f"module {value.__name__}"
-    if isinstance(value, type) and value.__module__.split(".")[0] in ("builtins", "pyspark", "datetime", "decimal"):
-        return f"class {value.__module__}.{value.__qualname__}"
-    return _function_text(value, inside)
-
-
 @dataclass(frozen=True)
 class Step:
     op: str
@@ -171,12 +110,33 @@ class ResultStore:
     def store(self, pipeline: Pipeline, steps: int | None = None, now: datetime | None = None) -> DataFrame:
         """Run the first ``steps`` steps, keep the result and return it read from the store."""
         steps = len(pipeline.steps) if steps is None else steps
+        files = pipeline.input_files().withColumn("root", F.lit(None).cast("string"))
+        path = self._keep(pipeline.run(steps), pipeline.prefix(steps), steps, files, steps + 1, 1, now)
+        return self.spark.read.parquet(path)
+
+    def store_frame(self, df: DataFrame, now: datetime | None = None) -> DataFrame:
+        """Run any DataFrame, keep its rows under the digest of its plan and return them.
+
+        Raises when the plan has no digest: it reads more than files, or holds random values,
+        subqueries or functions without a stable identity.
+        """
+        node = tree(df)
+        require(node.digest is not None, "the plan has no reliable identity, so its result could never be found")
+        named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # a join's columns may share names
+        files = files_under(self.spark, node.roots)
+        scans = sum(not n.children for n in node.post_order())
+        path = self._keep(named, node.digest, 0, files, node.nodes, scans, now)
+        return self.spark.read.schema(named.schema).parquet(path).toDF(*df.columns)
+
+    def _keep(
+        self, df: DataFrame, prefix: str, steps: int, files: DataFrame, n_nodes: int, n_scans: int, now: datetime | None
+    ) -> str:
         entry = uuid.uuid4().hex
         path = f"{self.root}/results/{entry}"
         # noted before the run: a file that changes meanwhile makes the entry stale, not wrong
-        self._append_table("inputs", pipeline.input_files().select(F.lit(entry).alias("id"), "path", "mtime"))
+        self._append_table("inputs", files.select(F.lit(entry).alias("id"), "path", "mtime", "root"))
         started = time.monotonic()
-        pipeline.run(steps).write.parquet(path)
+        df.write.parquet(path)
         elapsed = int((time.monotonic() - started) * 1000)
         written = self.spark.read.format("binaryFile").load(path)
         size, mtime = written.agg(
@@ -189,12 +149,8 @@ class ResultStore:
         except ValueError:
             self._delete(path)
             raise
-        row = (
-            entry, pipeline.prefix(steps), steps, path, mtime, size_gib, elapsed,
-            steps + 1, 1, now,
-        )
-        self._append("entries", [row], _ENTRIES)
-        return self.spark.read.parquet(path)
+        self._append("entries", [(entry, prefix, steps, path, mtime, size_gib, elapsed, n_nodes, n_scans, now)], _ENTRIES)
+        return path
 
     def make_room(self, needed_gib: float, now: datetime) -> list[str]:
         """Remove entries until ``needed_gib`` fit; returns the removed ids."""
@@ -236,3 +192,75 @@ class ResultStore:
         entry, path, steps = found
         self._append("hits", [(entry,)], _IDS)
         return pipeline.run(source=self.spark.read.parquet(path), skip=steps)
+
+    def find_parts(self, node: Node) -> dict[str, tuple[str, str]]:
+        """Digest -> (id, path) of the stored parts of a plan whose files are unchanged."""
+        parts = {n.digest: n for n in node.post_order() if n.digest is not None}
+        latest = (
+            self.catalog()
+            .filter(F.col("prefix").isin(list(parts)))
+            .groupBy("prefix")
+            .agg(F.max_by(F.struct("id", "path"), F.struct("inserted", "id")).alias("e"))
+        )
+        found = {row["prefix"]: (row["e"]["id"], row["e"]["path"]) for row in latest.collect()}  # at most one a node
+        if not found:
+            return {}
+        needs = [(entry, root) for digest, (entry, _) in found.items() for root in set(parts[digest].roots)]
+        if needs:
+            roots = self.spark.createDataFrame(needs, "id string, root string")
+            current = files_under(self.spark, sorted({r for _, r in needs})).join(F.broadcast(roots), "root")
+            stored = self._table("inputs", _INPUTS).join(roots.select("id").distinct(), "id", "left_semi")
+            was = stored.select("id", "root", "path", F.col("mtime").alias("was"))
+            other = was.join(current, ["id", "root", "path"], "full").filter(~F.col("was").eqNullSafe(F.col("mtime")))
+            changed = {row["id"] for row in other.select("id").distinct().collect()}
+            found = {d: e for d, e in found.items() if e[0] not in changed}
+        return found
+
+    def run_frame(self, df: DataFrame) -> DataFrame:
+        """``df``, with the largest stored parts of its plan read from the store."""
+        node = tree(df)
+        found = self.find_parts(node)
+        if not found:
+            return df
+        result, used = rewrite(self.spark, node, {digest: path for digest, (_, path) in found.items()})
+        self._append("hits", [(found[digest][0],) for digest in used], _IDS)
+        return result
+
+
+def files_under(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """(root, path, mtime): every file below each root and its time in ms; no content is read."""
+    tables = [
+        spark.read.format("binaryFile")
+        .load(root)
+        .select(F.lit(root).alias("root"), "path", F.unix_millis("modificationTime").alias("mtime"))
+        for root in sorted(set(roots))
+    ]
+    empty = spark.createDataFrame([], "root string, path string, mtime bigint")
+    return reduce(DataFrame.unionByName, tables, empty)
+
+
+def frame_nodes(df: DataFrame, job_id: str) -> DataFrame:
+    """The plan of any DataFrame as rows of ``plan_nodes``, in post-order.
+
+    A scan's ``inputs`` are its files, those of other steps are empty; ``fn`` is the digest of
+    the plan up to a step, or, where it has none, unlike any other.
+    """
+    spark = df.sparkSession
+    rows = []
+    for pos, node in enumerate(tree(df).post_order()):
+        scan = not node.children
+        fn = "" if scan and node.roots else node.digest or uuid.uuid4().hex
+        rows.append((job_id, pos, SCAN if scan else node.op, fn, list(node.roots) if scan else []))
+    steps = spark.createDataFrame(rows, "job_id string, pos int, op string, fn string, roots array<string>")
+    files = files_under(spark, [r for *_, roots in rows for r in roots])
+    listed = (
+        steps.select("pos", F.explode("roots").alias("root"))
+        .join(files, "root")
+        .groupBy("pos")
+        .agg(F.array_sort(F.collect_list(F.struct("path", "mtime"))).alias("files"))
+    )
+    held = F.coalesce("files", F.array().cast("array<struct<path: string, mtime: bigint>>"))
+    return steps.join(listed, "pos", "left").select(
+        "job_id", "pos", "op", "fn", F.transform(held, lambda f: f["path"]).alias("inputs"),
+        F.transform(held, lambda f: f["mtime"]).alias("mtimes"),
+    )
