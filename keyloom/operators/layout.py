@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checks import as_list, require, require_columns
 from ..plans.keys import cols, quoted
 from ..plans.prefix import running
+from ..plans.shared import materialise
 
 
 def repartition(df: DataFrame, n: int) -> DataFrame:
@@ -60,6 +62,75 @@ def range_bounds(
     if fraction is not None:
         source = source.sample(False, fraction, seed)
     weights = source.groupBy("key").agg(F.count(F.lit(1)).alias("__w"))
+    return _cut(weights, n)
+
+
+def range_bounds_sketched(df: DataFrame, key: str, n: int, per_range: int = 20, seed: int = 0) -> DataFrame:
+    """(bound, key): like ``range_bounds``, from a weighted sketch of the partitions in one pass.
+
+    Each partition gives a uniform sample of at most ``3 * per_range * n / partitions`` keys and
+    its number of rows; a sampled key stands for that many rows each. A partition with far more
+    rows than the others is sampled again, at the rate that the whole sample was meant to have.
+    The sketch has about ``per_range * n`` keys however many rows there are. The input must have
+    the same partitions when it is read again, as a table has; null keys take no part.
+    """
+    require(n >= 1 and per_range >= 1, "n and per_range must be positive")
+    require_columns(df, [key])
+    source = df.select(F.col(quoted(key)).alias("key"))
+    partitions = max(1, source.rdd.getNumPartitions())
+    size = per_range * n
+    most = -(-3 * size // partitions)
+    sketch = materialise(_partition_samples(source, most, seed), "sketch")
+    counts = {r["part"]: r["n"] for r in sketch.groupBy("part").agg(F.max("n").alias("n")).collect()}  # a row a partition
+    total = sum(counts.values())
+    rate = min(1.0, size / total) if total else 1.0
+    skewed = [part for part, rows in counts.items() if rows * rate > most]
+    even = sketch.filter(~F.col("part").isin(skewed)) if skewed else sketch
+    # whole numbers, so that weights add up the same in any order
+    weight = F.round(F.lit(1000.0) * F.col("n") / F.least(F.col("n"), F.lit(most))).cast("long")
+    weighted = even.select("key", weight.alias("w"))
+    if skewed:
+        part = F.spark_partition_id()
+        again = source.withColumn("part", part).filter(F.col("part").isin(skewed) & F.col("key").isNotNull())
+        drawn = again.filter(F.rand(seed + 1) < rate).select("key", F.lit(round(1000 / rate)).cast("long").alias("w"))
+        weighted = weighted.unionByName(drawn)
+    return _cut(weighted.groupBy("key").agg(F.sum("w").alias("__w")), n)
+
+
+def _partition_samples(source: DataFrame, most: int, seed: int) -> DataFrame:
+    """(part, n, key): a uniform sample of each partition's non-null keys, and how many it has."""
+    kind = source.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        random = np.random.default_rng([seed, part])
+        n, draws, held = 0, np.zeros(0), None
+        for batch in batches:
+            keys = batch.column(0).drop_null()
+            if not len(keys):
+                continue
+            n += len(keys)
+            # the rows of the smallest draws so far are a uniform sample
+            own = random.random(len(keys))
+            below = np.flatnonzero(own < draws.max()) if len(draws) == most else np.arange(len(own))
+            keys = keys.take(pa.array(below))
+            held = keys if held is None else pa.concat_arrays([held, keys])
+            draws = np.concatenate([draws, own[below]])
+            if len(draws) > most:
+                least = np.argpartition(draws, most)[:most]
+                held, draws = held.take(pa.array(least)), draws[least]
+        if held is not None:
+            columns = [pa.array(np.full(len(held), part, np.int32)), pa.array(np.full(len(held), n, np.int64)), held]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "n", "key"])
+
+    return source.mapInArrow(run, f"part int, n long, key {kind}")
+
+
+def _cut(weights: DataFrame, n: int) -> DataFrame:
+    """(bound, key) from distinct keys and their whole weights ``__w``."""
     placed = running(
         weights.withColumn("__one", F.lit(1)),
         [],
@@ -68,9 +139,7 @@ def range_bounds(
     )
     total_row = placed.agg(F.sum("__w")).first()[0]
     if total_row is None or n == 1:
-        return df.sparkSession.createDataFrame([], weights.schema).select(
-            F.lit(0).alias("bound"), "key"
-        )
+        return weights.limit(0).select(F.lit(0).alias("bound"), "key")
     reached = F.expr(f"((__before + __w) * {n}L) div {total_row}L")
     # "reached" is how many of the n even steps the running weight has passed.
     # A key takes one bound only, so bounds trail behind "reached" after a heavy key:

@@ -87,6 +87,22 @@ def _(t: Tables):
     )
 
 
+@query(
+    "list_files",
+    """SELECT c_mktsegment AS segment, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes, true AS some FROM customer GROUP BY 1""",
+)
+def _(t: Tables):
+    """Bytes of the files of each folder, from names and lengths alone."""
+    path = _scratch(t, "listed")
+    names = t.customer.select(F.col("c_name").alias("value"), F.col("c_mktsegment").alias("segment"))
+    names.write.partitionBy("segment").text(path)
+    discard_on_exit(t.spark, path)
+    files = sources.list_files(t.spark, [path])
+    return files.groupBy(F.regexp_extract("path", "segment=([^/]+)/", 1).alias("segment")).agg(
+        F.sum("length").alias("bytes"), (F.count(F.lit(1)) > 0).alias("some")
+    )
+
+
 @query("binary_files", "SELECT CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes FROM customer")
 def _(t: Tables):
     path = _scratch(t, "binary")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import layout, project
+from ..operators import clustered, layout, project
+from ..plans.shared import discard_on_exit, scratch_path
 from .registry import Tables, query
 
 _WHOLE = "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, {p} AS partitions FROM orders"
@@ -93,3 +94,52 @@ def _(t: Tables):
     low = layout.partition_subset(placed, [0, 1, 2, 3])
     high = layout.partition_subset(placed, [4, 5, 6, 7])
     return low.unionByName(high).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
+@query("range_bounds_sketch", "SELECT 8 AS ranges, count(*) AS n, true AS balanced FROM orders")
+def _(t: Tables):
+    """Bounds from a sketch of partitions of which one has nine tenths of the rows."""
+    place = F.when(F.col("o_orderkey") % 10 < 9, 0).otherwise(F.col("o_orderkey") % 8)
+    skewed = layout.custom_partition(t.orders.select("o_orderkey", "o_totalprice"), 8, place)
+    bounds = layout.range_bounds_sketched(skewed, "o_totalprice", 8, per_range=200, seed=1)
+    cuts = bounds.agg(F.array_sort(F.collect_list("key")).alias("cuts"))
+    placed = t.orders.select("o_totalprice").crossJoin(F.broadcast(cuts))  # one row of seven bounds
+    ranges = placed.groupBy(F.size(F.filter("cuts", lambda c: c < F.col("o_totalprice"))).alias("range")).count()
+    return ranges.agg(
+        F.count(F.lit(1)).cast("int").alias("ranges"), F.sum("count").alias("n"),
+        (F.max("count") < 3 * F.min("count")).alias("balanced"),
+    )
+
+
+def _clustered(t: Tables, keys: str | list[str], by: str) -> str:
+    path = scratch_path(t.spark, "clustered")
+    discard_on_exit(t.spark, path)
+    clustered.write_clustered(t.orders, path, keys, files=16, by=by)
+    return path
+
+
+@query("clustered_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 42")
+def _(t: Tables):
+    path = _clustered(t, "o_custkey", "hash")
+    return clustered.lookup(t.spark, path, "o_custkey", 42).select("o_orderkey", "o_totalprice")
+
+
+@query(
+    "clustered_range",
+    """SELECT o_orderkey, o_orderdate FROM orders
+       WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31'""",
+)
+def _(t: Tables):
+    path = _clustered(t, "o_orderdate", "range")
+    return clustered.filter_by_range(
+        t.spark, path, "o_orderdate", F.lit("1997-01-01"), F.lit("1997-12-31")
+    ).select("o_orderkey", "o_orderdate")
+
+
+@query(
+    "clustered_two_keys",
+    """SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'""",
+)
+def _(t: Tables):
+    path = _clustered(t, ["o_orderpriority", "o_orderstatus"], "range")
+    return clustered.lookup(t.spark, path, ["o_orderpriority", "o_orderstatus"], ["1-URGENT", "F"]).select("o_orderkey")

@@ -11,6 +11,7 @@ from .files import (
 from .fixed import fixed_records
 from .hadoop import hadoop_file, hadoop_rdd, new_hadoop_file, new_hadoop_rdd, sequence_file
 from .jdbc import jdbc_range_scan, range_predicates
+from .listing import list_files
 from .local import empty, from_rows, range_source
 
 __all__ = [
@@ -22,6 +23,7 @@ __all__ = [
     "hadoop_rdd",
     "input_splits",
     "jdbc_range_scan",
+    "list_files",
     "new_hadoop_file",
     "new_hadoop_rdd",
     "object_file",

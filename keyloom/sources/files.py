@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .listing import list_files
+
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
     """A comma-separated string lists several paths."""
@@ -31,13 +31,8 @@ def text_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 
 
 def _empty_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Paths of files without content, which Spark's readers leave out.
-
-    Compares the listing with the files that gave a row; no content is read.
-    """
-    files = spark.read.format("binaryFile").load(paths)
-    listed = [(re.sub("^file:/+", "file:/", unquote(uri)),) for uri in files.inputFiles()]
-    return spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    """Paths of files without content, which Spark's readers leave out; listed in tasks, by folder."""
+    return list_files(spark, paths).filter("length = 0").select("path")
 
 
 def whole_text_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
