@@ -65,6 +65,26 @@ def count_approx_distinct_by_key(
     )
 
 
+def distinct_sketches(df: DataFrame, keys: str | Sequence[str], column: str, lg_k: int = 12) -> DataFrame:
+    """(keys…, sketch): a stored form of each key's distinct values, of at most 2^lg_k bytes.
+
+    Sketches of parts of the data, made on any day, unite to that of the whole.
+    """
+    require(4 <= lg_k <= SKETCH_LG_K, f"lg_k lies between 4 and {SKETCH_LG_K}")
+    return df.groupBy(*cols(as_list(keys))).agg(F.hll_sketch_agg(F.col(quoted(column)), lg_k).alias("sketch"))
+
+
+def unite_sketches(sketches: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """(keys…, sketch): one sketch per key from many; fewer keys give coarser groups."""
+    return sketches.groupBy(*cols(as_list(keys))).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def distinct_of(sketches: DataFrame, name: str = "distinct") -> DataFrame:
+    """The estimate of each sketch in place of it; its deviation is about 1.04 / 2^(lg_k / 2)."""
+    others = [c for c in sketches.columns if c != "sketch"]
+    return sketches.select(*cols(others), F.hll_sketch_estimate("sketch").alias(name))
+
+
 # --- estimates from merged partials, as Column arithmetic ------------------------------
 
 

@@ -13,6 +13,7 @@ from ..plans.checks import as_list, require, require_columns
 from ..plans.keys import cols, quoted
 from ..plans.prefix import running
 from ..plans.shared import materialise
+from .bucketed import layout_of
 
 
 def repartition(df: DataFrame, n: int) -> DataFrame:
@@ -28,8 +29,11 @@ def coalesce(df: DataFrame, n: int, shuffle: bool = False) -> DataFrame:
 
 
 def hash_partition(df: DataFrame, keys: str | Sequence[str], n: int | None = None) -> DataFrame:
-    """Equal keys share a partition; a null key is a key."""
-    key_cols = cols(as_list(keys))
+    """Equal keys share a partition; a null key is a key. Rows placed so already stay where they are."""
+    names = as_list(keys)
+    if n and layout_of(df) == (names, n):
+        return df
+    key_cols = cols(names)
     return df.repartition(n, *key_cols) if n else df.repartition(*key_cols)
 
 
@@ -158,8 +162,15 @@ def _cut(weights: DataFrame, n: int) -> DataFrame:
 
 
 def default_partitions(*inputs: DataFrame) -> int:
-    """Partition count used when none is given: the configured one, else the largest input's."""
+    """Partition count used when none is given.
+
+    That of the input with the most partitions among those that are placed by hash already, so
+    that it can stay as it is; else the configured one, else the largest input's.
+    """
     require(bool(inputs), "at least one dataset is needed")
+    placed = [layout[1] for layout in map(layout_of, inputs) if layout is not None]
+    if placed:
+        return max(placed)
     spark = inputs[0].sparkSession
     configured = spark.conf.get("spark.default.parallelism", None)
     if configured:

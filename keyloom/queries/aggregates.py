@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import combine, distributions
+from ..plans.shared import materialise
 from .registry import Tables, one_row, query
 
 
@@ -280,3 +281,40 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return _rounded(distributions.distribution_summary(t.events, "value", "event_type"))
+
+
+def _rank_error(t: Tables, points):
+    """How far the rank of each found value is from the wanted one, as a share of its group."""
+    values = t.lineitem.select("l_returnflag", F.col("l_extendedprice").alias("x"))
+    # a few rows for each of three flags
+    both = values.join(F.broadcast(points), "l_returnflag").groupBy("l_returnflag", "probability").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("x") < F.col("value"), 1)).alias("below"),
+        F.count(F.when(F.col("x") <= F.col("value"), 1)).alias("upto"),
+    )
+    wanted = F.col("probability") * F.col("n")
+    off = F.greatest(F.col("below") - wanted, wanted - F.col("upto"), F.lit(0.0)) / F.col("n")
+    return both.withColumn("off", off)
+
+
+_RANKS = """SELECT l_returnflag, p AS probability, count(*) AS n, true AS close
+ FROM lineitem, unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 1.0]) AS q(p) GROUP BY ALL"""
+
+
+@query("sketched_quantiles", _RANKS)
+def _(t: Tables):
+    points = distributions.sketched_quantiles(
+        t.lineitem, {"price": F.col("l_extendedprice"), "quantity": F.col("l_quantity")}, by="l_returnflag", accuracy=1000
+    )
+    checked = _rank_error(t, points.filter("metric = 'price'").drop("metric"))
+    return checked.select("l_returnflag", "probability", "n", (F.col("off") <= 0.001).alias("close"))
+
+
+@query("quantile_sketch_union", _RANKS)
+def _(t: Tables):
+    """Quantiles from stored sketches of eight parts."""
+    lines = t.lineitem.withColumn("part", F.col("l_orderkey") % 8)
+    parts = materialise(distributions.quantile_sketches(lines, "l_extendedprice", ["l_returnflag", "part"]), "sketches")
+    points = distributions.quantiles_of(distributions.unite_quantile_sketches(parts, "l_returnflag"))
+    checked = _rank_error(t, points)
+    # three deviations of sketches with k = 200
+    return checked.select("l_returnflag", "probability", "n", (F.col("off") <= 0.05).alias("close"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import confidence_factor
 from ..operators import approx
+from ..plans.shared import materialise
 from .registry import Tables, query
 
 PARTS = 8
@@ -108,3 +109,25 @@ def _small_groups(t: Tables, shift: float, digits: int):
 # more digits than a mean of a few cents has, so that none ends in a half
 query("mean_approx_small_groups", _small_sql("s_acctbal", 6))(lambda t: _small_groups(t, 0.0, 6))
 query("mean_approx_shifted", _small_sql("(s_acctbal + 1e9)", 3))(lambda t: _small_groups(t, 1e9, 3))
+
+
+@query(
+    "distinct_sketch_union",
+    """SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS same, true AS close
+       FROM lineitem GROUP BY l_returnflag""",
+)
+def _(t: Tables):
+    """Stored sketches of eight parts, united by key, say what a sketch of the whole says."""
+    part = (F.col("l_orderkey") % PARTS).alias("part")
+    lines = t.lineitem.select("l_returnflag", "l_partkey", part)
+    parts = materialise(approx.distinct_sketches(lines, ["part", "l_returnflag"], "l_partkey"), "sketches")
+    united = approx.distinct_of(approx.unite_sketches(parts, "l_returnflag"), "united")
+    # uniting changes the estimator, so the whole is united as well: with parts that add nothing
+    whole = approx.distinct_sketches(lines, "l_returnflag", "l_partkey").unionByName(parts.drop("part"))
+    whole = approx.unite_sketches(whole, "l_returnflag")
+    exact = lines.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"))
+    off = F.abs(F.col("united") - F.col("exact"))
+    return united.join(approx.distinct_of(whole, "whole"), "l_returnflag").join(exact, "l_returnflag").select(
+        "l_returnflag", "exact", (F.col("united") == F.col("whole")).alias("same"),
+        (off <= 4 * 1.04 / 64 * F.col("exact")).alias("close"),  # four deviations of 2^12 registers
+    )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import clustered, layout, project
+from ..operators import aggregates, bucketed, clustered, joins, layout, project, sets
 from ..plans.shared import discard_on_exit, scratch_path
 from .registry import Tables, query
 
@@ -143,3 +145,37 @@ def _(t: Tables):
 def _(t: Tables):
     path = _clustered(t, ["o_orderpriority", "o_orderstatus"], "range")
     return clustered.lookup(t.spark, path, ["o_orderpriority", "o_orderstatus"], ["1-URGENT", "F"]).select("o_orderkey")
+
+
+def _bucketed(t: Tables, df, key: str, buckets: int = 8):
+    path = scratch_path(t.spark, "bucketed")
+    discard_on_exit(t.spark, path)
+    name = f"keyloom_{uuid.uuid4().hex}"
+    bucketed.write_bucketed(df, name, key, buckets, path)
+    return bucketed.read_bucketed(t.spark, name)
+
+
+@query(
+    "bucketed_join",
+    """SELECT o_orderkey AS key, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS numbers
+       FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""",
+)
+def _(t: Tables):
+    """A join and a sum over two tables in buckets of the order's number: no row moves."""
+    orders = _bucketed(t, t.orders.select(F.col("o_orderkey").alias("key"), "o_custkey"), "key")
+    lines = _bucketed(t, t.lineitem.select(F.col("l_orderkey").alias("key"), "l_linenumber"), "key")
+    both = joins.join(orders.hint("merge"), lines, "key", null_safe=False)
+    return aggregates.reduce_by_key(both, "key", n=F.count(F.lit(1)), numbers=F.sum("l_linenumber"))
+
+
+@query(
+    "bucketed_union",
+    "SELECT l_suppkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS numbers FROM lineitem GROUP BY 1",
+)
+def _(t: Tables):
+    """Two halves of a table in equal buckets, united and added up by key."""
+    lines = t.lineitem.select("l_suppkey", "l_linenumber")
+    halves = [_bucketed(t, lines.filter(F.col("l_linenumber") % 2 == i), "l_suppkey") for i in (0, 1)]
+    return aggregates.reduce_by_key(
+        sets.union(halves), "l_suppkey", n=F.count(F.lit(1)), numbers=F.sum("l_linenumber")
+    )

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import clustered, layout
+from keyloom.operators import aggregates, bucketed, clustered, joins, layout, sets
 
 
 def spread(df, key, bounds):
@@ -104,3 +104,51 @@ def test_clustered_append_and_empty(spark, keyed, tmp_path, rows):
     clustered.write_clustered(keyed.limit(0), empty, "k", files=2)
     assert clustered.lookup(spark, empty, "k", 3).count() == 0
     assert clustered.filter_by_range(spark, empty, "k", 0, 9).count() == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    names = []
+
+    def write(df, key, buckets=6):
+        name = f"b_{tmp_path.name}_{len(names)}".replace("-", "_")
+        layout_path = str(tmp_path / name)
+        bucketed.write_bucketed(df, name, key, buckets, layout_path)
+        names.append(name)
+        return bucketed.read_bucketed(spark, name)
+
+    yield write
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_bucketed_tables_stay_in_place(spark, tables, keyed, rows):
+    a = keyed.select("k", F.col("v").alias("x"))
+    b = keyed.select("k", F.col("v").alias("y")).filter("y > 3000")
+    in_a, in_b = tables(a, "k"), tables(b, "k")
+    assert bucketed.layout_of(in_a) == (["k"], 6) == bucketed.layout_of(in_a.filter("x > 1"))
+    both = joins.join(in_a.hint("merge"), in_b, "k", null_safe=False)
+    assert exchanges(both) == 0 < exchanges(joins.join(a.hint("merge"), b, "k", null_safe=False))
+    assert both.count() == joins.join(a, b, "k", null_safe=False).count() > 0
+    summed = aggregates.reduce_by_key(in_a, "k", s=F.sum("x"))
+    assert exchanges(summed) == 0 and rows(summed) == rows(aggregates.reduce_by_key(a, "k", s=F.sum("x")))
+    united = aggregates.reduce_by_key(sets.union([in_a, in_a]), "k", s=F.sum("x"))
+    assert exchanges(united) == 0
+    assert rows(united) == rows(aggregates.reduce_by_key(sets.union([a, a]), "k", s=F.sum("x")))
+
+
+def test_existing_layout_is_used(spark, tables, keyed):
+    table = tables(keyed, "k", 5)
+    assert layout.hash_partition(table, "k", 5) is table
+    assert layout.hash_partition(table, "k", 4) is not table
+    placed = layout.hash_partition(keyed, "s", 7)
+    assert layout.hash_partition(placed, "s", 7) is placed
+    assert layout.default_partitions(keyed, table) == 5
+    assert layout.default_partitions(table, placed) == 7
+    assert bucketed.layout_of(keyed) is None and bucketed.layout_of(keyed.repartition(3)) is None
+    with pytest.raises(ValueError):
+        bucketed.write_bucketed(keyed, "none", "k", 0)
