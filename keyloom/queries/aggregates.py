@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import operator
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import combine, distributions
+from ..operators import batches, combine, distributions
 from ..plans.shared import materialise
 from .registry import Tables, one_row, query
 
@@ -318,3 +319,33 @@ def _(t: Tables):
     checked = _rank_error(t, points)
     # three deviations of sketches with k = 200
     return checked.select("l_returnflag", "probability", "n", (F.col("off") <= 0.05).alias("close"))
+
+
+def _sums(starts, c):
+    """Combiners of order lines: sums, and the largest number."""
+    ones = np.add.reduceat(np.ones(len(c["l_quantity"]), np.int64), starts)
+    quantity = np.add.reduceat(c["l_quantity"], starts)
+    return {"n": ones, "quantity": quantity, "largest": np.maximum.reduceat(c["l_linenumber"], starts)}
+
+
+def _merged_sums(starts, c):
+    added = {k: np.add.reduceat(c[k], starts) for k in ("n", "quantity")}
+    return {**added, "largest": np.maximum.reduceat(c["largest"], starts)}
+
+
+_COMBINER = "n long, quantity double, largest long"
+_SUMS = """count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity, CAST(max(l_linenumber) AS BIGINT) AS largest
+ FROM lineitem"""
+
+
+@query("combine_batches_by_key", f"SELECT l_suppkey, l_returnflag, {_SUMS} GROUP BY 1, 2")
+def _(t: Tables):
+    lines = t.lineitem.select("l_suppkey", "l_returnflag", "l_quantity", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    return batches.combine_batches_by_key(lines, ["l_suppkey", "l_returnflag"], _sums, _merged_sums, _COMBINER)
+
+
+@query("aggregate_batches", f"SELECT {_SUMS}")
+def _(t: Tables):
+    lines = t.lineitem.select("l_quantity", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    found = batches.aggregate_batches(lines, _sums, _merged_sums, _COMBINER, depth=3)
+    return one_row(t.spark, _COMBINER, *found.values())
