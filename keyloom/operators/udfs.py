@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.checks import key_and_values
 from ..plans.keys import cols, quoted
@@ -87,6 +89,33 @@ def table_function(
     ).drop(*([] if column in keep else [column]))
 
 
+def table_function_batches(
+    df: DataFrame, f: Callable[[pa.Array], tuple[Any, Sequence[Any]]], column: str, return_type: str,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Rows out of the values of a column, a batch at a time: ``table_function`` over Arrow arrays.
+
+    ``f`` gives, for an array of values, the position in it that each new row comes from, and the
+    new columns in the order of ``return_type``. A value may give no row or many.
+    """
+    made = T.StructType.fromDDL(return_type)
+    struct = T.StructType([*[df.schema[k] for k in keep], *made.fields])
+    schema = to_arrow_schema(struct)
+    names = [*keep, *([] if column in keep else [column])]
+    at = names.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parents, columns = f(batch.column(at))
+            parents = pa.array(parents)
+            kept = [batch.column(i).take(parents) for i in range(len(keep))]
+            own = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+            arrays = [c.cast(t.type) for c, t in zip([*kept, *own], schema, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return df.select(*cols(names)).mapInArrow(run, struct)
+
+
 def map_groups(
     df: DataFrame, keys: str | Sequence[str], f: Callable[[pd.DataFrame], pd.DataFrame],
     schema: T.StructType | str,
@@ -96,6 +125,14 @@ def map_groups(
     return df.groupBy(*cols(names)).applyInPandas(f, schema)
 
 
+def map_groups_arrow(
+    df: DataFrame, keys: str | Sequence[str], f: Callable[[pa.Table], pa.Table], schema: T.StructType | str
+) -> DataFrame:
+    """``map_groups`` over Arrow tables, without the cost of a pandas frame for every group."""
+    names, _ = key_and_values(df, keys)
+    return df.groupBy(*cols(names)).applyInArrow(f, schema)
+
+
 def co_map_groups(
     left: DataFrame, right: DataFrame, keys: str | Sequence[str],
     f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType | str,

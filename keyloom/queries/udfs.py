@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..operators import udfs
@@ -50,12 +53,27 @@ def _(t: Tables):
 )
 def _(t: Tables):
     def summary(g):
-        return g.groupby("o_custkey").agg(n=("o_totalprice", "size"), largest=("o_totalprice", "max")).reset_index()
+        # the key is the same in the whole group
+        row = (g["o_custkey"].iat[0], len(g), g["o_totalprice"].max())
+        return pd.DataFrame([row], columns=["o_custkey", "n", "largest"])
 
     orders = t.orders.select("o_custkey", "o_totalprice")
     return udfs.map_groups(orders, "o_custkey", summary, "o_custkey long, n long, largest double")
 
 
+@query(
+    "udf_map_groups_arrow",
+    """SELECT o_custkey, count(*) AS n, max(o_totalprice) AS largest FROM orders GROUP BY o_custkey""",
+)
+def _(t: Tables):
+    def summary(g):
+        row = {"o_custkey": g["o_custkey"][0], "n": len(g), "largest": pc.max(g["o_totalprice"])}
+        return pa.table({name: pa.array([pa.scalar(v).as_py()]) for name, v in row.items()})
+
+    orders = t.orders.select("o_custkey", "o_totalprice")
+    return udfs.map_groups_arrow(orders, "o_custkey", summary, "o_custkey long, n long, largest double")
+
+
 @query(
     "udtf_tokens",
     """SELECT token, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents)
@@ -66,3 +84,17 @@ def _(t: Tables):
         t.documents.select("text"), lambda text: ((w,) for w in text.split(" ")), "text", "token string"
     )
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "udtf_tokens_batches",
+    """SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(string_split(text, ' ')) AS token FROM documents)
+       GROUP BY ALL""",
+)
+def _(t: Tables):
+    def split(texts):
+        lists = pc.split_pattern(texts, " ")
+        return pc.list_parent_indices(lists), [pc.list_flatten(lists)]
+
+    tokens = udfs.table_function_batches(t.documents.select("lang", "text"), split, "text", "token string", ["lang"])
+    return tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow.compute as pc
 import pytest
 
-from keyloom.operators import batches, combine
+from keyloom.operators import batches, combine, udfs
 
 
 def create(starts, c):
@@ -79,3 +79,29 @@ def test_other_types_and_errors(spark):
         batches.combine_batches_by_key(df, "k", lambda s, c: {"s": ["x"] * 9}, first, "s string").collect()
     with pytest.raises(Exception, match="gave no column"):
         batches.combine_batches_by_key(df, "k", lambda s, c: {}, first, "s string").collect()
+
+
+def test_table_function_over_batches(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (2, None, "y"), (3, "", "z"), (None, "c", None)], "k long, s string, o string")
+
+    def split(texts):
+        lists = pc.split_pattern(texts, " ")
+        return pc.list_parent_indices(lists), [pc.list_flatten(lists), pc.utf8_length(pc.list_flatten(lists))]
+
+    got = udfs.table_function_batches(df, split, "s", "w string, n long", ["o", "s", "k"]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(
+        [("x", "a b", 1, "a", 1), ("x", "a b", 1, "b", 1), ("z", "", 3, "", 0), (None, "c", None, "c", 1)], key=repr
+    )
+    assert udfs.table_function_batches(df.limit(0), split, "s", "w string, n long").count() == 0
+
+
+def test_groups_as_arrow_tables(spark):
+    import pyarrow as pa
+
+    df = spark.createDataFrame([(1, 2.0), (None, 5.0), (1, 4.0), (None, 7.0), (3, None)], "k long, v double")
+
+    def mean(g):
+        return pa.table({"k": g["k"].slice(0, 1), "v": pa.array([pc.mean(g["v"]).as_py()], pa.float64())})
+
+    got = udfs.map_groups_arrow(df, "k", mean, "k long, v double").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 3.0), (None, 6.0), (3, None)], key=repr)
