@@ -131,8 +131,8 @@ def sketched_quantiles(
 ) -> DataFrame:
     """(by…, metric, probability, value): quantiles of many columns of many groups, approximately.
 
-    The rank of a value is off by at most 1 / ``accuracy`` of the group's values. Every group has
-    one bounded state for each column, combined before the shuffle: rows are read once and never
+    The rank of a value is off by at most one place and 1 / ``accuracy`` of the group's values.
+    Every group has one bounded state for each column, combined before the shuffle: rows are read once and never
     multiplied by the columns. A column without values in a group is left out.
     """
     require(all(0.0 <= p <= 1.0 for p in probabilities), "probabilities lie in [0, 1]")

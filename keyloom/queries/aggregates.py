@@ -307,7 +307,7 @@ def _(t: Tables):
         t.lineitem, {"price": F.col("l_extendedprice"), "quantity": F.col("l_quantity")}, by="l_returnflag", accuracy=1000
     )
     checked = _rank_error(t, points.filter("metric = 'price'").drop("metric"))
-    return checked.select("l_returnflag", "probability", "n", (F.col("off") <= 0.001).alias("close"))
+    return checked.select("l_returnflag", "probability", "n", (F.col("off") <= 0.001 + 1 / F.col("n")).alias("close"))
 
 
 @query("quantile_sketch_union", _RANKS)

@@ -48,7 +48,7 @@ def test_sketched_quantiles(spark, values):
     got = distributions.sketched_quantiles(values, {"x": F.col("x"), "some": none}, by="g", accuracy=500).collect()
     rows = grouped(values)
     points = [(r["g"], r["probability"], r["value"]) for r in got if r["metric"] == "x"]
-    assert len(points) == 5 * len(rows) and ranks_off(rows, points) <= 1 / 500 + 1e-9
+    assert len(points) == 5 * len(rows) and ranks_off(rows, points) <= 1 / 500 + 1 / min(map(len, rows.values()))
     assert {r["g"] for r in got if r["metric"] == "some"} == {0}
     assert distributions.sketched_quantiles(values.limit(0), {"x": F.col("x")}, by="g").count() == 0
     with pytest.raises(ValueError):
