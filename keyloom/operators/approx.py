@@ -68,10 +68,16 @@ def count_approx_distinct_by_key(
 def distinct_sketches(df: DataFrame, keys: str | Sequence[str], column: str, lg_k: int = 12) -> DataFrame:
     """(keys…, sketch): a stored form of each key's distinct values, of at most 2^lg_k bytes.
 
-    Sketches of parts of the data, made on any day, unite to that of the whole.
+    Sketches of parts of the data, made on any day, unite to that of the whole. Whole numbers,
+    texts and bytes count as they are, other values by their text; -0.0 and 0.0 are one value.
     """
     require(4 <= lg_k <= SKETCH_LG_K, f"lg_k lies between 4 and {SKETCH_LG_K}")
-    return df.groupBy(*cols(as_list(keys))).agg(F.hll_sketch_agg(F.col(quoted(column)), lg_k).alias("sketch"))
+    value, kind = F.col(quoted(column)), df.schema[column].dataType.simpleString()
+    if kind in ("float", "double"):
+        value = value + F.lit(0.0).cast(kind)
+    if kind not in ("int", "bigint", "string", "binary"):
+        value = value.cast("string")
+    return df.groupBy(*cols(as_list(keys))).agg(F.hll_sketch_agg(value, lg_k).alias("sketch"))
 
 
 def unite_sketches(sketches: DataFrame, keys: str | Sequence[str]) -> DataFrame:
