@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import line_rules, neighbour_vote, packing, simhash, suffixes
+from keyloom.llm import line_rules, near_copies, neighbour_vote, packing, suffixes
 from keyloom.plans.shared import materialise
 
 
@@ -35,8 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; shingles of five words."""
-    return simhash.deduplicate(docs, words=5)
+    """The document with the smallest id of each group of near copies: 0.8 of their shingles of five words in common."""
+    return near_copies.deduplicate(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

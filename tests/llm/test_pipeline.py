@@ -1,11 +1,9 @@
 """Every stage of the pipeline against a brute-force version, each on what its predecessor kept."""
 
-import re
 from array import array
 
 import public_tokenizers
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -13,17 +11,11 @@ import corpus_pipeline
 from keyloom.llm import neighbour_vote
 
 from . import test_native as native
-from .test_simhash import reach
+from .test_near_copies import components
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-def fingerprint(text, n):
-    ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    h = [xxhash.xxh64_intdigest(" ".join(ws[i : i + n]).encode(), 42) for i in range(max(1, len(ws) - n + 1))] if ws else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def without_repeats(texts, length=200):
     seen = {}
     for raw in texts:
@@ -69,12 +61,8 @@ def test_stages(spark):
             want.append((i, left, lang, source, len(left)))
     assert sorted(ruled) == sorted(want)
 
-    prints = [fingerprint(r[1], 5) for r in ruled]
-    root = reach(sorted(set(prints)), lambda a, b: (a ^ b).bit_count() <= 4)
-    first = {}
-    for r, p in zip(ruled, prints):
-        first[root[p]] = min(r[0], first.get(root[p], r[0]))
-    assert sorted(single) == sorted(r for r, p in zip(ruled, prints) if first[root[p]] == r[0]) and len(single) < len(ruled)
+    first = components([(r[0], r[1]) for r in ruled])
+    assert sorted(single) == sorted(r for r in ruled if first[r[0]] == r[0]) and len(single) < len(ruled)
 
     rest = without_repeats([r[1].encode() for r in single])
     want = {r[0]: x.decode("utf-8", "ignore") for r, x in zip(single, rest)}
