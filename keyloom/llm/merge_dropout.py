@@ -7,9 +7,9 @@ anew, and alike on every run. Whatever was skipped, the pieces spell the text: s
 vocabulary are written as bytes, as is a literal U+2581, which stands for a space inside pieces.
 
 Texts are cut into units where no piece of the vocabulary has both neighbours side by side, so
-no merge can cross. A draw says how many candidates are taken until the next one is skipped. What
-a unit becomes when the candidates of given numbers are skipped depends on nothing else, and that
-alone is kept by a worker.
+no merge can cross. A draw says how many candidates are taken until the next one is skipped. A
+worker keeps what units become without a skip; those that skip are merged anew, thousands of them
+together: a row of symbols each, of which the best candidate is taken in every step.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import heapq
 import math
 import re
 from array import array
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,18 @@ from .workers import kept, vocabulary_path
 SPACE = "▁"
 # Stands for a U+2581 of the text, which never merges; surrogates do not occur in texts.
 LITERAL = "\ud800"
-NONE = (float("inf"), -1)
 MASK = 2**64 - 1
 # Units of up to so many symbols are merged in a list.
 SHORT = 64
 DROPOUT = 0.1
 # Segmentations kept by a worker. Beyond it the table starts anew.
 UNITS = 400_000
+# Units merged together.
+MANY = 4096
+# Characters of text worked on at once.
+RUN = 1 << 20
+NEVER = np.iinfo(np.int32).max
+FAR = 1 << 62
 TAIL = ".,!?;:%$*&#|"
 
 
@@ -51,6 +56,7 @@ class Pieces:
         self.rank: dict[str, tuple[float, int]] = {}
         self.bytes: list[int] = [0] * 256
         self.spelled: list[bytes] = []
+        self.texts: dict[int, str] = {}
         pairs = set()
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
@@ -61,6 +67,7 @@ class Pieces:
                 self.spelled.append(b"")
             else:
                 self.rank[piece] = (-model.get_score(i), i)
+                self.texts[i] = piece
                 self.spelled.append(piece.replace(SPACE, " ").encode())
                 pairs.update(zip(piece, piece[1:]))
         self.pairs = pairs
@@ -69,53 +76,130 @@ class Pieces:
         alone = "\n" if not any("\n" in p for pair in pairs for p in pair) else ""
         self.cut = re.compile(rf" *[^ {alone}]+| +|[{alone}]" if alone else r" *[^ ]+| +")
         self.spaces_join = all(a == SPACE for a, b in pairs if b == SPACE)
-        # (candidates, ids) by unit, and by (unit, numbers of the skipped candidates)
-        self.units: dict[str | tuple, tuple[int, bytes]] = {}
-
-    def segment(self, unit: str, dropout: float, keyed: int, skips: Collection[int] = ()) -> tuple[int, bytes]:
-        """Candidates taken and ids of one unit, in which a space is a space.
-
-        With ``skips`` the candidates of these numbers are skipped, else those that ``keyed`` and ``dropout`` say.
+        # (candidates, ids, parts) by unit
+        self.units: dict[str, tuple[int, bytes, list[str]]] = {}
+        self.tabulate()
+
+    def tabulate(self) -> None:
+        """Symbols as numbers, and what two neighbours become: its place in the order of merges, and its number."""
+        order = sorted(self.rank, key=self.rank.__getitem__)
+        self.symbols = {piece: found[1] for piece, found in self.rank.items()}
+        for c in sorted({c for pair in self.pairs for c in pair}):  # a piece may have characters that are none
+            self.symbols.setdefault(c, len(self.names) + len(self.symbols))
+        self.letters = np.full(0x110000, -2, np.int32)  # -2: one that never merges
+        for c, number in self.symbols.items():
+            if len(c) == 1:
+                self.letters[ord(c)] = number
+        self.letters[ord(" ")], self.letters[ord(SPACE)] = self.symbols.get(SPACE, -2), -2
+        joined = []
+        for place, piece in enumerate(order):
+            for at in range(1, len(piece)):
+                a, b = self.symbols.get(piece[:at]), self.symbols.get(piece[at:])
+                if a is not None and b is not None:
+                    joined.append((a << 32 | b, place))
+        joined.sort()
+        table = np.array(joined, np.int64).reshape(-1, 2)
+        self.neighbours = np.append(table[:, 0], -1)
+        self.places = np.append(table[:, 1], 0).astype(np.int32)
+        self.becomes = np.array([self.rank[piece][1] for piece in order], np.int32)
+
+    def proposed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Place in the order of merges of each pair of symbols, ``NEVER`` where they do not merge."""
+        keys = (a.astype(np.int64) << 32) | b
+        at = np.searchsorted(self.neighbours[:-1], keys)
+        return np.where((self.neighbours[at] == keys) & (b >= 0), self.places[at], NEVER)
+
+    def merge_many(self, parts: list[str], ahead: np.ndarray, redraw: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+        """Candidates taken and ids of parts of up to ``SHORT`` symbols, all merged together.
+
+        ``ahead`` says how many candidates each takes until it skips one; ``redraw`` then gives the
+        next such numbers. What is left is in ``ahead`` at the end.
         """
-        symbols = [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
-        limit, n = int(dropout * 2**64), len(symbols)
-        merged = self.merge_short(symbols, limit, keyed, skips) if n <= SHORT else self.merge_long(symbols, limit, keyed)
+        taken, ids = np.zeros(len(parts), np.int64), [b""] * len(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        for low, high in ((0, 4), (4, 8), (8, 12), (12, 20), (20, 36), (36, SHORT)):
+            chosen = np.flatnonzero((sizes > low) & (sizes <= high))
+            for at in range(0, len(chosen), MANY):
+                self._merge(parts, chosen[at : at + MANY], high, ahead, redraw, taken, ids)
+        return taken, ids
+
+    def _merge(self, parts: list[str], which: np.ndarray, width: int, ahead, redraw, taken, ids) -> None:
+        said = [parts[i] for i in which.tolist()]
+        left = np.fromiter(map(len, said), np.int64, len(said))
+        symbols = np.full((len(said), width + 1), -1, np.int32)
+        symbols[np.arange(width + 1) < left[:, None]] = self.letters[np.frombuffer("".join(said).encode("utf-32-le"), np.uint32)]
+        agenda = self.proposed(symbols[:, :-1], symbols[:, 1:])
+        columns = np.arange(width + 1)
+        while len(which):
+            row = np.arange(len(which))
+            best = agenda.argmin(1)  # the leftmost of equal ones
+            place = agenda[row, best]
+            done = place == NEVER
+            if done.any():
+                self._spell(parts, which[done], symbols[done], left[done], ids)
+                go = ~done
+                which, symbols, agenda, left, best, place = which[go], symbols[go], agenda[go], left[go], best[go], place[go]
+                row = row[: len(which)]
+                if not len(which):
+                    return
+            taken[which] += 1
+            skip = ahead[which] == 0
+            ahead[which] -= 1
+            if skip.any():
+                agenda[row[skip], best[skip]] = NEVER
+                ahead[which[skip]] = redraw(which[skip])
+            row = np.flatnonzero(~skip)
+            if not len(row):
+                continue
+            best = best[row]
+            # what stands right of the merged pair moves one to the left
+            merged, order = symbols[row], agenda[row]
+            behind = columns > best[:, None]
+            np.copyto(merged[:, :-1], merged[:, 1:].copy(), where=behind[:, :-1])
+            np.copyto(order[:, :-1], order[:, 1:].copy(), where=behind[:, :-2])
+            every = np.arange(len(row))
+            merged[every, best] = self.becomes[place[row]]
+            order[every, best] = self.proposed(merged[every, best], merged[every, best + 1])
+            inner = np.flatnonzero(best > 0)
+            order[inner, best[inner] - 1] = self.proposed(merged[inner, best[inner] - 1], merged[inner, best[inner]])
+            symbols[row], agenda[row] = merged, order
+            left[row] -= 1
+
+    def _spell(self, parts: list[str], which: np.ndarray, symbols: np.ndarray, left: np.ndarray, ids: list[bytes]) -> None:
+        width, raw = 4 * symbols.shape[1], symbols.astype("<u4").tobytes()
+        odd = ((symbols >= len(self.names)) | (symbols < -1)).any(1).tolist()
+        for k, (i, n, strange) in enumerate(zip(which.tolist(), left.tolist(), odd)):
+            if not strange:
+                ids[i] = raw[k * width : k * width + 4 * n]
+                continue
+            out, at = [], 0
+            for x in symbols[k, :n].tolist():
+                if 0 <= x < len(self.names):
+                    out.append(x)
+                    at += len(self.texts[x])
+                else:  # one character without a piece
+                    c = parts[i][at]
+                    out += [self.bytes[b] for b in (SPACE if c == " " else c).encode()]
+                    at += 1
+            ids[i] = array("I", out).tobytes()
+
+    def segment(self, part: str, dropout: float, keyed: int) -> bytes:
+        """Ids of one long part, in which a space is a space; candidates are skipped as ``keyed`` and ``dropout`` say."""
+        symbols = [SPACE if c == " " else LITERAL if c == SPACE else c for c in part]
         ids = []
-        for s in merged:
+        for s in self.merge_long(symbols, int(dropout * 2**64), keyed):
             found = self.rank.get(s)
             if found:
                 ids.append(found[1])
             else:
                 ids += [self.bytes[b] for b in (SPACE if s == LITERAL else s).encode()]
-        return n - len(merged) + len(skips), array("I", ids).tobytes()
+        return array("I", ids).tobytes()
 
     def skipped(self, piece: int, left: int, limit: int, keyed: int) -> bool:
         return xxhash.xxh64_intdigest(self.names[piece], (keyed + left) & MASK) < limit
 
-    def merge_short(self, symbols: list[str], limit: int, keyed: int, skips: Collection[int] = ()) -> list[str]:
-        """The agenda as a list of one candidate per neighbour; for units of a few symbols."""
-        rank, none, names, digest = self.rank.get, NONE, self.names, xxhash.xxh64_intdigest
-        agenda = [rank(a + b, none) for a, b in zip(symbols, symbols[1:])]
-        place, taken = list(range(len(symbols))), -1
-        while agenda:
-            best = min(agenda)  # equal candidates are the same piece: index() gives the leftmost
-            if best is none:
-                break
-            i = agenda.index(best)
-            taken += 1
-            if taken in skips or limit and digest(names[best[1]], (keyed + place[i]) & MASK) < limit:
-                agenda[i] = none
-                continue
-            symbols[i] += symbols.pop(i + 1)
-            del place[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(symbols[i] + symbols[i + 1], none)
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], none)
-        return symbols
-
     def merge_long(self, symbols: list[str], limit: int, keyed: int) -> list[str]:
-        """The same with the agenda as a heap and symbols as a linked list, for units of any length."""
+        """The agenda as a heap and symbols as a linked list, for units of any length."""
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple] = []
@@ -150,73 +234,116 @@ class Pieces:
             return [core, unit[len(core) :]]
         return [unit]
 
-    def varied(self, unit: str, dropout: float, draw: float, key: int, place: int) -> bytes:
-        """Ids of a unit of which ``draw`` skips a candidate, or that is too long to be kept."""
-        known, ids, drawn = self.units, [], 0
+    def learn(self, missing: Collection[str]) -> None:
+        """Segmentations without skips, and the parts, of units that the worker does not know."""
+        known = self.units
+        split = {u: self.parts(u) for u in missing}
+        new = sorted({p for parts in split.values() for p in parts if len(p) <= SHORT and p not in known})
+        taken, ids = self.merge_many(new, np.full(len(new), FAR), lambda i: FAR)
+        known.update(zip(new, zip(taken.tolist(), ids, [[p] for p in new])))
+        for u, parts in split.items():
+            if all(len(p) <= SHORT for p in parts):
+                known[u] = (sum(known[p][0] for p in parts), b"".join(known[p][1] for p in parts), parts)
+            else:
+                known[u] = (2 * SHORT, b"", parts)  # stands for units that are not kept
 
-        def gap(x: float) -> float:
-            if dropout >= 1:
-                return 0
-            return int(math.log(max(x, 1e-300)) / math.log1p(-dropout)) if dropout > 0 else math.inf
+    def vary(self, jobs: list[tuple], ahead: np.ndarray, dropout: float, out: list[bytes]) -> None:
+        """Ids of units of which a candidate is skipped, or that are too long to be kept.
 
-        ahead = gap(draw)  # candidates until the next one that is skipped
-        for part in self.parts(unit):
-            if len(part) > SHORT:
-                ids.append(self.segment(part, dropout, xxhash.xxh64_intdigest(b"%d" % place, key))[1])
-                continue
-            skips, at = (), 0  # at: candidates up to the last skip
-            n, found = known.get(part) or self.segment(part, 0, 0)
-            while at + ahead < n:
-                at += ahead + 1
-                skips += (at - 1,)
-                node = known.get((part, *skips))
-                if node is None:
-                    node = self.segment(part, 0, 0, skips)
-                    if len(known) < UNITS:
-                        known[part, *skips] = node
-                n, found = node
-                drawn += 1
-                ahead = gap(xxhash.xxh64_intdigest(b"%d,%d" % (place, drawn), key) / 2**64)
-            ahead -= n - at
-            ids.append(found)
-        return b"".join(ids)
+        A job is (place in ``out``, parts, key, place in the text). All are merged together, one
+        part of each unit after the other; ``ahead`` says when each skips first.
+        """
+        known, digest = self.units, xxhash.xxh64_intdigest
+        drawn, ids = [0] * len(jobs), [b""] * len(jobs)
+        for turn in range(max((len(j[1]) for j in jobs), default=0)):
+            who, parts = [], []
+            left = ahead.tolist()
+            for k, (_, mine, key, place) in enumerate(jobs):
+                if turn >= len(mine):
+                    continue
+                part = mine[turn]
+                if len(part) > SHORT:
+                    ids[k] += self.segment(part, dropout, digest(b"%d" % place, key))
+                    continue
+                whole = known.get(part)
+                if whole and left[k] >= whole[0]:
+                    ahead[k] -= whole[0]
+                    ids[k] += whole[1]
+                else:
+                    parts.append(part)
+                    who.append(k)
+
+            def redraw(these: np.ndarray, who: list[int] = who) -> np.ndarray:
+                draws = []
+                for i in these.tolist():
+                    k = who[i]
+                    drawn[k] += 1
+                    draws.append(digest(b"%d,%d" % (jobs[k][3], drawn[k]), jobs[k][2]))
+                return gaps(np.array(draws, np.uint64) / 2**64, dropout)
+
+            own = ahead[who]
+            _, made = self.merge_many(parts, own, redraw)
+            ahead[who] = own
+            for k, x in zip(who, made):
+                ids[k] += x
+        for job, own in zip(jobs, ids):
+            out[job[0]] = own
 
     def encode(self, text: str, dropout: float, seed: int, document: int) -> bytes:
-        if not text:
-            return b""
-        units = self.cut.findall(" " + text) if self.spaces_join else [" " + text]
+        return self.encode_many([text], dropout, seed, [document])[0]
+
+    def encode_many(self, texts: list[str], dropout: float, seed: int, documents: list[int]) -> list[bytes]:
+        """Ids of each text."""
         known = self.units
-        missing = set(units).difference(known)
+        cut = [(self.cut.findall(" " + t) if self.spaces_join else [" " + t]) if t else [] for t in texts]
+        every = set().union(*cut)
+        missing = every.difference(known)
         if missing:
             if len(known) + len(missing) > UNITS:
                 known.clear()
-                missing = set(units)
-            for u in missing:
-                n, ids = 0, []
-                for part in self.parts(u):
-                    if len(part) > SHORT:
-                        n = 2 * SHORT  # stands for units that are not kept
-                        break
-                    if part not in known:
-                        known[part] = self.segment(part, 0, 0)
-                    n += known[part][0]
-                    ids.append(known[part][1])
-                known[u] = (n, b"".join(ids))
-        key = xxhash.xxh64_intdigest(b"%d,%d" % (seed, document))
+                missing = every
+            self.learn(missing)
         # the chance that none of so many candidates is skipped
-        stay = [(1 - dropout) ** n for n in range(2 * SHORT)] + [-1.0]
-        draws = np.random.Generator(np.random.Philox(key=key)).random(len(units)).tolist()
-        out = []
-        for place, (u, draw) in enumerate(zip(units, draws)):
-            n, ids = known[u]
-            out.append(ids if draw < stay[n] else self.varied(u, dropout, draw, key, place))
-        return b"".join(out)
+        stay = np.array([(1 - dropout) ** n for n in range(2 * SHORT)] + [-1.0])
+        out: list[bytes] = []
+        jobs, firsts, ends = [], [], []
+        for units, document in zip(cut, documents):
+            key = xxhash.xxh64_intdigest(b"%d,%d" % (seed, document))
+            draws = np.random.Generator(np.random.Philox(key=key)).random(len(units))
+            found = [known[u] for u in units]
+            start = len(out)
+            out += [f[1] for f in found]
+            skip = np.flatnonzero(draws >= stay[np.array([f[0] for f in found], np.int64)])
+            jobs += [(start + place, found[place][2], key, place) for place in skip.tolist()]
+            firsts.append(draws[skip])
+            ends.append(len(out))
+        if jobs:
+            self.vary(jobs, gaps(np.concatenate(firsts), dropout), dropout, out)
+        return [b"".join(out[s:e]) for s, e in zip([0, *ends], ends)]
+
+    def in_runs(self, texts: pa.Array, dropout: float, seed: int, documents: list[int]) -> list[bytes]:
+        """The same in runs of about ``RUN`` characters, whatever the number and length of the texts."""
+        found, held, size = [], [], 0
+        for x in texts:
+            held.append(x.as_py())
+            size += len(held[-1])
+            if size > RUN:
+                found += self.encode_many(held, dropout, seed, documents[len(found) : len(found) + len(held)])
+                held, size = [], 0
+        return found + self.encode_many(held, dropout, seed, documents[len(found) :])
 
     def decode(self, ids: bytes) -> str:
         spelled = b"".join(map(self.spelled.__getitem__, array("I", ids)))
         return spelled.decode("utf-8", "replace")[1:]
 
 
+def gaps(draws: np.ndarray, dropout: float) -> np.ndarray:
+    """Candidates until the next one that is skipped, by draws from 0 to 1."""
+    if not 0 < dropout < 1:
+        return np.full(len(draws), 0 if dropout >= 1 else FAR)
+    return (np.log(np.maximum(draws, 1e-300)) / math.log1p(-dropout)).astype(np.int64)
+
+
 def loaded(path: str | None) -> Pieces:
     path = vocabulary_path(path, "piece_bpe_32k.model")
     table = kept("pieces")
@@ -253,7 +380,7 @@ def encode(
         pieces = loaded(model)
         for batch in batches:
             names, texts = batch.columns[-2:]
-            ids = [pieces.encode(x.as_py(), dropout, seed, n) for n, x in zip(names.to_pylist(), texts)]
+            ids = pieces.in_runs(texts, dropout, seed, names.to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-2], pa.array(ids, pa.binary())], names=[*batch.schema.names[:-2], "ids"]
             )

@@ -1,10 +1,13 @@
 """Packing and merge-dropout against the tokenizers themselves."""
 
+import math
 from array import array
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -118,6 +121,70 @@ def test_dropout(documents):
     assert back.count() == documents.count()
 
 
+def plain_agenda(pieces, symbols, skip):
+    """The agenda as a list of one candidate per neighbour; ``skip`` says of each candidate whether it is skipped."""
+    none = (float("inf"), -1)
+    rank = lambda i: pieces.rank.get(symbols[i] + symbols[i + 1], none)
+    agenda, place = [rank(i) for i in range(len(symbols) - 1)], list(range(len(symbols)))
+    while agenda and min(agenda) != none:
+        i = agenda.index(min(agenda))
+        if skip(agenda[i][1], place[i]):
+            agenda[i] = none
+            continue
+        symbols[i] += symbols.pop(i + 1)
+        del place[i + 1], agenda[i]
+        for k in (i - 1, i):
+            if 0 <= k < len(agenda):
+                agenda[k] = rank(k)
+    return symbols
+
+
+def keyed(pieces, symbols, limit, key):
+    return plain_agenda(pieces, symbols, lambda piece, left: limit > 0 and pieces.skipped(piece, left, limit, key))
+
+
+def symbols_of(unit):
+    return [merge_dropout.SPACE if c == " " else merge_dropout.LITERAL if c == "▁" else c for c in unit]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6, 1.0])
+def test_ids_by_plain_agenda(documents, dropout):
+    """Id for id what the agenda gives that takes one candidate of one unit after the other."""
+    pieces = merge_dropout.loaded(None)
+
+    def gap(draw):
+        return 0 if dropout >= 1 else int(math.log(max(draw, 1e-300)) / math.log1p(-dropout)) if dropout > 0 else 1 << 62
+
+    for r in merge_dropout.encode(documents, ["doc_id", "text"], dropout=dropout, seed=9, id_col="doc_id").withColumn(
+        "document", F.xxhash64(F.coalesce("text", F.lit("")), "doc_id")
+    ).collect():
+        key = xxhash.xxh64_intdigest(b"%d,%d" % (9, r.document))
+        units = pieces.cut.findall(" " + r.text) if r.text else []
+        draws = np.random.Generator(np.random.Philox(key=key)).random(len(units))
+        want = []
+        for place, unit in enumerate(units):
+            state = [gap(draws[place]), 0]
+
+            def skip(piece, left):
+                state[0] -= 1
+                if state[0] >= 0:
+                    return False
+                state[1] += 1
+                state[0] = gap(xxhash.xxh64_intdigest(b"%d,%d" % (place, state[1]), key) / 2**64)
+                return True
+
+            for part in pieces.parts(unit):
+                if len(part) > merge_dropout.SHORT:
+                    own = xxhash.xxh64_intdigest(b"%d" % place, key)
+                    merged = pieces.merge_long(symbols_of(part), int(dropout * 2**64), own)
+                else:
+                    merged = plain_agenda(pieces, symbols_of(part), skip)
+                for s in merged:
+                    text = "▁" if s == merge_dropout.LITERAL else s
+                    want += [pieces.rank[s][1]] if s in pieces.rank else [pieces.bytes[b] for b in text.encode()]
+        assert list(array("I", r.ids)) == want
+
+
 def test_both_agendas_agree():
     import random
 
@@ -125,8 +192,7 @@ def test_both_agendas_agree():
     for _ in range(400):
         unit = "".join(r.choices(" abcdehinorst▁é", k=r.randint(1, 90)))
         key, limit = r.getrandbits(64), r.choice([0, 2**62, 2**63])
-        symbols = [merge_dropout.SPACE if c == " " else merge_dropout.LITERAL if c == "▁" else c for c in unit]
-        assert pieces.merge_short(list(symbols), limit, key) == pieces.merge_long(list(symbols), limit, key)
+        assert keyed(pieces, symbols_of(unit), limit, key) == pieces.merge_long(symbols_of(unit), limit, key)
 
 
 def test_units_are_varied():
@@ -148,7 +214,7 @@ def test_occurrences_are_varied(spark):
     assert len(sizes) > 2
     r, brute, n = random.Random(1), Counter(), 4000
     for _ in range(n):
-        brute[len(pieces.merge_short(list(word.replace(" ", "▁")), 2**64 // 10, r.getrandbits(64)))] += 1
+        brute[len(keyed(pieces, symbols_of(word), 2**64 // 10, r.getrandbits(64)))] += 1
     got = Counter(size(word[1:], d) for d in range(n))
     assert all(abs(got[k] - brute[k]) < 5 * (brute[k] + 9) ** 0.5 for k in brute | got)
     docs = spark.createDataFrame([(i, "understanding") for i in range(200)], "doc_id long, text string")
