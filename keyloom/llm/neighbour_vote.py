@@ -1,10 +1,11 @@
 """Quality classifier: nearest labelled neighbours in a latent semantic space vote.
 
 Terms of a document are trigrams of character classes (lower and upper case, digits, bytes
-beyond ASCII, blanks, kinds of punctuation) and two counts of repeated words. Their square-rooted
-shares, weighted by inverse document frequency, are projected on the leading singular vectors of
-the labelled sample. A document's score is the mean label of its ``NEIGHBOURS`` nearest labelled
-documents, weighted by similarity; cosines with all of them are exact, block by block.
+beyond ASCII, blanks, kinds of punctuation), two counts of repeated words, and the words themselves,
+A-Z lower-cased and hashed. Their square-rooted shares, weighted by inverse document frequency in
+the labelled sample, are projected on its leading singular vectors. A document's score is the mean
+label of its ``NEIGHBOURS`` nearest labelled documents, weighted by similarity; cosines with all
+of them are exact, block by block.
 
 Only the labelled sample is bounded: at most ``SAMPLE`` documents, half of each label, those of
 the smallest hashed ids. Its latent vectors (a few MB by that bound) are broadcast; documents are
@@ -19,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ DIMENSIONS = 48
 NEIGHBOURS = 15
 SHARPNESS = 4
 THRESHOLD = 0.3
-BLOCK = 1024
+BLOCK = 512
 
 # Character classes by byte; what is not named is class 11.
 CLASSES = 12
@@ -46,8 +48,12 @@ _NAMED = (
     (9, b"|"),
     (10, b"#$%&*<>"),
 )
-TERMS = CLASSES**3 + 2
+FORMS = CLASSES**3 + 2
+WORDS = 2048  # cells that words are hashed to
+TERMS = FORMS + WORDS
 REPEAT_WEIGHT = 4
+# Share of the words in a document's terms; the rest are classes and repeats.
+WORD_SHARE = 0.3
 
 
 def class_table() -> np.ndarray:
@@ -65,11 +71,14 @@ def terms(texts: list[bytes]) -> np.ndarray:
         if len(c) > 2:
             row[: CLASSES**3] = np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
         words = text.split()
-        row[-2] = REPEAT_WEIGHT * sum(map(eq, words, words[1:]))
-        row[-1] = len(words) - len(set(words))
+        row[FORMS - 2] = REPEAT_WEIGHT * sum(map(eq, words, words[1:]))
+        row[FORMS - 1] = len(words) - len(set(words))
         total = row.sum()
         if total:
-            row /= total
+            row /= total / (1 - WORD_SHARE)
+        if words:
+            cells = np.frombuffer(b"".join(map(xxhash.xxh64_digest, text.lower().split())), ">u8") % WORDS
+            row[FORMS:] = np.bincount(cells.astype(np.int64), minlength=WORDS) * (WORD_SHARE / len(words))
     return np.sqrt(out, out)
 
 
@@ -146,19 +155,22 @@ def fit(
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     got = picked.mapInArrow(run, f"l_id {id_type}, label int, x binary").toArrow().sort_by("l_id")  # bounded by ``sample``
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, TERMS)
+    x = np.empty((len(got), TERMS), np.float32)
+    for row, raw in zip(x, got.column("x"), strict=True):
+        row[:] = np.frombuffer(raw.as_buffer(), np.float32)
     y = np.array(got.column("label").to_pylist(), np.float64)
     del got
     if not len(y):
         zero = np.zeros(TERMS, np.float32)
         return Model(zero, zero, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y)
-    weight = np.log(1 + len(y) / np.maximum((x > 0).sum(0), 1)).astype(np.float32)
-    z = x * weight
-    mean = z.mean(0)
-    z = z - mean
-    axes = leading(z, min(dimensions, len(y)))
-    model = Model(weight, mean, axes, np.zeros((0, 1), np.float32), y)
-    return model._replace(vectors=model.latent(x))
+    weight = np.log(1 + len(y) / np.maximum(np.count_nonzero(x, axis=0), 1)).astype(np.float32)
+    x *= weight
+    mean = x.mean(0)
+    x -= mean
+    axes = leading(x, min(dimensions, len(y)))
+    z = x @ axes
+    vectors = z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-12)
+    return Model(weight, mean, axes, vectors, y)
 
 
 def leading(z: np.ndarray, dimensions: int) -> np.ndarray:

@@ -1,5 +1,7 @@
 """The classifier: held-out accuracy, brute-force voting, odd rows."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,15 @@ def test_odd_rows(spark, tables):
     assert [r.score for r in vote.score(odd, none, ["doc_id"]).collect()] == [0.5] * 6
     half = labels.unionByName(labels.withColumn("quality", F.lit(None).cast("int")))
     assert np.array_equal(vote.fit(docs, half).labels, model.labels)
+
+
+def test_words_tell_texts_apart(spark):
+    """Good and poor texts of the same letters, lengths and punctuation, which differ in the words alone."""
+    r = random.Random(2)
+    names = {q: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(300)] for q in (0, 1)}
+    rows = [(i, " ".join(r.choices(names[i % 2], k=60)) + ".", i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = vote.fit(df.drop("quality"), df.drop("text"))
+    told = vote.score(df, model, ["doc_id", "quality"]).filter(vote.held_out("doc_id")).collect()
+    assert len(told) > 50
+    assert np.mean([(x.score >= 0.5) == (x.quality == 1) for x in told]) >= 0.95
