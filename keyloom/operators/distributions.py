@@ -15,6 +15,7 @@ from ..plans.shared import materialise
 from .aggregates import stats
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
+ROWS_PER_TASK = 100_000
 
 
 def histogram(df: DataFrame, column: str, buckets: int) -> DataFrame:
@@ -122,6 +123,57 @@ def closest_quantiles(
     )
 
 
+def closest_quantiles_of_columns(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    probabilities: Sequence[float] = QUARTILES,
+    by: str | Sequence[str] | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """(by…, metric, probability, value): ``closest_quantiles`` of many columns, exact for every group.
+
+    A group of up to ``rows_per_task`` rows is gathered once and its columns are sorted there, so rows are not
+    multiplied by the columns before the shuffle. Larger groups go through ``closest_quantiles``. A column
+    without values in a group is left out.
+    """
+    require(all(0.0 <= p <= 1.0 for p in probabilities), "probabilities lie in [0, 1]")
+    groups = as_list(by)
+    names = {f"__m{i}": name for i, name in enumerate(columns)}
+    values = [c.cast("double") for c in columns.values()]
+    # 0.0 and -0.0 are one value
+    wide = df.select(
+        *cols(groups), *[F.when(v == 0, F.lit(0.0)).otherwise(v).alias(m) for m, v in zip(names, values, strict=True)]
+    )
+    counted = wide.groupBy(*cols(groups)).agg(F.count(F.lit(1)).alias("__n"))
+    large = materialise(counted.filter(F.col("__n") > rows_per_task).select(*cols(groups), F.lit(1).alias("__large")), "large")
+    found = []
+    small = wide
+    if not large.isEmpty():
+        marked = prefixed(large, groups, "__l_")
+        on = match(groups, ["__l_" + g for g in groups]) if groups else F.lit(True)
+        small = wide.join(marked, on, "left_anti")
+        long = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(m).alias("value")) for m, name in names.items()])
+        rest = wide.join(marked, on, "left_semi").select(*cols(groups), F.inline(long))
+        found.append(closest_quantiles(rest, "value", probabilities, [*groups, "metric"]))
+
+    def sorted_values(m: str) -> Column:
+        return F.array_sort(F.filter(F.transform("__rows", lambda r: r[m]), lambda v: v.isNotNull()))
+
+    metrics = [F.struct(F.lit(name).alias("metric"), sorted_values(m).alias("__values")) for m, name in names.items()]
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities]).cast("array<double>")
+    n = F.size("__values")
+    index = F.least(F.floor(F.col("probability") * n), n - 1).cast("int")
+    in_place = (
+        small.groupBy(*cols(groups))
+        .agg(F.collect_list(F.struct(*names)).alias("__rows"))
+        .select(*cols(groups), F.inline(F.array(*metrics)))
+        .filter(n > 0)
+        .select("*", F.explode(wanted).alias("probability"))
+        .select(*cols(groups), "metric", "probability", F.get("__values", index).alias("value"))
+    )
+    return in_place.unionByName(found[0]) if found else in_place
+
+
 def sketched_quantiles(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -199,6 +251,7 @@ def distribution_summary(
 __all__ = [
     "QUARTILES",
     "closest_quantiles",
+    "closest_quantiles_of_columns",
     "distribution_summary",
     "histogram",
     "histogram_edges",
