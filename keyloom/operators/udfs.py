@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..plans.checks import key_and_values
 from ..plans.keys import cols, quoted
 
+SLICE_BYTES = 1 << 20
+
 
 def scalar(f: Callable[..., pd.Series], return_type: str) -> Callable[..., Column]:
     """One output value per row from one or more columns, a batch at a time."""
@@ -96,7 +98,8 @@ def table_function_batches(
     """Rows out of the values of a column, a batch at a time: ``table_function`` over Arrow arrays.
 
     ``f`` gives, for an array of values, the position in it that each new row comes from, and the
-    new columns in the order of ``return_type``. A value may give no row or many.
+    new columns in the order of ``return_type``. A value may give no row or many. It gets as many
+    values at a time as have about ``SLICE_BYTES``, so what they give stays small, however large a batch is.
     """
     made = T.StructType.fromDDL(return_type)
     struct = T.StructType([*[df.schema[k] for k in keep], *made.fields])
@@ -105,7 +108,7 @@ def table_function_batches(
     at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, at)):
             parents, columns = f(batch.column(at))
             parents = pa.array(parents)
             kept = [batch.column(i).take(parents) for i in range(len(keep))]
@@ -116,6 +119,21 @@ def table_function_batches(
     return df.select(*cols(names)).mapInArrow(run, struct)
 
 
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of rows with about ``SLICE_BYTES`` in one column, a row at least."""
+    rows = batch.num_rows
+    if rows == 0 or batch.column(at).nbytes <= SLICE_BYTES:
+        yield batch
+        return
+    start = 0
+    while start < rows:
+        length = rows - start
+        while length > 1 and batch.column(at).slice(start, length).nbytes > SLICE_BYTES:
+            length = (length + 1) // 2
+        yield batch.slice(start, length)
+        start += length
+
+
 def map_groups(
     df: DataFrame, keys: str | Sequence[str], f: Callable[[pd.DataFrame], pd.DataFrame],
     schema: T.StructType | str,
