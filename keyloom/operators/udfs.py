@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,16 +39,59 @@ def reduce_groups(
     """(keys, column): group to value with any pandas function of the whole group.
 
     A group is handed over whole, so it must fit in a task. ``merge_groups`` is for functions
-    that can work in parts.
+    that can work in parts. Numbers of a key are packed where they lie, so the shuffle and its sort
+    hold 8 bytes for each of them at most instead of a row.
     """
+    names, _ = key_and_values(df, keys)
+    kind = df.schema[column].dataType
+    numbers = isinstance(kind, T.NumericType) and not isinstance(kind, T.DecimalType)
+    packed = numbers and column not in names and all(isinstance(df.schema[n].dataType, T.AtomicType) for n in names)
 
     def whole(values: pd.Series) -> Any:
-        return f(values)
+        return f(_unpacked(values) if packed else values)
 
     whole.__annotations__ = {"values": pd.Series, "return": float}
     reducer = F.pandas_udf(whole, return_type, F.PandasUDFType.GROUPED_AGG)
-    names, _ = key_and_values(df, keys)
-    return df.groupBy(*cols(names)).agg(reducer(F.col(quoted(column))).alias(column))
+    source = _pack(df, names, column) if packed else df
+    return source.groupBy(*cols(names)).agg(reducer(F.col(quoted(column))).alias(column))
+
+
+def _pack(df: DataFrame, names: Sequence[str], column: str) -> DataFrame:
+    """(keys…, column): the numbers of a key in one batch of rows as an array, in the order of the rows."""
+    struct = T.StructType([*[df.schema[n] for n in names], T.StructField(column, T.ArrayType(df.schema[column].dataType))])
+    schema = to_arrow_schema(struct)
+    count = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = _group_numbers(batch, count)
+            order = np.argsort(group, kind="stable")
+            first = np.flatnonzero(np.diff(group[order], prepend=-1))
+            offsets = pa.array(np.append(first, len(order)), pa.int32())
+            values = pa.ListArray.from_arrays(offsets, batch.column(count).take(pa.array(order)))
+            kept = [batch.column(i).take(pa.array(order[first])) for i in range(count)]
+            yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip([*kept, values], schema, strict=True)], schema=schema)
+
+    return df.select(*cols([*names, column])).mapInArrow(run, struct)
+
+
+def _group_numbers(batch: pa.RecordBatch, count: int) -> np.ndarray:
+    """A number for each row of a batch, equal where the first ``count`` columns are."""
+    number = np.zeros(batch.num_rows, dtype=np.int64)
+    for i in range(count):
+        codes = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        number = np.unique(number * batch.num_rows + codes, return_inverse=True)[1]
+    return number
+
+
+def _unpacked(arrays: pd.Series) -> pd.Series:
+    parts = arrays.to_numpy()
+    whole = parts[0].base
+    if isinstance(whole, np.ndarray) and whole.size == sum(p.size for p in parts) and all(p.base is whole for p in parts):
+        return pd.Series(whole.reshape(-1))  # Arrow gives the arrays as consecutive parts of one
+    return pd.Series(np.concatenate(parts))
 
 
 def merge_groups(
