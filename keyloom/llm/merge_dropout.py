@@ -8,8 +8,9 @@ vocabulary are written as bytes, as is a literal U+2581, which stands for a spac
 
 Texts are cut into units where no piece of the vocabulary has both neighbours side by side, so
 no merge can cross. A draw says how many candidates are taken until the next one is skipped. A
-worker keeps what units become without a skip; those that skip are merged anew, thousands of them
-together: a row of symbols each, of which the best candidate is taken in every step.
+worker keeps what units become without a skip and after the skips that come again; all others are
+merged anew, thousands of them together: a row of symbols each, of which the best candidate is
+taken in every step.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import heapq
 import math
 import re
 from array import array
-from collections.abc import Callable, Collection, Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,40 +37,162 @@ MASK = 2**64 - 1
 # Units of up to so many symbols are merged in a list.
 SHORT = 64
 DROPOUT = 0.1
-# Segmentations kept by a worker. Beyond it the table starts anew.
-UNITS = 400_000
+# Units and segmentations kept by a worker. Beyond them the table starts anew.
+UNITS = 250_000
+NODES = 400_000
+# Skips of a unit whose segmentation may be kept.
+DEPTH = 3
 # Units merged together.
 MANY = 4096
 # Characters of text worked on at once.
-RUN = 1 << 20
+RUN = 1 << 19
+# Rows decoded at once.
+ROWS = 512
 NEVER = np.iinfo(np.int32).max
 FAR = 1 << 62
+# In place of what is not kept: not met yet, met once, never kept.
+NEW, ONCE, LONG = -1, -2, -3
 TAIL = ".,!?;:%$*&#|"
 
 
-class Pieces:
+class Column:
+    """Numbers in a row, to which more are added."""
+
+    def __init__(self) -> None:
+        self.room, self.size = np.empty(1024, np.int32), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Where the first of the new ones stands."""
+        at, need = self.size, self.size + len(values)
+        if need > len(self.room):
+            grown = np.empty(max(need, 2 * len(self.room)), np.int32)
+            grown[:at] = self.room[:at]
+            self.room = grown
+        self.room[at:need], self.size = values, need
+        return at
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+
+class Known(dict):
+    """What parts of units become, by the skips on the way; the dict gives the number of a unit.
+
+    A node is a part and the candidates that were skipped: each as the number of candidates taken
+    since the skip before. It has the number of candidates that follow if no more is skipped, the
+    ids that then come out, and a node or a mark for the skip of each. A part without skips is a
+    node itself. The number of a unit is that of its part, or ``-1 - k`` if it has the parts of
+    ``first`` and ``second`` at ``k``.
+    """
+
+    def __init__(self, parts: Callable[[str], list[str]]) -> None:
+        self.parts = parts
+        self.said: list[str] = []
+        self.fresh: list[str] = []
+        self.first, self.second = array("i"), array("i")
+        self.nodes = 0
+        # of nodes: the part, the node before the last skip, candidates since then; see above
+        self.part, self.parent, self.gap, self.count = Column(), Column(), Column(), Column()
+        self.start, self.length, self.kids = Column(), Column(), Column()
+        self.ids, self.kid = Column(), Column()
+
+    def __missing__(self, unit: str) -> int:
+        found = self.parts(unit)
+        if len(found) == 1:
+            number = self.nodes + len(self.fresh)
+            self.fresh.append(unit)
+        else:
+            pair = self[found[0]], self[found[1]]
+            number = -1 - len(self.first)
+            self.first.append(pair[0])
+            self.second.append(pair[1])
+        self[unit] = number
+        return number
+
+    def full(self) -> bool:
+        return len(self) > UNITS or self.nodes > NODES
+
+    def settle(self) -> None:
+        """Give nodes to the parts met since the last time."""
+        n = len(self.fresh)
+        marks = np.fromiter((LONG if len(p) > SHORT else NEW for p in self.fresh), np.int32, n)
+        self._add(np.arange(len(self.said), len(self.said) + n), np.full(n, -1), np.zeros(n), marks)
+        self.said += self.fresh
+        self.fresh = []
+
+    def _add(self, part: np.ndarray, parent: np.ndarray, gap: np.ndarray, count: np.ndarray) -> np.ndarray:
+        for column, values in ((self.part, part), (self.parent, parent), (self.gap, gap), (self.count, count)):
+            column.add(values)
+        for column in (self.start, self.length, self.kids):
+            column.add(np.zeros(len(part)))
+        self.nodes += len(part)
+        return np.arange(self.nodes - len(part), self.nodes)
+
+    def after(self, parent: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """New nodes: one more skip after ``gap`` more candidates."""
+        made = self._add(self.part[parent], parent, gap, np.full(len(parent), NEW))
+        self.kid.room[self.kids[parent] + gap] = made
+        return made
+
+    def paths(self, nodes: np.ndarray) -> np.ndarray:
+        """A row for each skip of the nodes, all of which have equally many: the candidates taken before it."""
+        rows = []
+        while len(nodes) and self.parent[nodes[0]] >= 0:
+            rows.append(self.gap[nodes].astype(np.int64))
+            nodes = self.parent[nodes]
+        return np.array(rows[::-1], np.int64).reshape(len(rows), len(nodes))
+
+    def texts(self, nodes: np.ndarray) -> list[str]:
+        return [self.said[k] for k in self.part[nodes].tolist()]
+
+    def keep(self, nodes: np.ndarray, count: np.ndarray, ids: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.start.room[nodes] = self.ids.add(np.frombuffer(b"".join(ids), np.int32)) + np.cumsum(sizes) - sizes
+        self.length.room[nodes], self.count.room[nodes] = sizes, count
+        self.kids.room[nodes] = self.kid.add(np.full(int(count.sum()), NEW)) + np.cumsum(count) - count
+
+
+class Spelled:
+    """What the pieces of a SentencePiece model spell."""
+
+    def __init__(self, path: str) -> None:
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        self.spelled: list[bytes] = []
+        for i in range(model.vocab_size()):
+            piece = model.id_to_piece(i)
+            if model.is_byte(i):
+                self.spelled.append(bytes([int(piece[3:5], 16)]))
+            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+                self.spelled.append(b"")
+            else:
+                self.spelled.append(piece.replace(SPACE, " ").encode())
+
+    def decode(self, ids: bytes) -> str:
+        spelled = b"".join(map(self.spelled.__getitem__, array("I", ids)))
+        return spelled.decode("utf-8", "replace")[1:]
+
+
+class Pieces(Spelled):
     """The vocabulary of a SentencePiece BPE model with byte fallback."""
 
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
+        super().__init__(path)
         model = SentencePieceProcessor(model_file=path)
         self.rank: dict[str, tuple[float, int]] = {}
         self.bytes: list[int] = [0] * 256
-        self.spelled: list[bytes] = []
         self.texts: dict[int, str] = {}
         pairs = set()
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-                self.spelled.append(bytes([int(piece[3:5], 16)]))
-            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
-                self.spelled.append(b"")
-            else:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.rank[piece] = (-model.get_score(i), i)
                 self.texts[i] = piece
-                self.spelled.append(piece.replace(SPACE, " ").encode())
                 pairs.update(zip(piece, piece[1:]))
         self.pairs = pairs
         self.names = [b"%d" % i for i in range(model.vocab_size())]
@@ -76,8 +200,7 @@ class Pieces:
         alone = "\n" if not any("\n" in p for pair in pairs for p in pair) else ""
         self.cut = re.compile(rf" *[^ {alone}]+| +|[{alone}]" if alone else r" *[^ ]+| +")
         self.spaces_join = all(a == SPACE for a, b in pairs if b == SPACE)
-        # (candidates, ids, parts) by unit
-        self.units: dict[str, tuple[int, bytes, list[str]]] = {}
+        self.known = Known(self.parts)
         self.tabulate()
 
     def tabulate(self) -> None:
@@ -234,107 +357,133 @@ class Pieces:
             return [core, unit[len(core) :]]
         return [unit]
 
-    def learn(self, missing: Collection[str]) -> None:
-        """Segmentations without skips, and the parts, of units that the worker does not know."""
-        known = self.units
-        split = {u: self.parts(u) for u in missing}
-        new = sorted({p for parts in split.values() for p in parts if len(p) <= SHORT and p not in known})
-        taken, ids = self.merge_many(new, np.full(len(new), FAR), lambda i: FAR)
-        known.update(zip(new, zip(taken.tolist(), ids, [[p] for p in new])))
-        for u, parts in split.items():
-            if all(len(p) <= SHORT for p in parts):
-                known[u] = (sum(known[p][0] for p in parts), b"".join(known[p][1] for p in parts), parts)
-            else:
-                known[u] = (2 * SHORT, b"", parts)  # stands for units that are not kept
+    def learn(self, nodes: np.ndarray) -> None:
+        """What comes of nodes, all of equally many skips, if nothing more is skipped."""
+        paths = self.known.paths(nodes)
+        gaps_of = np.vstack([paths, np.full((1, len(nodes)), FAR)])
+        met = np.zeros(len(nodes), np.int64)
+
+        def redraw(these: np.ndarray) -> np.ndarray:
+            met[these] += 1
+            return gaps_of[met[these], these]
 
-    def vary(self, jobs: list[tuple], ahead: np.ndarray, dropout: float, out: list[bytes]) -> None:
-        """Ids of units of which a candidate is skipped, or that are too long to be kept.
+        taken, ids = self.merge_many(self.known.texts(nodes), gaps_of[0].copy(), redraw)
+        self.known.keep(nodes, taken - paths.sum(0) - len(paths), ids)
 
-        A job is (place in ``out``, parts, key, place in the text). All are merged together, one
-        part of each unit after the other; ``ahead`` says when each skips first.
+    def walk(self, node: np.ndarray, ahead: np.ndarray, redraw: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Where each part ends up by its skips, and what it takes from ``ahead``; -1 if that is not kept.
+
+        What is asked for again is worked out and kept.
         """
-        known, digest = self.units, xxhash.xxh64_intdigest
-        drawn, ids = [0] * len(jobs), [b""] * len(jobs)
-        for turn in range(max((len(j[1]) for j in jobs), default=0)):
-            who, parts = [], []
-            left = ahead.tolist()
-            for k, (_, mine, key, place) in enumerate(jobs):
-                if turn >= len(mine):
-                    continue
-                part = mine[turn]
-                if len(part) > SHORT:
-                    ids[k] += self.segment(part, dropout, digest(b"%d" % place, key))
-                    continue
-                whole = known.get(part)
-                if whole and left[k] >= whole[0]:
-                    ahead[k] -= whole[0]
-                    ids[k] += whole[1]
-                else:
-                    parts.append(part)
-                    who.append(k)
-
-            def redraw(these: np.ndarray, who: list[int] = who) -> np.ndarray:
-                draws = []
-                for i in these.tolist():
-                    k = who[i]
-                    drawn[k] += 1
-                    draws.append(digest(b"%d,%d" % (jobs[k][3], drawn[k]), jobs[k][2]))
-                return gaps(np.array(draws, np.uint64) / 2**64, dropout)
-
-            own = ahead[who]
-            _, made = self.merge_many(parts, own, redraw)
-            ahead[who] = own
-            for k, x in zip(who, made):
-                ids[k] += x
-        for job, own in zip(jobs, ids):
-            out[job[0]] = own
+        known, end = self.known, np.full(len(node), -1, np.int32)
+        here, active = node.copy(), np.flatnonzero(known.count[node] != LONG)
+        unkept = here[active][known.count[here[active]] < 0]
+        nodes, times = np.unique(unkept, return_counts=True)
+        again = (times > 1) | (known.count[nodes] == ONCE)
+        known.count.room[nodes[~again]] = ONCE
+        self.learn(nodes[again])
+        active = active[known.count[here[active]] >= 0]
+        for depth in range(DEPTH + 1):
+            follow = known.count[here[active]]
+            done = ahead[active] >= follow
+            end[active[done]] = here[active[done]]
+            ahead[active[done]] -= follow[done]
+            active = active[~done]
+            if depth == DEPTH or not len(active):
+                return end
+            slots = known.kids[here[active]] + ahead[active]
+            kids = known.kid[slots]
+            asked, one, times = np.unique(slots[kids < 0], return_index=True, return_counts=True)
+            again = (times > 1) | (known.kid[asked] == ONCE)
+            known.kid.room[asked[~again]] = ONCE
+            one = active[kids < 0][one[again]]
+            self.learn(known.after(here[one], ahead[one]))
+            kids = known.kid[slots]
+            active = active[kids >= 0]
+            here[active] = kids[kids >= 0]
+            ahead[active] = redraw(active)
+        return end
 
     def encode(self, text: str, dropout: float, seed: int, document: int) -> bytes:
         return self.encode_many([text], dropout, seed, [document])[0]
 
     def encode_many(self, texts: list[str], dropout: float, seed: int, documents: list[int]) -> list[bytes]:
         """Ids of each text."""
-        known = self.units
+        if self.known.full():
+            self.known = Known(self.parts)
+        known, digest = self.known, xxhash.xxh64_intdigest
         cut = [(self.cut.findall(" " + t) if self.spaces_join else [" " + t]) if t else [] for t in texts]
-        every = set().union(*cut)
-        missing = every.difference(known)
-        if missing:
-            if len(known) + len(missing) > UNITS:
-                known.clear()
-                missing = every
-            self.learn(missing)
-        # the chance that none of so many candidates is skipped
-        stay = np.array([(1 - dropout) ** n for n in range(2 * SHORT)] + [-1.0])
-        out: list[bytes] = []
-        jobs, firsts, ends = [], [], []
-        for units, document in zip(cut, documents):
-            key = xxhash.xxh64_intdigest(b"%d,%d" % (seed, document))
-            draws = np.random.Generator(np.random.Philox(key=key)).random(len(units))
-            found = [known[u] for u in units]
-            start = len(out)
-            out += [f[1] for f in found]
-            skip = np.flatnonzero(draws >= stay[np.array([f[0] for f in found], np.int64)])
-            jobs += [(start + place, found[place][2], key, place) for place in skip.tolist()]
-            firsts.append(draws[skip])
-            ends.append(len(out))
-        if jobs:
-            self.vary(jobs, gaps(np.concatenate(firsts), dropout), dropout, out)
-        return [b"".join(out[s:e]) for s, e in zip([0, *ends], ends)]
-
-    def in_runs(self, texts: pa.Array, dropout: float, seed: int, documents: list[int]) -> list[bytes]:
+        many = np.fromiter(map(len, cut), np.int64, len(cut))
+        ends = np.cumsum(many)
+        n = int(many.sum())
+        if not n:
+            return [b""] * len(texts)
+        unit = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, n)
+        del cut
+        known.settle()
+        keys = [digest(b"%d,%d" % (seed, document)) for document in documents]
+        drawn = [np.random.Generator(np.random.Philox(key=key)).random(k) for key, k in zip(keys, many.tolist())]
+        ahead = gaps(np.concatenate(drawn), dropout)
+        key = np.repeat(np.array(keys, np.uint64), many)
+        place = np.arange(n) - np.repeat(ends - many, many)
+        draws = np.zeros(n, np.int64)
+
+        def redraw(who: np.ndarray) -> np.ndarray:
+            draws[who] += 1
+            found = zip(place[who].tolist(), draws[who].tolist(), key[who].tolist())
+            return gaps(np.array([digest(b"%d,%d" % (p, d), k) for p, d, k in found], np.uint64) / 2**64, dropout)
+
+        # where the ids of the parts of each unit stand: among those kept, or, below 0, among their own
+        start, length, own = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64), Column()
+        pairs = np.flatnonzero(unit < 0)
+        first, second = (np.array(x, np.int64)[-1 - unit[pairs]] for x in (known.first, known.second))
+        unit[pairs] = first
+        for turn, who, node in ((0, np.arange(n), unit), (1, pairs, second)):
+            left, before = ahead[who], draws[who]
+            end = self.walk(node, left, lambda these, who=who: redraw(who[these]))
+            kept_ones = end >= 0
+            ahead[who[kept_ones]] = left[kept_ones]
+            start[who[kept_ones], turn] = known.start[end[kept_ones]]
+            length[who[kept_ones], turn] = known.length[end[kept_ones]]
+            others = np.flatnonzero(~kept_ones)
+            these, nodes = who[others], node[others]
+            draws[these] = before[others]
+            long = known.count[nodes] == LONG
+            ids = [b""] * len(these)
+            for i in np.flatnonzero(long).tolist():
+                k = these[i]
+                ids[i] = self.segment(known.said[known.part[nodes[i]]], dropout, digest(b"%d" % place[k], int(key[k])))
+            short = np.flatnonzero(~long)
+            these, nodes = these[short], nodes[short]
+            left = ahead[these]
+            taken, made = self.merge_many(known.texts(nodes), left, lambda which, these=these: redraw(these[which]))
+            ahead[these] = left
+            for i, x in zip(short.tolist(), made):
+                ids[i] = x
+            # one that was met for the first time and skipped nothing
+            plain = np.flatnonzero((known.count[nodes] < 0) & (draws[these] == before[others][short]))
+            known.keep(nodes[plain], taken[plain], [made[i] for i in plain.tolist()])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            at = own.add(np.frombuffer(b"".join(ids), np.int32)) + np.cumsum(sizes) - sizes
+            start[who[others], turn], length[who[others], turn] = -1 - at, sizes
+        start = np.where(start < 0, known.ids.size - 1 - start, start).ravel()
+        every = np.concatenate([known.ids.room[: known.ids.size], own.room[: own.size]])
+        length = length.ravel()
+        behind = np.cumsum(length)
+        raw = every[np.repeat(start - behind + length, length) + np.arange(behind[-1])].astype("<u4").tobytes()
+        marks = [0, *(4 * np.append(0, behind)[2 * ends]).tolist()]
+        return [raw[s:e] for s, e in zip(marks, marks[1:])]
+
+    def in_runs(self, texts: pa.Array, dropout: float, seed: int, documents: list[int]) -> Iterator[list[bytes]]:
         """The same in runs of about ``RUN`` characters, whatever the number and length of the texts."""
-        found, held, size = [], [], 0
+        start, held, size = 0, [], 0
         for x in texts:
             held.append(x.as_py())
             size += len(held[-1])
             if size > RUN:
-                found += self.encode_many(held, dropout, seed, documents[len(found) : len(found) + len(held)])
-                held, size = [], 0
-        return found + self.encode_many(held, dropout, seed, documents[len(found) :])
-
-    def decode(self, ids: bytes) -> str:
-        spelled = b"".join(map(self.spelled.__getitem__, array("I", ids)))
-        return spelled.decode("utf-8", "replace")[1:]
+                yield self.encode_many(held, dropout, seed, documents[start : start + len(held)])
+                start, held, size = start + len(held), [], 0
+        yield self.encode_many(held, dropout, seed, documents[start:])
 
 
 def gaps(draws: np.ndarray, dropout: float) -> np.ndarray:
@@ -344,12 +493,12 @@ def gaps(draws: np.ndarray, dropout: float) -> np.ndarray:
     return (np.log(np.maximum(draws, 1e-300)) / math.log1p(-dropout)).astype(np.int64)
 
 
-def loaded(path: str | None) -> Pieces:
+def loaded(path: str | None, kind: type[Spelled] = Pieces) -> Spelled:
     path = vocabulary_path(path, "piece_bpe_32k.model")
     table = kept("pieces")
-    if path not in table:
-        table[path] = Pieces(path)
-    return table[path]
+    if (path, kind.__name__) not in table:
+        table[path, kind.__name__] = kind(path)
+    return table[path, kind.__name__]
 
 
 def _types(df: DataFrame, columns: list[str]) -> str:
@@ -380,10 +529,14 @@ def encode(
         pieces = loaded(model)
         for batch in batches:
             names, texts = batch.columns[-2:]
-            ids = pieces.in_runs(texts, dropout, seed, names.to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(ids, pa.binary())], names=[*batch.schema.names[:-2], "ids"]
-            )
+            at = 0
+            for ids in pieces.in_runs(texts, dropout, seed, names.to_pylist()):
+                some = batch.columns[:-2]
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(at, len(ids)) for c in some], pa.array(ids, pa.binary())],
+                    names=[*batch.schema.names[:-2], "ids"],
+                )
+                at += len(ids)
 
     return chosen.mapInArrow(run, _types(chosen, keep) + "ids binary")
 
@@ -393,11 +546,13 @@ def decode(encoded: DataFrame, keep: list[str], ids_col: str = "ids", model: str
     chosen = encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(ids_col).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model)
-        for batch in batches:
-            texts = [pieces.decode(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"]
-            )
+        pieces = loaded(model, Spelled)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts = [pieces.decode(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"]
+                )
 
     return chosen.mapInArrow(run, _types(chosen, keep) + "text string")

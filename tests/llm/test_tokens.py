@@ -223,3 +223,32 @@ def test_occurrences_are_varied(spark):
 
 def test_dropout_empty(documents):
     assert merge_dropout.encode(documents.limit(0), ["doc_id"]).count() == 0
+
+
+def test_repeated_skips_are_merged_once(monkeypatch):
+    """What units become after the same skips is kept, in a table that starts anew beyond its bound, and the ids stay."""
+    pieces, merged = merge_dropout.Pieces(public_tokenizers.path("piece_bpe_32k.model")), []
+    text = "understanding, the other thing " * 4000
+    inner = pieces.merge_many
+
+    def counted(parts, *rest):
+        merged.append(len(parts))
+        return inner(parts, *rest)
+
+    monkeypatch.setattr(pieces, "merge_many", counted)
+    first = pieces.encode(text, 0.1, 42, 1)
+    assert sum(merged) < 4000  # more than 8000 of the 16000 units skip a candidate
+    monkeypatch.setattr(merge_dropout, "NODES", 1)
+    monkeypatch.setattr(merge_dropout, "DEPTH", 0)
+    assert pieces.encode(text, 0.1, 42, 1) == first
+    assert sum(merged) > 4000
+
+
+def test_dropout_hands_over_small_batches(spark):
+    import pyarrow as pa
+
+    pieces = merge_dropout.loaded(None)
+    runs = list(pieces.in_runs(pa.array(["word " * 50_000] * 8), 0.1, 42, list(range(8))))
+    assert [len(ids) for ids in runs[:2]] == [3, 3] and sum(map(len, runs)) == 8
+    # what decodes needs no table of merges
+    assert not hasattr(merge_dropout.loaded(None, merge_dropout.Spelled), "neighbours")
