@@ -1,5 +1,7 @@
 """The derived event log takes little room, and its rows do not depend on how many files it has."""
 
+import gzip
+import json
 from datetime import datetime
 from pathlib import Path
 
@@ -56,3 +58,34 @@ def test_columnar_events_are_compressed_files_of_one_pass(spark, tmp_path):
     back = read.to_columnar(read.read_event_log(spark, str(tmp_path / "log")), str(tmp_path / "out"))
     assert back.count() == 3
     assert all(".zstd." in p.name for p in (tmp_path / "out").rglob("part-*"))
+
+
+def _last_plan(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    return store.executionsList().apply(int(store.executionsList().size()) - 1).physicalPlanDescription()
+
+
+def test_columnar_events_are_written_without_a_sort(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    lines = ['{"Event":"SparkListenerApplicationStart","Timestamp":1}\n', '{"Event":"SparkListenerUnpersistRDD","RDD ID":1}\n']
+    (tmp_path / "log" / "app-1").write_text("".join(lines * 3))
+    back = read.to_columnar(read.read_event_log(spark, str(tmp_path / "log")), str(tmp_path / "out"))
+    assert "Sort" not in _last_plan(spark)
+    assert len(list((tmp_path / "out").glob("Event=*/part-*"))) == back.select("Event").distinct().count() == 2
+    assert back.count() == 6
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_writing_the_log_leaves_no_shuffle_files(spark, tmp_path):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {name for f in files.getAllFiles().mkString(" ").split() if (name := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+    tables = _tables(spark, tmp_path)
+    before = shuffled()
+    path = Path(eventlogs._write_log(tables).removeprefix("file:"))
+    assert not shuffled() - before
+    for file in path.rglob("part-*"):
+        with gzip.open(file, "rt") as lines:
+            seen = [json.loads(line) for line in lines]
+        for k, line in enumerate(seen):  # what is unpersisted comes after all tasks of its order
+            if line["Event"] == "SparkListenerUnpersistRDD" and line not in seen[k + 1 :]:
+                assert not any(x.get("Stage ID", 0) // 2 == line["RDD ID"] for x in seen[k + 1 :])
