@@ -24,7 +24,6 @@ leaves no half file, and a task holds one shard besides its batch.
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from collections.abc import Iterator
 from itertools import compress as chosen_of
@@ -37,6 +36,8 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import discard_on_exit, scratch_path
 from .groups import schema_of
+from .words import LONGEST as LONGEST
+from .words import Words, padded
 from .workers import kept, vocabulary_path
 
 SEGMENT = 1 << 20
@@ -47,23 +48,90 @@ FALL = 4
 # Rounds end when one shortens the shard by less than the 2**GAIN-th part.
 GAIN = 6
 BUCKET_BITS = 20
-# Pieces of text kept by a worker in each of two generations, and the longest kept.
-KNOWN, LONGEST = 400_000, 40
+# Pieces of text kept by a worker, and their ids.
+KNOWN, IDS = 1_500_000, 8_000_000
 # Bytes of text looked up at once.
 RUN = 4 << 20
 # Characters that are a token run of their own behind a Latin letter or digit.
 TAIL = ".,!?;:%$*&#|"
-_ALONE = re.compile(r"(?<=\S) (?=\S)")
+# Pieces encoded in one text.
+JOINED = 4096
+# Kinds of bytes: a space or line break, a tail character, a Latin letter or digit, a letter,
+# surely no white space at the end of a character, at its beginning.
+_GAP, _TAIL, _ALNUM, _LETTER, _SOLID, _OPENS = 1, 2, 4, 8, 16, 32
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[[32, 10]] |= _GAP
+    kinds[[ord(c) for c in TAIL]] |= _TAIL
+    for b in range(128):
+        c = chr(b)
+        kinds[b] |= _ALNUM * c.isalnum() | _LETTER * c.isalpha() | (_SOLID | _OPENS) * (32 < b < 127)
+    kinds[128:] |= _SOLID | _OPENS
+    return kinds
+
+
+KINDS = _kinds()
+# Latin letters and digits of two bytes.
+LATIN = np.array([c > 127 and chr(c).isalnum() for c in range(0x250)] + [False] * 0x5B0)
+
+
+def _white(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether a character of several bytes may be white space, by its first two."""
+    return (
+        (one == 0xC2) & ((two == 0x85) | (two == 0xA0))
+        | (one == 0xE1) & ((two == 0x9A) | (two == 0xA0))
+        | (one == 0xE2) & ((two == 0x80) | (two == 0x81))
+        | (one == 0xE3) & (two == 0x80)
+    )
+
+
+def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin in ``raw``, which is ``padded``; a text begins at each offset but the last.
+
+    A piece begins at a single space or line break between two characters of which one is surely no
+    white space, and at a tail character behind a Latin letter or digit: no token of a byte-level
+    tokenizer crosses them, and what stands before such a place has the ids that it has alone.
+    """
+    n = int(offsets[-1])
+    kind = KINDS[raw]
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    gaps = np.flatnonzero(kind[:n] & _GAP)
+    gaps = gaps[~begins[gaps]]
+    one, two = raw[gaps - 1], raw[gaps - 2]
+    before = ((kind[gaps - 1] & _SOLID) > 0) & ~((one >= 128) & (_white(two, one) | _white(raw[gaps - 3], two)))
+    one, two = raw[gaps + 1], raw[gaps + 2]
+    after = ((kind[gaps + 1] & _OPENS) > 0) & ~begins[gaps + 1] & ~_white(one, two)
+    found = gaps[before | after]
+    tails = np.flatnonzero(kind[:n] & _TAIL)
+    tails = tails[~begins[tails]]
+    last, lead = raw[tails - 1].astype(np.int64), raw[tails - 2].astype(np.int64)
+    wide = (last >= 128) & (lead >= 0xC2) & (lead < 0xE0) & (tails > 1)
+    latin = wide & LATIN[np.where(wide, (lead & 31) << 6 | last & 63, 0)]
+    begins[found] = True
+    begins[tails[((kind[tails - 1] & _ALNUM) > 0) | latin]] = True
+    return np.flatnonzero(begins[:n])
+
+
+def plain_words(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which pieces are a space and Latin letters."""
+    before = np.concatenate([[0], flat[:-1]])
+    lead = (flat >= 0xC3) & (flat <= 0xC9)
+    held = (before >= 0xC3) & (before <= 0xC9) & ~((before == 0xC3) & ((flat == 0x97) | (flat == 0xB7)))
+    odd = ~(((KINDS[flat] & _LETTER) > 0) | lead | held)
+    sizes = np.diff(np.append(starts, len(flat)))
+    return (flat[starts] == 32) & (np.add.reduceat(odd, starts, dtype=np.int64) == 1) & (sizes > 1)
 
 
 class Encoder:
     """Token ids of texts by the tokenizers library, which sees each distinct piece once.
 
-    A byte-level tokenizer splits a text before it merges. A single space between two other
-    characters begins a new part, and so does a single line break between two such characters;
-    hence the ids of a text are those of its pieces in turn. A piece is kept without the space
-    before it; one that begins with a line break has none. Other tokenizers, and texts with the
-    string of an added token, are encoded whole.
+    A byte-level tokenizer splits a text before it merges; hence the ids of a text are those of its
+    pieces (``cuts``) in turn. Pieces get numbers, a run of texts at once. Other tokenizers, and
+    texts with the string of an added token, are encoded whole. A worker keeps the ids of ``KNOWN``
+    pieces; beyond, those that came again stay if they are less than half.
     """
 
     def __init__(self, path: str) -> None:
@@ -82,97 +150,115 @@ class Encoder:
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that begin a piece
         for token, number in self.tokenizer.get_vocab().items():
             self.begins[number] = token.startswith(("Ġ", "Ċ"))
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = Words()
+        # of each number: its ids among all, and whether it came again
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.again = np.zeros(0, bool)
+
+    @property
+    def known(self) -> list[str]:
+        """The pieces kept; an empty list or dict put there forgets all."""
+        return [p.decode() for p in self.words]
+
+    @known.setter
+    def known(self, pieces: list | dict) -> None:
+        if len(pieces):
+            raise ValueError("pieces have no ids yet")
+        self.forget()
 
     def many(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def pieces(self, texts: pa.Array) -> pa.ListArray:
-        """The pieces of each text, the first one with all that stands before it."""
-        if not self.by_piece:
-            return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32), texts)
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        odd = pc.match_substring_regex(texts, "  |\n\n| \n| $")
-        for a in self.added:
-            odd = pc.or_(odd, pc.match_substring(texts, a))
-        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        if not len(at):
-            return split
-        whole = texts.take(pa.array(at)).to_pylist()
-        own = [[t] if any(a in t for a in self.added) else _ALONE.split(t) for t in whole]
-        place = np.arange(len(texts))
-        place[at] = len(texts) + np.arange(len(at))
-        return pa.concat_arrays([split, pa.array(own, split.type)]).take(pa.array(place))
-
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces. A tail of punctuation has the ids that it has elsewhere."""
-        whole, cut = [], []
-        for p in pieces:
-            if p[-1:] in TAIL:
-                core = p.rstrip(TAIL)
-                last = core[-1:]
-                if last < "\u0250" and last.isalnum():
-                    cut.append((p, core, p[len(core) :]))
-                    continue
-            whole.append(p)
-        known = self.known
-        whole += {c for _, c, _ in cut if c not in known}.difference(whole)
-        for at in range(0, len(whole), 4096):
-            self.encode(whole[at : at + 4096])
-        tails = sorted({t for *_, t in cut})
-        tail_ids = dict(zip(tails, self.many(tails), strict=True))
-        for p, core, tail in cut:
-            known[p] = known[core] + tail_ids[tail]
-
-    def encode(self, run: list[str]) -> None:
-        """Many pieces in one text, cut where a token begins with a space or line break; else one by one."""
-        spaced = [p if p[:1] == "\n" else " " + p for p in run]
-        simple = [p[1:].isalpha() for p in spaced]
-        names, texts = list(chosen_of(run, simple)), list(chosen_of(spaced, simple))
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+    def rest(self) -> None:
+        """Make room: what came again stays, unless that is much."""
+        if self.words.size <= KNOWN and len(self.ids) <= IDS:
+            return
+        chosen, size = self.again, np.diff(self.at)
+        if 2 * chosen.sum() > KNOWN or 2 * size[chosen].sum() > IDS:
+            return self.forget()
+        self.words.retain(chosen)
+        self.ids = gather(self.ids, self.at[:-1][chosen], size[chosen])
+        self.at = np.append(0, np.cumsum(size[chosen]))
+        self.again = np.zeros(len(self.at) - 1, bool)
+
+    def learn(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of new pieces, in the order of their numbers."""
+        flat = gather(raw, starts, sizes)
+        begins = np.cumsum(sizes) - sizes
+        plain = plain_words(flat, begins)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # which pieces, their ids, how many
+        which = np.flatnonzero(plain)
+        others = [np.flatnonzero(~plain)]
+        for at in range(0, len(which), JOINED):
+            some = which[at : at + JOINED]
+            ids, many = self.joined(gather(flat, begins[some], sizes[some]).tobytes().decode(), len(some))
+            if ids is None:
+                others.append(some)
+            else:
+                found.append((some, ids, many))
+        held, ends = flat.tobytes(), begins + sizes
+        left = np.concatenate(others)
+        said = [held[a:b].decode() for a, b in zip(begins[left].tolist(), ends[left].tolist())]
+        words = np.fromiter((s[0] == " " and s[1:].isalpha() for s in said), bool, len(said))
+        for at in range(0, len(said), JOINED):
+            run, simple, places = said[at : at + JOINED], words[at : at + JOINED], left[at : at + JOINED]
+            ids, many = self.joined("".join(chosen_of(run, simple)), int(simple.sum()))
+            if ids is None:
+                simple = np.zeros(len(run), bool)
+            else:
+                found.append((places[simple], ids, many))
+            each = self.many(list(chosen_of(run, ~simple)))
+            many = np.fromiter(map(len, each), np.int64, len(each)) // 4
+            found.append((places[~simple], _numbers(b"".join(each)), many))
+        size = np.zeros(len(sizes), np.int64)
+        order = np.concatenate([x[0] for x in found])
+        size[order] = np.concatenate([x[2] for x in found])
+        place = np.empty(len(sizes), np.int64)
+        place[order] = np.cumsum(size[order]) - size[order]
+        new = gather(np.concatenate([x[1] for x in found]), place, size)
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size)])
+        self.ids = np.concatenate([self.ids, new])
+        self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
+
+    def joined(self, text: str, pieces: int) -> tuple[np.ndarray | None, np.ndarray]:
+        """Ids of many words in one text, cut where a token begins with a space; None if that gives others."""
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        ids = np.array(found.ids, np.uint32)
         starts = np.flatnonzero(self.begins[ids])
-        if len(starts) == len(names):
-            raw, starts = ids.tobytes(), (4 * starts).tolist()
-            self.known.update(zip(names, map(raw.__getitem__, map(slice, starts, [*starts[1:], len(raw)])), strict=True))
-            simple = [not x for x in simple]
-            names, texts = list(chosen_of(run, simple)), list(chosen_of(spaced, simple))
-        else:
-            names, texts = run, spaced
-        self.known.update(zip(names, self.many(texts), strict=True))
+        return ids if len(starts) == pieces else None, np.diff(np.append(starts, len(ids)))
 
     def tokens(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > KNOWN:
-            self.known, self.older = {}, self.known
-        split = self.pieces(texts)
-        offsets = split.offsets.to_numpy()
-        offsets, pieces = offsets - offsets[0], split.flatten()
-        later = np.ones(len(pieces), bool)
-        later[offsets[:-1]] = False
-        rest = pieces.filter(pa.array(later)).dictionary_encode()
-        said = rest.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(self.known.get, said))
-        holes = [i for i, x in enumerate(ids) if x is None]
-        new = [said[i] for i in holes]
-        old = [(p, self.older[p]) for p in new if p in self.older]
-        self.known.update(old)
-        self.learn([p for p in new if p not in self.known] if old else new)
-        for i in holes:
-            ids[i] = self.known[said[i]]
-        for p in [p for p in new if len(p) > LONGEST]:
-            del self.known[p]
-        # the first pieces have no space before them
-        ids += self.many(pieces.take(pa.array(offsets[:-1])).to_pylist())
-        code = np.empty(len(pieces), np.int64)
-        code[later] = rest.indices.to_numpy()
-        code[offsets[:-1]] = len(said) + np.arange(len(texts))
-        flat = _numbers(b"".join(ids))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        ends = np.cumsum(size[code])
-        out = gather(flat, (np.cumsum(size) - size)[code], size[code]).tobytes()
-        stops = (4 * np.concatenate([[0], ends])[offsets]).tolist()
+        if not self.by_piece:
+            return self.many(texts.to_pylist())
+        odd = np.zeros(len(texts), bool)
+        for a in self.added:
+            odd |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if odd.any():
+            own = iter(self.many(texts.filter(pa.array(odd)).to_pylist()))
+            others = iter(self.tokens(texts.filter(pa.array(~odd))))
+            return [next(own if x else others) for x in odd.tolist()]
+        self.rest()
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+        raw = padded(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]])
+        offsets = offsets - offsets[0]
+        starts = cuts(raw, offsets)
+        sizes = np.diff(np.append(starts, offsets[-1]))
+        number, first = self.words.numbers(raw, starts, sizes)
+        old = len(self.again)
+        if len(first):
+            order = first[np.argsort(number[first])]
+            self.learn(raw, starts[order], sizes[order])
+        self.again[number[number < old]] = True
+        size = (self.at[1:] - self.at[:-1])[number]
+        out = gather(self.ids, self.at[number], size).tobytes()
+        ends = np.append(0, np.cumsum(size))
+        stops = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
         return [out[a:b] for a, b in zip(stops, stops[1:])]
 
 

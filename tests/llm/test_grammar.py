@@ -153,3 +153,52 @@ def test_query(spark):
     got = QUERIES["op13_pair_grammar"](spark, FOLDER)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_known_pieces_are_not_encoded_again(monkeypatch):
+    """Neither words, nor first words of texts, nor tails go to the library twice."""
+    encoder, seen = grammar.Encoder(PATH), []
+    texts = pa.array([f"First one, and étai{c} the rest{t}\nmore" for c in "abc" for t in (".", ",", "?!", "")])
+    want = encoder.tokens(texts)
+    tokenizer = Tokenizer.from_file(PATH)
+    assert [list(array("I", b)) for b in want] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+
+    class Counted:
+        def encode_batch_fast(self, given, **more):
+            seen.extend(given)
+            return tokenizer.encode_batch_fast(given, **more)
+
+    monkeypatch.setattr(encoder, "tokenizer", Counted())
+    assert encoder.tokens(texts.slice(3)) == want[3:]
+    assert not any(seen)
+
+
+def test_white_space_of_every_kind():
+    tokenizer, encoder = Tokenizer.from_file(PATH), grammar.Encoder(PATH)
+    gaps = [" ", "\n", "\t", "\x85", "\xa0", " ", "᠎", " ", " ", " ", "　", "\r", "\x1c", "\0"]
+    texts = [f"é{a}{b}{c}é, あ{b}{c}x{a}" for a in gaps for b in ["", *gaps] for c in gaps[:4]]
+    got = encoder.tokens(pa.array(texts))
+    assert [list(array("I", b)) for b in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_have_one_number_each(monkeypatch):
+    from keyloom.llm import words
+
+    monkeypatch.setattr(words, "AT_ONCE", 100)
+    r, table = np.random.default_rng(3), words.Words()
+    said, known = [], {}
+    for turn in range(4):
+        run = [bytes(r.integers(0 if turn % 2 else 1, 4, int(n)).astype(np.uint8)) for n in r.integers(1, 20, 3000)]
+        sizes = np.array([len(x) for x in run])
+        numbers, first = table.numbers(words.padded(b"".join(run)), np.cumsum(sizes) - sizes, sizes)
+        assert sorted(numbers[first].tolist()) == list(range(len(known), table.size))
+        for x, n in zip(run, numbers.tolist()):
+            assert known.setdefault(x, n) == n
+        said += run
+    assert set(table) == set(known) == set(said) and table.size == len(known)
+    chosen = np.arange(table.size) % 3 == 0
+    table.retain(chosen)
+    left = [x for x, n in known.items() if chosen[n]]
+    sizes = np.array([len(x) for x in left])
+    numbers, first = table.numbers(words.padded(b"".join(left)), np.cumsum(sizes) - sizes, sizes)
+    assert numbers.tolist() == [known[x] // 3 for x in left] and not len(first) and set(table) == set(left)
