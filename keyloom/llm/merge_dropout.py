@@ -20,7 +20,6 @@ import math
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import Words, padded
 from .workers import kept, vocabulary_path
 
 SPACE = "▁"
@@ -37,9 +37,9 @@ MASK = 2**64 - 1
 # Units of up to so many symbols are merged in a list.
 SHORT = 64
 DROPOUT = 0.1
-# Units and segmentations kept by a worker. Beyond them the table starts anew.
-UNITS = 250_000
-NODES = 400_000
+# Parts of units and segmentations kept by a worker. Beyond them the table starts anew.
+PARTS = 400_000
+NODES = 600_000
 # Skips of a unit whose segmentation may be kept.
 DEPTH = 3
 # Units merged together.
@@ -53,6 +53,7 @@ FAR = 1 << 62
 # In place of what is not kept: not met yet, met once, never kept.
 NEW, ONCE, LONG = -1, -2, -3
 TAIL = ".,!?;:%$*&#|"
+TAILS = np.array([chr(b) in TAIL for b in range(256)])
 
 
 class Column:
@@ -65,7 +66,7 @@ class Column:
         """Where the first of the new ones stands."""
         at, need = self.size, self.size + len(values)
         if need > len(self.room):
-            grown = np.empty(max(need, 2 * len(self.room)), np.int32)
+            grown = np.empty(max(need, 3 * len(self.room) // 2), np.int32)
             grown[:at] = self.room[:at]
             self.room = grown
         self.room[at:need], self.size = values, need
@@ -75,50 +76,39 @@ class Column:
         return self.room[at]
 
 
-class Known(dict):
-    """What parts of units become, by the skips on the way; the dict gives the number of a unit.
+class Known:
+    """What parts of units become, by the skips on the way.
 
     A node is a part and the candidates that were skipped: each as the number of candidates taken
     since the skip before. It has the number of candidates that follow if no more is skipped, the
     ids that then come out, and a node or a mark for the skip of each. A part without skips is a
-    node itself. The number of a unit is that of its part, or ``-1 - k`` if it has the parts of
-    ``first`` and ``second`` at ``k``.
+    node itself, which ``root`` has at the number of the part.
     """
 
-    def __init__(self, parts: Callable[[str], list[str]]) -> None:
-        self.parts = parts
+    def __init__(self) -> None:
+        self.words = Words()
         self.said: list[str] = []
-        self.fresh: list[str] = []
-        self.first, self.second = array("i"), array("i")
         self.nodes = 0
         # of nodes: the part, the node before the last skip, candidates since then; see above
         self.part, self.parent, self.gap, self.count = Column(), Column(), Column(), Column()
         self.start, self.length, self.kids = Column(), Column(), Column()
-        self.ids, self.kid = Column(), Column()
-
-    def __missing__(self, unit: str) -> int:
-        found = self.parts(unit)
-        if len(found) == 1:
-            number = self.nodes + len(self.fresh)
-            self.fresh.append(unit)
-        else:
-            pair = self[found[0]], self[found[1]]
-            number = -1 - len(self.first)
-            self.first.append(pair[0])
-            self.second.append(pair[1])
-        self[unit] = number
-        return number
+        self.ids, self.kid, self.root = Column(), Column(), Column()
 
     def full(self) -> bool:
-        return len(self) > UNITS or self.nodes > NODES
-
-    def settle(self) -> None:
-        """Give nodes to the parts met since the last time."""
-        n = len(self.fresh)
-        marks = np.fromiter((LONG if len(p) > SHORT else NEW for p in self.fresh), np.int32, n)
-        self._add(np.arange(len(self.said), len(self.said) + n), np.full(n, -1), np.zeros(n), marks)
-        self.said += self.fresh
-        self.fresh = []
+        return len(self.said) > PARTS or self.nodes > NODES
+
+    def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The nodes of parts without skips; parts met for the first time get theirs."""
+        number, first = self.words.numbers(raw, starts, ends - starts)
+        if len(first):
+            first = first[np.argsort(number[first])]
+            held = raw.tobytes()
+            fresh = [held[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+            n = len(fresh)
+            marks = np.fromiter((LONG if len(p) > SHORT else NEW for p in fresh), np.int32, n)
+            self.root.add(self._add(np.arange(len(self.said), len(self.said) + n), np.full(n, -1), np.zeros(n), marks))
+            self.said += fresh
+        return self.root[number]
 
     def _add(self, part: np.ndarray, parent: np.ndarray, gap: np.ndarray, count: np.ndarray) -> np.ndarray:
         for column, values in ((self.part, part), (self.parent, parent), (self.gap, gap), (self.count, count)):
@@ -200,7 +190,9 @@ class Pieces(Spelled):
         alone = "\n" if not any("\n" in p for pair in pairs for p in pair) else ""
         self.cut = re.compile(rf" *[^ {alone}]+| +|[{alone}]" if alone else r" *[^ ]+| +")
         self.spaces_join = all(a == SPACE for a, b in pairs if b == SPACE)
-        self.known = Known(self.parts)
+        self.known = Known()
+        self.tails = np.array([ord(a) << 8 | ord(b) for a, b in pairs if b in TAIL], np.int64)
+        self.line_ends = bool(alone)
         self.tabulate()
 
     def tabulate(self) -> None:
@@ -357,6 +349,32 @@ class Pieces(Spelled):
             return [core, unit[len(core) :]]
         return [unit]
 
+    def units(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the units of texts in ``raw`` begin and end, as ``cut`` finds them, and where their tails begin, as in ``parts``."""
+        n = int(bounds[-1])
+        text = raw[:n]
+        begins = np.zeros(n + 1, bool)
+        begins[bounds] = True
+        if self.spaces_join:
+            space = text == 32
+            begins[1:n] |= space[1:] & ~space[:-1]
+            if self.line_ends:
+                line = np.flatnonzero(text == 10)
+                begins[line] = True
+                begins[line + 1] = True
+        starts = np.flatnonzero(begins[:n])
+        stops = np.append(starts, n)[1:]
+        core = np.flatnonzero(~TAILS[text])
+        cores = stops.copy()
+        tailed = np.flatnonzero(TAILS[text[stops - 1]])
+        last = np.searchsorted(core, stops[tailed]) - 1
+        last = np.where(last >= 0, core[last], -1) if len(core) else np.full(len(tailed), -1)
+        chosen = (last >= starts[tailed]) & (raw[last] != 32)
+        tailed, last = tailed[chosen], last[chosen]
+        joins = np.isin(_character(raw, last) << 8 | raw[last + 1], self.tails)
+        cores[tailed[~joins]] = last[~joins] + 1
+        return starts, cores, stops
+
     def learn(self, nodes: np.ndarray) -> None:
         """What comes of nodes, all of equally many skips, if nothing more is skipped."""
         paths = self.known.paths(nodes)
@@ -410,17 +428,25 @@ class Pieces(Spelled):
     def encode_many(self, texts: list[str], dropout: float, seed: int, documents: list[int]) -> list[bytes]:
         """Ids of each text."""
         if self.known.full():
-            self.known = Known(self.parts)
+            self.known = Known()
         known, digest = self.known, xxhash.xxh64_intdigest
-        cut = [(self.cut.findall(" " + t) if self.spaces_join else [" " + t]) if t else [] for t in texts]
-        many = np.fromiter(map(len, cut), np.int64, len(cut))
-        ends = np.cumsum(many)
-        n = int(many.sum())
+        spaced = [(" " + t).encode() if t else b"" for t in texts]
+        bounds = np.cumsum([0, *map(len, spaced)])
+        raw = padded(b"".join(spaced))
+        del spaced
+        starts, cores, stops = self.units(raw, bounds)
+        ends = np.searchsorted(starts, bounds[1:])
+        many, n = np.diff(ends, prepend=0), len(starts)
         if not n:
             return [b""] * len(texts)
-        unit = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, n)
-        del cut
-        known.settle()
+        # the parts in the order of the text; the tail of a unit follows its core
+        pairs = np.flatnonzero(cores < stops)
+        at = np.arange(n) + np.cumsum(cores < stops) - (cores < stops)
+        begins, behind = np.empty(n + len(pairs), np.int64), np.empty(n + len(pairs), np.int64)
+        begins[at], behind[at] = starts, cores
+        begins[at[pairs] + 1], behind[at[pairs] + 1] = cores[pairs], stops[pairs]
+        node = known.of(raw, begins, behind)
+        unit, second = node[at], node[at[pairs] + 1]
         keys = [digest(b"%d,%d" % (seed, document)) for document in documents]
         drawn = [np.random.Generator(np.random.Philox(key=key)).random(k) for key, k in zip(keys, many.tolist())]
         ahead = gaps(np.concatenate(drawn), dropout)
@@ -435,9 +461,6 @@ class Pieces(Spelled):
 
         # where the ids of the parts of each unit stand: among those kept, or, below 0, among their own
         start, length, own = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64), Column()
-        pairs = np.flatnonzero(unit < 0)
-        first, second = (np.array(x, np.int64)[-1 - unit[pairs]] for x in (known.first, known.second))
-        unit[pairs] = first
         for turn, who, node in ((0, np.arange(n), unit), (1, pairs, second)):
             left, before = ahead[who], draws[who]
             end = self.walk(node, left, lambda these, who=who: redraw(who[these]))
@@ -486,6 +509,15 @@ class Pieces(Spelled):
         yield self.encode_many(held, dropout, seed, documents[start:])
 
 
+def _character(raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The characters in UTF-8 that end with the bytes at ``last``."""
+    a, b, c, d = (raw[last - i].astype(np.int64) for i in range(4))
+    two = (b & 31) << 6 | a & 63
+    three = (c & 15) << 12 | (b & 63) << 6 | a & 63
+    four = (d & 7) << 18 | (c & 63) << 12 | (b & 63) << 6 | a & 63
+    return np.where(a < 128, a, np.where(b >= 192, two, np.where(c >= 224, three, four)))
+
+
 def gaps(draws: np.ndarray, dropout: float) -> np.ndarray:
     """Candidates until the next one that is skipped, by draws from 0 to 1."""
     if not 0 < dropout < 1:

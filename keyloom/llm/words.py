@@ -13,7 +13,7 @@ import numpy as np
 # Bytes of a string in the table, and of one that is kept at all.
 WIDTH, LONGEST = 16, 40
 # Strings looked up at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 15
 _ONES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _LOW = _ONES[np.minimum(np.arange(WIDTH + 1), 8)]
 _HIGH = _ONES[np.maximum(np.arange(WIDTH + 1) - 8, 0)]
@@ -34,7 +34,7 @@ class Words:
         self._room(AT_ONCE)
 
     def _room(self, need: int) -> None:
-        self.bits = max(19, (2 * need - 1).bit_length())
+        self.bits = max(18, (2 * need - 1).bit_length())
         self.low, self.high = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
         self.number = np.zeros(1 << self.bits, np.int32)
 

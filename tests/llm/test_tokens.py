@@ -252,3 +252,33 @@ def test_dropout_hands_over_small_batches(spark):
     assert [len(ids) for ids in runs[:2]] == [3, 3] and sum(map(len, runs)) == 8
     # what decodes needs no table of merges
     assert not hasattr(merge_dropout.loaded(None, merge_dropout.Spelled), "neighbours")
+
+
+def test_units_are_cut_in_arrays():
+    """Units and tails as the pattern and ``parts`` give them, text by text."""
+    import random
+
+    from keyloom.llm import words
+
+    pieces, r = merge_dropout.loaded(None), random.Random(4)
+    alphabet = list("ab  \n.,!?;:%$*&#|▁é中\U0001f600\t\r\0'1")
+    texts = ["".join(r.choices(alphabet, k=r.randint(1, 20))) for _ in range(3000)]
+    texts += [f"{chr(p[0])}{chr(p[1])} " for p in ((ord(a), ord(b)) for a, b in pieces.pairs if b in merge_dropout.TAIL)]
+    spaced = [(" " + t).encode() for t in texts]
+    starts, cores, stops = pieces.units(words.padded(b"".join(spaced)), np.cumsum([0, *map(len, spaced)]))
+    raw = b"".join(spaced)
+    got = [[raw[a:b].decode(), *([raw[b:c].decode()] if b < c else [])] for a, b, c in zip(starts, cores, stops)]
+    assert got == [pieces.parts(u) for t in texts for u in pieces.cut.findall(" " + t)]
+
+
+def test_many_units_are_merged_once():
+    """More units than a worker kept before are not merged anew when they come again."""
+    pieces, merged = merge_dropout.Pieces(public_tokenizers.path("piece_bpe_32k.model")), []
+    inner = pieces.merge_many
+    pieces.merge_many = lambda parts, *rest: merged.append(len(parts)) or inner(parts, *rest)
+    letters = "abcdefghijklmnop"
+    text = " ".join(a + b + c + d + e for a in letters for b in letters for c in letters for d in letters for e in letters[:5])
+    first = pieces.encode(text, 0.0, 42, 1)
+    n = len(merged)
+    assert pieces.encode("b " + text, 0.0, 42, 2) and sum(merged[n:]) < 10
+    assert pieces.encode(text, 0.0, 42, 1) == first
